@@ -2,8 +2,9 @@
 
 Every function takes and returns a Column built from Spark's own expressions,
 so a whole cleaning chain stays one projection inside the JVM and adds no
-shuffle.  None of them refers to its input more than the row needs, so chains
-grow linearly.
+shuffle.  Chains refer to their input once per step, so they grow linearly, and
+lambdas refer only to their own arguments: whatever else a lambda mentions
+would be computed again for every element.
 """
 
 from __future__ import annotations
@@ -302,28 +303,28 @@ def word_contexts(tokens) -> Column:
     """Every token with its neighbours; sentence edges have marker words."""
     t = _col(tokens)
     n = F.size(t)
-
-    def around(w, i):
-        alone = n == 1
-        before = F.when(alone, F.lit("<None>")).when(i == 0, F.lit("<START>")).otherwise(F.get(t, i - 1))
-        after = F.when(alone, F.lit("<None>")).when(i == n - 1, F.lit("<End>")).otherwise(F.get(t, i + 1))
-        return F.struct(w.alias("word"), before.alias("prev_word"), after.alias("next_word"))
-
-    return F.transform(t, around)
+    rest = F.greatest(n - 1, F.lit(0))
+    before = F.when(n > 1, F.concat(F.array(F.lit("<START>")), F.slice(t, F.lit(1), rest))).otherwise(F.array(F.lit("<None>")))
+    after = F.when(n > 1, F.concat(F.slice(t, F.lit(2), rest), F.array(F.lit("<End>")))).otherwise(F.array(F.lit("<None>")))
+    with_before = F.zip_with(t, before, lambda w, p: F.struct(w.alias("word"), p.alias("prev_word")))
+    rows = F.zip_with(with_before, after, lambda r, x: F.struct(
+        r["word"].alias("word"), r["prev_word"].alias("prev_word"), x.alias("next_word")))
+    return F.filter(rows, lambda r: r["word"].isNotNull())
 
 
 def ngrams(tokens, ngram_range: tuple[int, int] = (1, 1)) -> Column:
     """All n-grams with n in the range, words joined by one space."""
     lo, hi = ngram_range
     t = _col(tokens)
-    none = F.array().cast("array<string>")
-    parts = []
-    for n in range(lo, hi + 1):
-        if n == 1:
-            parts.append(t)
-        else:
-            parts.append(F.when(F.size(t) >= n, F.transform(
-                F.sequence(F.lit(1), F.size(t) - n + 1), lambda i, n=n: F.array_join(F.slice(t, i, n), " "))).otherwise(none))
+    parts, grams = [], t
+    for n in range(1, hi + 1):
+        if n > 1:
+            # Append the n-th word; the shifted list ends first, and the
+            # n-grams that ran out of words are null.
+            grams = F.array_compact(F.zip_with(grams, F.slice(t, n, F.greatest(F.size(t), F.lit(1))),
+                                               lambda g, w: F.concat(g, F.lit(" "), w)))
+        if n >= lo:
+            parts.append(grams)
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 

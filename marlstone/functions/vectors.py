@@ -24,8 +24,8 @@ def cosine(a, b) -> Column:
 
 def l2_normalize(a) -> Column:
     """The vector over its length; a zero vector stays as it is."""
-    n = norm(a)
-    return F.transform(_col(a), lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    lengths = F.array_repeat(norm(a), F.size(_col(a)))
+    return F.zip_with(_col(a), lengths, lambda x, n: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
 
 
 def squared_distance(a, b) -> Column:

@@ -94,12 +94,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
     keys = list(keys)
     margin = 1.0 / accuracy
     marks = sorted({min(max(q + s, 0.0), 1.0) for q in qs for s in (-margin, margin)})
+    if not keys:
+        df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
     # One row per distinct value and group.
     grouped = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    if not keys:
-        grouped, keys = grouped.withColumn("_all", F.lit(1)), ["_all"]
-    edges = grouped.groupBy(*keys).agg(
-        F.array_sort(F.array_distinct(F.percentile_approx("_v", marks, accuracy))).alias("_edges"))
+    edges = df.groupBy(*keys).agg(
+        F.array_sort(F.array_distinct(F.percentile_approx(value, marks, accuracy))).alias("_edges"))
     # Number of edges at or below the value: brackets are half open, in order.
     bracketed = grouped.join(edges, keys).select(
         *keys, "_v", "_c", F.size(F.filter("_edges", lambda e: e <= F.col("_v"))).alias("_b"))
