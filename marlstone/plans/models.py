@@ -1 +1,246 @@
+"""Fitted models over the embeddings, question pairs and documents."""
 
+from __future__ import annotations
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
+
+from ..functions import text as t
+from ..operators import classify as cl
+from ..operators import embeddings as emb
+from ..operators import metrics, mixture, openset, reduction, sampling
+from ..session import write_cut
+from .catalog import query, table
+from .classification import UNSEEN, embeddings
+from .question_pairs import pair_matrix
+
+SIZE = 64
+CLASSES = tuple(c for c in range(10) if c not in UNSEEN)
+PERCENTILE = 90
+
+
+def split_embeddings(spark, sf_dir):
+    """vec_id, label, vec, features, split (64/16/20)."""
+    rows = embeddings(spark, sf_dir).select(
+        "vec_id", F.col("label").cast("double").alias("label"), F.col("embedding").cast("array<double>").alias("vec"))
+    return sampling.three_way_split(rows.withColumn("features", array_to_vector("vec")), "vec_id")
+
+
+def parts(spark, sf_dir):
+    rows = split_embeddings(spark, sf_dir)
+    train, valid, test = (rows.filter(F.col("split") == s) for s in ("train", "validation", "test"))
+    return openset.seen_only(train, "label", UNSEEN), valid, test
+
+
+@query("word_vectors")
+def word_vectors(spark, sf_dir):
+    model = fitted_words(spark, sf_dir)
+    return emb.word_table(model).select("word", F.posexplode("vec").alias("i", "x"))
+
+
+def fitted_words(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", t.tokenize(t.clean_text("text")).alias("tokens"))
+    return emb.fit_word_vectors(docs, "tokens", size=50, min_count=20, window=5)
+
+
+@query("doc_vectors")
+def doc_vectors(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", t.tokenize(t.clean_text("text")).alias("tokens"))
+    return emb.document_vectors(fitted_words(spark, sf_dir), docs, ["doc_id"], "tokens").select("doc_id", F.posexplode("vec").alias("i", "x"))
+
+
+@query("pca")
+def pca(spark, sf_dir):
+    train, _, _ = parts(spark, sf_dir)
+    fit = reduction.fit_pca(train, "vec", SIZE, 20)
+    rows = split_embeddings(spark, sf_dir)
+    return fit.transform(rows, "vec", "reduced").select("vec_id", F.posexplode("reduced").alias("i", "x"))
+
+
+@query("lsa")
+def lsa(spark, sf_dir):
+    return reduced(spark, sf_dir).select("vec_id", "split", F.posexplode("vec").alias("i", "x"))
+
+
+def reduced(spark, sf_dir):
+    """All rows in 20 latent dimensions, fitted on the seen training rows."""
+    train, _, _ = parts(spark, sf_dir)
+    fit = reduction.fit_lsa(train, "vec", SIZE, 20)
+    return fit.transform(split_embeddings(spark, sf_dir), "vec", "reduced").select(
+        "vec_id", F.col("label").cast("int").alias("label"), "split", F.col("reduced").alias("vec"))
+
+
+# -- pair classifiers ---------------------------------------------------------------
+
+
+def pair_parts(spark, sf_dir):
+    """Assembled pair features, written once, split 75/25."""
+    rows = write_cut(pair_matrix(spark, sf_dir).withColumn("label", F.col("label").cast("double")), "pair-matrix")
+    rows = sampling.train_test_split(rows, "id", 0.75, seed=42)
+    return rows.filter("split = 'train'"), rows.filter("split = 'test'")
+
+
+def _reported(name, build):
+    def run(spark, sf_dir):
+        train, test = pair_parts(spark, sf_dir)
+        predictions = build(train).fit(train).transform(test)
+        return metrics.classification_report(predictions, "label", "prediction")
+
+    query(name)(run)
+
+
+_reported("rf_classify", lambda _: cl.random_forest(trees=20, depth=10, impurity="entropy", subset="all"))
+_reported("lr_l1", lambda train: cl.l1_logistic(1.0, train.count()))
+_reported("linear_svc", lambda _: cl.linear_svm())
+_reported("gnb_classify", lambda _: cl.gaussian_bayes())
+
+
+@query("gnb_params", """
+SELECT label AS class, i::INTEGER AS i, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS variance
+FROM (SELECT label, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2""")
+def gnb_params(spark, sf_dir):
+    out = cl.gaussian_bayes_parameters(embeddings(spark, sf_dir), "embedding", "label")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "variance")})
+
+
+@query("random_search")
+def random_search(spark, sf_dir):
+    train, _ = pair_parts(spark, sf_dir)
+    space = {"numTrees": [10, 20, 30], "maxDepth": [4, 6, 8], "featureSubsetStrategy": ["log2", "sqrt"]}
+    search = cl.random_search(cl.random_forest(), space, 4, train)
+    return cl.search_table(spark, search.getEstimatorParamMaps(), search.validationMetrics)
+
+
+@query("score_submission")
+def score_submission(spark, sf_dir):
+    train, test = pair_parts(spark, sf_dir)
+    return cl.score_submission(cl.random_forest(trees=20, depth=8).fit(train), test, "id")
+
+
+# -- open-set classifiers -----------------------------------------------------------
+
+
+def margins(spark, sf_dir, estimator=None):
+    """One-vs-rest models on the seen training rows: (validation, test) raw scores."""
+    train, valid, test = parts(spark, sf_dir)
+    models = cl.OneVsRestScores.fit(estimator or cl.linear_svm(max_iter=20), train, CLASSES)
+    keep = ("vec_id", "label")
+    return models.scores(openset.seen_only(valid, "label", UNSEEN), keep), models.scores(test, keep)
+
+
+def _long(df):
+    return df.select("vec_id", "label", F.explode("probs").alias("x")).select("vec_id", "label", "x.*")
+
+
+@query("one_vs_rest")
+def one_vs_rest(spark, sf_dir):
+    from pyspark.ml.classification import LogisticRegression
+
+    _, test = margins(spark, sf_dir, LogisticRegression(regParam=0.01, maxIter=20))
+    return _long(cl.sigmoid_probabilities(test))
+
+
+@query("platt_calibrate")
+def platt_calibrate(spark, sf_dir):
+    valid, test = margins(spark, sf_dir)
+    return _long(cl.PlattCalibration.fit(valid, CLASSES).apply(test))
+
+
+@query("open_set_calibrated")
+def open_set_calibrated(spark, sf_dir):
+    """Branch one end to end: margins, calibration, scaling, percentile, report."""
+    valid, test = margins(spark, sf_dir)
+    probs = write_cut(cl.PlattCalibration.fit(valid, CLASSES).apply(test), "calibrated")
+    decided = openset.open_set_predict(openset.scale_class_probs(probs), PERCENTILE, "max_label")
+    decided = decided.withColumn("label", openset.relabel_unseen(F.col("label").cast("int"), UNSEEN))
+    return metrics.classification_report(decided, "label", "prediction")
+
+
+@query("grid_search")
+def grid_search(spark, sf_dir):
+    _, valid, _ = parts(spark, sf_dir)
+    rows = openset.seen_only(valid, "label", UNSEEN).select("features", "label").persist()
+    search = cl.grid_search(cl.softmax_regression(0.1, 20), {"regParam": [0.01, 0.1], "tol": [1e-6, 1e-3]}, rows, folds=2)
+    table_ = cl.search_table(spark, search.getEstimatorParamMaps(), search.avgMetrics)
+    rows.unpersist()
+    return table_
+
+
+@query("softmax_vectors")
+def softmax_vectors(spark, sf_dir):
+    train, _, test = parts(spark, sf_dir)
+    model = cl.softmax_regression(0.1).fit(train)
+    return model.transform(openset.seen_only(test, "label", UNSEEN)).select(
+        "vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
+        F.array_max(vector_to_array("probability")).alias("p"))
+
+
+# -- mixtures -----------------------------------------------------------------------
+
+COMPONENTS = len(CLASSES)
+
+
+def latent(spark, sf_dir):
+    rows = write_cut(reduced(spark, sf_dir), "latent")
+    train = openset.seen_only(rows.filter("split = 'train'"), "label", UNSEEN)
+    return train, rows.filter("split = 'validation'"), rows.filter("split = 'test'")
+
+
+@query("gmm_fit")
+def gmm_fit(spark, sf_dir):
+    train, _, _ = latent(spark, sf_dir)
+    model = mixture.fit_gaussian(train, "vec", "vec_id", 20, COMPONENTS, "diag", max_iter=50)
+    return model.predict(train, "vec").select("vec_id", "label", "cluster")
+
+
+@query("gmm_bic")
+def gmm_bic(spark, sf_dir):
+    train, _, _ = latent(spark, sf_dir)
+    best, fits = mixture.select_gaussian(train, "vec", "vec_id", 20, COMPONENTS, max_iter=30)
+    rows = [(c, m.bic(), m.aic(), m.rounds, int(m is best)) for c, m in fits.items()]
+    return spark.createDataFrame(rows, "covariance string, bic double, aic double, rounds int, is_best int")
+
+
+@query("gmm_posteriors")
+def gmm_posteriors(spark, sf_dir):
+    """Branch two end to end: mixture, majority map, sweep on validation, test decision."""
+    train, valid, test = latent(spark, sf_dir)
+    model = mixture.fit_gaussian(train, "vec", "vec_id", 20, COMPONENTS, "diag", max_iter=50)
+    mapping = write_cut(mixture.majority_labels(model.predict(train, "vec"), "cluster", "label"), "majority")
+
+    def probabilities(rows, name):
+        probs = mixture.class_probabilities(model.posteriors(rows, "vec"), "vec_id", "label", mapping)
+        return write_cut(openset.scale_class_probs(write_cut(probs, name)), name).withColumn(
+            "label", openset.relabel_unseen("label", UNSEEN))
+
+    best = openset.best_threshold(openset.threshold_sweep(probabilities(valid, "posteriors-valid"), "label")).first()
+    percentile = best.threshold if best else PERCENTILE
+    return openset.open_set_predict(probabilities(test, "posteriors-test"), percentile, "argmax").select("vec_id", "label", "prediction")
+
+
+@query("dp_mixture")
+def dp_mixture(spark, sf_dir):
+    train, _, _ = latent(spark, sf_dir)
+    model = mixture.fit_dirichlet(train, "vec", "vec_id", 20, COMPONENTS, "full", max_iter=50)
+    return model.predict(train, "vec").select("vec_id", "label", "cluster")
+
+
+@query("recluster_unseen")
+def recluster_unseen(spark, sf_dir):
+    """Rows of the unseen classes clustered again, in each covariance type."""
+    _, _, test = latent(spark, sf_dir)
+    unseen = test.filter(F.col("label").isin(*UNSEEN))
+    out = None
+    for covariance in mixture.COVARIANCES:
+        model = mixture.fit_dirichlet(unseen, "vec", "vec_id", 20, 2, covariance, max_iter=15, mean_precision=1.0)
+        part = model.predict(unseen, "vec").select(F.lit(covariance).alias("covariance"), "vec_id", "label", "cluster")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("silhouette")
+def silhouette(spark, sf_dir):
+    train, _, _ = latent(spark, sf_dir)
+    model = mixture.fit_gaussian(train, "vec", "vec_id", 20, COMPONENTS, "diag", max_iter=50)
+    clusters = model.predict(train, "vec").withColumn("features", array_to_vector("vec"))
+    return spark.createDataFrame([(metrics.silhouette(clusters, "features", "cluster"),)], "silhouette double")
