@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
 from ..operators import metrics, openset
+from ..session import write_cut
 from .catalog import query, table
 
 UNSEEN = (0, 3)
@@ -25,8 +26,9 @@ def scored(spark, sf_dir, scaled: bool = True):
     """vec_id, label, probs over the seen classes (rounded, so ties are ties)."""
     emb = embeddings(spark, sf_dir)
     centroids = openset.class_centroids(openset.seen_only(emb, "label", UNSEEN), "label", "embedding")
-    probs = openset.centroid_scores(emb, "vec_id", "label", "embedding", centroids, SHARPNESS)
-    probs = _rounded(probs)
+    probs = _rounded(openset.centroid_scores(emb, "vec_id", "label", "embedding", centroids, SHARPNESS))
+    # Ranges, thresholds and decisions each read the scores: write them once.
+    probs = write_cut(probs, "class-scores")
     return _rounded(openset.scale_class_probs(probs)) if scaled else probs
 
 

@@ -230,13 +230,10 @@ def stream_word_counts(spark, sf_dir):
     folder = new_folder(spark, "word-counts")
     words = document_stream(spark, sf_dir).select("doc_id", F.col("source").alias("movie"), F.explode(
         F.filter(tokenize("text"), lambda w: F.length(w) > 3)).alias("word"))
-    counts = en.stream_word_counts(words, "doc_id")
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
-    counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(
-        availableNow=True).start().awaitTermination()
-    # Update mode: the newest row of a word is its running count.
-    rows = spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
-    return rows.groupBy("word").agg(F.max_by(F.struct("movie", "count"), "batch").alias("o")).select("word", "o.movie", "o.count")
+    en.stream_pair_counts(words, "doc_id").writeStream.outputMode("update").foreachBatch(keep).option(
+        "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return en.owners_of(spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out"))
