@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,10 +114,12 @@ def stem_tokens(tokens, stemmer: str = "porter") -> Column:
     """Stem every token of an ``array<string>``."""
     fn = _STEMMERS[resolve_stemmer(stemmer)]
 
-    @F.pandas_udf("array<string>")
-    def stem(batch: pd.Series) -> pd.Series:
-        words = batch.explode().dropna()
-        known = {w: fn(w) for w in words.unique()}
-        return batch.map(lambda row: None if row is None else [known[w] for w in row])
+    def stem(batch: pa.Array) -> pa.Array:
+        words = batch.flatten().dictionary_encode()
+        stems = pa.array([None if w is None else fn(w) for w in words.dictionary.to_pylist()], pa.string())
+        # Offsets of the flattened form: lengths per row, nulls as empty.
+        lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
+        return pa.ListArray.from_arrays(offsets, stems.take(words.indices), mask=batch.is_null())
 
-    return stem(_col(tokens))
+    return F.arrow_udf(stem, "array<string>")(_col(tokens))

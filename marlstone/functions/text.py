@@ -46,7 +46,7 @@ def _col(c) -> Column:
 
 def _quoted(text: str) -> str:
     """``text`` as a literal inside a Java pattern."""
-    return re.sub(r"([\\.^$|?*+()\[\]{}\-])", r"\\\1", text)
+    return re.sub(r"([\\.^$|?*+()\[\]{}\-&])", r"\\\1", text)
 
 
 def as_text(c) -> Column:
@@ -60,13 +60,21 @@ def lower_all(c) -> Column:
 
 def remove_punctuation(c, ignore: Iterable[str] | None = None, punctuation: Iterable[str] = PUNCTUATION) -> Column:
     """Delete (not blank out) punctuation, keeping the characters in ``ignore``."""
+    return _without(c, _dropped(ignore, punctuation))
+
+
+def _dropped(ignore: Iterable[str] | None, punctuation: Iterable[str]) -> str:
     keep = set("".join(ignore)) if ignore else set()
-    drop = "".join(ch for ch in "".join(punctuation) if ch not in keep)
-    return F.translate(_col(c), drop, "") if drop else _col(c)
+    return "".join(ch for ch in "".join(punctuation) if ch not in keep)
+
+
+def _without(c, characters: str, also: str = "") -> Column:
+    """Delete a set of characters (one pass; ``also`` is a ready class part)."""
+    return F.regexp_replace(_col(c), f"[{_quoted(characters)}{also}]+", "") if characters or also else _col(c)
 
 
 def remove_numeric(c) -> Column:
-    return F.translate(_col(c), "0123456789", "")
+    return _without(c, "", "0-9")
 
 
 def resolve_tokenizer(name: str = "regexp") -> str:
@@ -110,10 +118,12 @@ def drop_split_stopwords(tokens, stopwords: Iterable[str] | None = None) -> Colu
     words = sorted({w.lower() for w in (ENGLISH_STOPWORDS if stopwords is None else stopwords)})
     tokens = _col(tokens)
     following = F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1)))
-    hits = F.zip_with(tokens, following, lambda a, b: F.when(F.concat(a, b).isin(words), "1").otherwise("0"))
+    longest = max(map(len, words), default=0)
+    hits = F.zip_with(tokens, following, lambda a, b: F.when(
+        (F.length(a) + F.length(b) <= longest) & F.concat(a, b).isin(words), "1").otherwise("0"))
     mask = F.split(F.regexp_replace(F.array_join(hits, ""), "1.", "DD"), "")
-    pairs = F.zip_with(tokens, mask, lambda w, m: F.struct(w.alias("w"), m.alias("m")))
-    return F.transform(F.filter(pairs, lambda p: p["m"] == "0"), lambda p: p["w"])
+    pairs = F.arrays_zip(tokens.alias("w"), mask.alias("m"))
+    return F.filter(pairs, lambda p: p["m"] == "0").getField("w")
 
 
 def remove_stopwords(c, stopwords: Iterable[str] | None = None, splitwords: bool = False) -> Column:
@@ -123,6 +133,10 @@ def remove_stopwords(c, stopwords: Iterable[str] | None = None, splitwords: bool
 
 
 def remove_short_tokens(c, minimum_token_length: int = 3, pattern: str = WORD) -> Column:
+    if pattern == WORD and minimum_token_length > 1:
+        # A word is a whole run of word characters, so its least length can be
+        # asked of the run itself.
+        return join_tokens(tokenize(c, pattern=f"{WORD[:-1]}{{{minimum_token_length},}}"))
     return join_tokens(F.filter(tokenize(c, pattern=pattern), lambda w: F.length(w) >= minimum_token_length))
 
 
@@ -202,10 +216,8 @@ def clean_text(c, *, punctuation: bool = True, numeric: bool = True, stopwords:
     ``operators.lookup.lemmatize``.
     """
     text = lower_all(c)
-    if punctuation:
-        text = remove_punctuation(text, ignore, punctuation_set)
-    if numeric:
-        text = remove_numeric(text)
+    # Two deletions of single characters are one deletion of either.
+    text = _without(text, _dropped(ignore, punctuation_set) if punctuation else "", "0-9" if numeric else "")
     if stopwords is not False:
         text = remove_stopwords(text, None if stopwords is True else stopwords, splitwords)
     if short_tokens:
@@ -292,11 +304,10 @@ def edit_text(c) -> Column:
 
 
 def next_words(tokens) -> Column:
-    """(pos, word, next_word) of every token but the last."""
+    """(word, next_word) of every token but the last."""
     t = _col(tokens)
-    pairs = F.zip_with(t, F.slice(t, 2, F.greatest(F.size(t), F.lit(1))),
-                       lambda a, b: F.struct(a.alias("word"), b.alias("next_word")))
-    return F.filter(pairs, lambda p: p["next_word"].isNotNull())
+    rest = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(t, F.lit(1), rest).alias("word"), F.slice(t, F.lit(2), rest).alias("next_word"))
 
 
 def word_contexts(tokens) -> Column:
@@ -306,10 +317,8 @@ def word_contexts(tokens) -> Column:
     rest = F.greatest(n - 1, F.lit(0))
     before = F.when(n > 1, F.concat(F.array(F.lit("<START>")), F.slice(t, F.lit(1), rest))).otherwise(F.array(F.lit("<None>")))
     after = F.when(n > 1, F.concat(F.slice(t, F.lit(2), rest), F.array(F.lit("<End>")))).otherwise(F.array(F.lit("<None>")))
-    with_before = F.zip_with(t, before, lambda w, p: F.struct(w.alias("word"), p.alias("prev_word")))
-    rows = F.zip_with(with_before, after, lambda r, x: F.struct(
-        r["word"].alias("word"), r["prev_word"].alias("prev_word"), x.alias("next_word")))
-    return F.filter(rows, lambda r: r["word"].isNotNull())
+    rows = F.arrays_zip(t.alias("word"), before.alias("prev_word"), after.alias("next_word"))
+    return F.slice(rows, F.lit(1), n)
 
 
 def ngrams(tokens, ngram_range: tuple[int, int] = (1, 1)) -> Column:

@@ -14,15 +14,19 @@ from ..functions.text import UNKNOWN, canonical_digits, tokenize
 
 
 def positions(df: DataFrame, keys: list[str], tokens: str, word: str = "word") -> DataFrame:
-    """One row per token: (keys, pos, word), pos from 0."""
-    return df.select(*keys, F.posexplode(tokens).alias("pos", word))
+    """One row per token: (keys, pos, word), pos from 0.
+
+    The outer form keeps the optimiser from inferring a filter on the array,
+    which would tokenise every text a second time.
+    """
+    return df.select(*keys, F.posexplode_outer(tokens).alias("pos", word)).filter("pos IS NOT NULL")
 
 
 def regroup(df: DataFrame, keys: list[str], value: Column | str, name: str) -> DataFrame:
     """Values back to one array per key, in position order."""
     value = F.col(value) if isinstance(value, str) else value
     items = F.array_sort(F.collect_list(F.struct(F.col("pos"), value.alias("v"))))
-    return df.groupBy(*keys).agg(F.transform(items, lambda x: x["v"]).alias(name))
+    return df.groupBy(*keys).agg(items.getField("v").alias(name))
 
 
 def _with_empty(result: DataFrame, df: DataFrame, keys: list[str], tokens: str, name: str) -> DataFrame:

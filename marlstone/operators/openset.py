@@ -27,7 +27,7 @@ def relabel_unseen(label, unseen: Sequence[int]) -> Column:
 
 
 def long_probabilities(df: DataFrame, probs: str = "probs", *keep: str) -> DataFrame:
-    return df.select(*keep, F.explode(probs).alias("_x")).select(*keep, "_x.class", "_x.p")
+    return df.select(*keep, F.explode_outer(probs).alias("_x")).filter("_x IS NOT NULL").select(*keep, "_x.class", "_x.p")
 
 
 def class_ranges(df: DataFrame, probs: str = "probs") -> DataFrame:

@@ -86,7 +86,7 @@ def pair_lexicon_difference(df: DataFrame, key: str, a: str, b: str, lexicon: Da
     sides = df.select(key, F.explode(F.array(
         F.struct(F.lit(1).alias("side"), whitespace_tokens(a).alias("t")),
         F.struct(F.lit(2).alias("side"), whitespace_tokens(b).alias("t")))).alias("s"))
-    hits = sides.select(key, "s.side", F.explode("s.t").alias("word")).join(lexicon, "word")
+    hits = sides.select(key, "s.side", F.explode_outer("s.t").alias("word")).join(lexicon, "word")
 
     def of(side: int, fn, value: str) -> Column:
         return F.coalesce(fn(F.when(F.col("side") == side, F.col(value))), F.lit(0.0))

@@ -86,12 +86,14 @@ def mean_word_vector(df: DataFrame, key: str, tokens: str, vectors: DataFrame, s
     """Mean vector of a text's known words; a text without one gets zeros.
 
     Words are counted per text before the join, so a text sends one row per
-    distinct word, and sums are taken per component (partial sums first).
+    distinct word; the means are ``size`` running sums per text, combined before
+    the shuffle.
     """
-    words = df.select(key, F.explode(tokens).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("_n"))
-    parts = words.join(vectors.select("word", "vec"), "word").select(
-        key, "_n", F.posexplode("vec").alias("_i", "_x"))
-    sums = parts.groupBy(key, "_i").agg((F.sum(F.col("_x") * F.col("_n")) / F.sum("_n")).alias("_m"))
-    means = sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias(name))
+    words = df.select(key, F.explode_outer(tokens).alias("word")).filter("word IS NOT NULL").groupBy(key, "word").agg(
+        F.count(F.lit(1)).alias("_n"))
+    known = words.join(vectors.select("word", "vec"), "word")
+    sums = known.groupBy(key).agg(F.sum("_n").alias("_m"), *[
+        F.sum(F.get("vec", F.lit(i)).cast("double") * F.col("_n")).alias(f"_s{i}") for i in range(size)])
+    means = sums.select(key, F.array(*[F.col(f"_s{i}") / F.col("_m") for i in range(size)]).alias(name))
     zero = F.array_repeat(F.lit(0.0), size)
     return df.select(key).join(means, key, "left").withColumn(name, F.coalesce(name, zero))

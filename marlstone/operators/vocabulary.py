@@ -17,7 +17,7 @@ START_ID, END_ID, UNKNOWN_ID = 0, 1, 2
 
 def word_counts(df: DataFrame, tokens: Column | str, word: str = "word") -> DataFrame:
     """Occurrences of each token over the whole table."""
-    return df.select(F.explode(tokens).alias(word)).groupBy(word).agg(F.count(F.lit(1)).alias("count"))
+    return df.select(F.explode_outer(tokens).alias(word)).filter(F.col(word).isNotNull()).groupBy(word).agg(F.count(F.lit(1)).alias("count"))
 
 
 def rank_words(counts: DataFrame, first: int = 0) -> DataFrame:

@@ -25,8 +25,27 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# Tables whose rows are costly to work on (texts), and into how many tasks one
+# split of them may be cut when cores would stand idle.
+TEXT_TABLES = ("documents", "conversations")
+TASKS_PER_SPLIT = 16
+
+
+def spread_over(df: DataFrame) -> int | None:
+    """How many tasks to spread a small text scan over, or None to leave it.
+
+    A file of one row group is read by one task however many cores wait.  Only
+    scans with fewer splits than half the cores are spread; larger inputs keep
+    their own splits and are not shuffled.
+    """
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return min(cores, splits * TASKS_PER_SPLIT) if splits * 2 <= cores else None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    tasks = spread_over(df) if name in TEXT_TABLES else None
+    return df.repartition(tasks) if tasks else df
 
 
 def load_all() -> None:

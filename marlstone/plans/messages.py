@@ -10,7 +10,7 @@ from ..session import new_folder
 from ..sources import records as rec
 from ..streaming import enrich as en
 from . import sql as S
-from .catalog import query, table
+from .catalog import query, spread_over, table
 
 # A message per document: gaps appear by document number so every default is used.
 _MESSAGE = {
@@ -36,8 +36,10 @@ def messages(spark, sf_dir):
 
 def document_stream(spark, sf_dir):
     """The documents table as a file stream, one file at a time."""
-    schema = table(spark, sf_dir, "documents").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/[d]ocuments.parquet")
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/[d]ocuments.parquet")
+    tasks = spread_over(documents)
+    return stream.repartition(tasks) if tasks else stream
 
 
 _EXTRACT = """SELECT doc_id AS id, CASE WHEN doc_id % 17 <> 0 THEN text ELSE 'Data Error' END AS text,
