@@ -37,18 +37,18 @@ def _with_empty(result: DataFrame, df: DataFrame, keys: list[str], tokens: str,
 
 def remove_words(df: DataFrame, keys: list[str], tokens: str, stopwords: DataFrame, word: str = "word") -> DataFrame:
     """Drop tokens found in a stop-word table of any size (case-insensitive)."""
-    rows = positions(df, keys, tokens).withColumn("_w", F.lower("word"))
+    rows = positions(df, keys, tokens, "_t").withColumn("_w", F.lower("_t"))
     table = stopwords.select(F.lower(F.col(word)).alias("_w")).distinct()
-    kept = regroup(rows.join(table, "_w", "left_anti"), keys, "word", tokens)
+    kept = regroup(rows.join(table, "_w", "left_anti"), keys, "_t", tokens)
     gone = df.join(kept, keys, "left_anti").select(*keys, F.array().cast("array<string>").alias(tokens))
     return kept.unionByName(gone)
 
 
 def replace_tokens(df: DataFrame, keys: list[str], tokens: str, table: DataFrame, source: str, target: str) -> DataFrame:
     """Replace each token found in ``table[source]`` by ``table[target]``."""
-    rows = positions(df, keys, tokens)
-    hits = rows.join(table.select(F.col(source).alias("word"), F.col(target).alias("_to")), "word", "left")
-    return _with_empty(regroup(hits, keys, F.coalesce("_to", "word"), tokens), df, keys, tokens, tokens)
+    rows = positions(df, keys, tokens, "_w")
+    hits = rows.join(table.select(F.col(source).alias("_w"), F.col(target).alias("_to")), "_w", "left")
+    return _with_empty(regroup(hits, keys, F.coalesce("_to", "_w"), tokens), df, keys, tokens, tokens)
 
 
 def lemmatize(df: DataFrame, keys: list[str], text: str, lemmas: DataFrame, tag: str = "n") -> DataFrame:

@@ -59,13 +59,13 @@ def vocabulary(counts: DataFrame, size: int | None = None) -> DataFrame:
 
 def words_to_ids(df: DataFrame, keys: list[str], tokens: str, vocab: DataFrame, name: str = "ids") -> DataFrame:
     """Token arrays to id arrays; a word outside the vocabulary is unknown."""
-    rows = positions(df, keys, tokens).join(vocab.select("word", "id"), "word", "left")
-    return regroup(rows, keys, F.coalesce("id", F.lit(UNKNOWN_ID)), name)
+    rows = positions(df, keys, tokens, "_w").join(vocab.select(F.col("word").alias("_w"), F.col("id").alias("_id")), "_w", "left")
+    return regroup(rows, keys, F.coalesce("_id", F.lit(UNKNOWN_ID)), name)
 
 
 def ids_to_words(df: DataFrame, keys: list[str], ids: str, vocab: DataFrame, name: str = "words") -> DataFrame:
-    rows = positions(df, keys, ids, "id").join(vocab.select("word", "id"), "id")
-    return regroup(rows, keys, "word", name)
+    rows = positions(df, keys, ids, "_id").join(vocab.select(F.col("word").alias("_w"), F.col("id").alias("_id")), "_id")
+    return regroup(rows, keys, "_w", name)
 
 
 def sentence_to_ids(df: DataFrame, keys: list[str], tokens: str, vocab: DataFrame, name: str = "ids") -> DataFrame:
