@@ -43,6 +43,8 @@ def word_owner_counts(words: DataFrame, word: str, owner: str, order: Sequence[s
     row per pair, and the earliest pair of each word is the answer, so nothing
     is joined back.
     """
-    pairs = words.groupBy(word, owner).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*order)).alias("_first"))
+    # A single column keeps the counting a hash aggregation; a struct would sort.
+    arrival = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    pairs = words.groupBy(word, owner).agg(F.count(F.lit(1)).alias("_n"), F.min(arrival).alias("_first"))
     return pairs.groupBy(word).agg(
         F.min_by(F.struct(owner, F.col("_n").alias("count")), F.struct("_first", owner)).alias("_o")).select(word, "_o.*")

@@ -10,23 +10,30 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def partition_sums(df: DataFrame, vec: str, extra: list[str], fn: Callable[[np.ndarray, pd.DataFrame], np.ndarray]) -> np.ndarray:
-    """Sum over all Arrow batches of ``fn(rows, batch)``, a flat array."""
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def rows_of(column: pa.Array) -> np.ndarray:
+    """A list column as one matrix, without a Python object per row."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
+
+
+def partition_sums(df: DataFrame, vec: str, extra: list[str], fn: Callable[..., np.ndarray]) -> np.ndarray:
+    """Sum over all Arrow batches of ``fn(rows, *extra matrices)``, a flat array."""
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            if len(batch):
-                part = fn(np.stack(batch[vec].to_numpy()).astype(float), batch)
+            if batch.num_rows:
+                part = fn(*[rows_of(batch.column(c)) for c in (vec, *extra)])
                 total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"i": np.arange(total.size, dtype="int64"), "x": total})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total)], names=["i", "x"])
 
-    parts = df.select(vec, *extra).mapInPandas(sums, "i long, x double")
+    parts = df.select(vec, *extra).mapInArrow(sums, "i long, x double")
     rows = parts.groupBy("i").agg(F.sum("x").alias("x")).collect()
     out = np.zeros(len(rows))
     for r in rows:
@@ -34,21 +41,27 @@ def partition_sums(df: DataFrame, vec: str, extra: list[str], fn: Callable[[np.n
     return out
 
 
+def map_rows(df: DataFrame, vec: str, name: str, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Adds ``fn`` of the row vectors (matrix in, matrix out) as an array column."""
+    def apply(batch: pa.Array) -> pa.Array:
+        if not len(batch):
+            return pa.array([], pa.list_(pa.float64()))
+        out = fn(rows_of(batch))
+        offsets = np.arange(0, out.size + 1, out.shape[1], dtype="int32")
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+
+    return df.withColumn(name, F.arrow_udf(apply, "array<double>")(F.col(vec)))
+
+
 def project(df: DataFrame, vec: str, basis: np.ndarray, name: str, centre: np.ndarray | None = None) -> DataFrame:
     """Row vectors times a small (d by k) basis, one matrix product per batch."""
     shift = np.zeros(basis.shape[0]) if centre is None else centre
-
-    def product(batch: pd.Series) -> pd.Series:
-        if not len(batch):
-            return pd.Series([], dtype=object)
-        return pd.Series(list((np.stack(batch.to_numpy()).astype(float) - shift) @ basis))
-
-    return df.withColumn(name, F.pandas_udf(product, "array<double>")(F.col(vec)))
+    return map_rows(df, vec, name, lambda x: (x - shift) @ basis)
 
 
 def moments(df: DataFrame, vec: str, size: int) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, vector of sums and matrix of cross products."""
-    def fn(x: np.ndarray, _batch) -> np.ndarray:
+    def fn(x: np.ndarray) -> np.ndarray:
         return np.concatenate(([len(x)], x.sum(axis=0), (x.T @ x).ravel()))
 
     flat = partition_sums(df, vec, [], fn)

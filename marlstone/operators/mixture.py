@@ -13,11 +13,10 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .matrix import partition_sums
+from .matrix import map_rows, moments, partition_sums
 from .sampling import hash_share
 
 COVARIANCES = ("spherical", "tied", "diag", "full")
@@ -90,13 +89,7 @@ class Mixture:
         means, offset = self.means, self.log_offset
         chols = np.stack([_factor(c) for c in self.covariances])
 
-        def score(batch: pd.Series) -> pd.Series:
-            if not len(batch):
-                return pd.Series([], dtype=object)
-            resp, _ = _responsibilities(_log_density(np.stack(batch.to_numpy()).astype(float), means, chols) + offset)
-            return pd.Series(list(resp))
-
-        return df.withColumn(name, F.pandas_udf(score, "array<double>")(F.col(vec)))
+        return map_rows(df, vec, name, lambda x: _responsibilities(_log_density(x, means, chols) + offset)[0])
 
     def predict(self, df: DataFrame, vec: str, name: str = "cluster") -> DataFrame:
         """Adds the most probable component."""
@@ -106,8 +99,8 @@ class Mixture:
 
 def _statistics(df: DataFrame, vec: str, k: int, d: int, extra: list[str], responsibilities) -> tuple:
     """(counts, sums, cross products, log-likelihood) of one pass."""
-    def fn(x: np.ndarray, batch: pd.DataFrame) -> np.ndarray:
-        resp, total = responsibilities(x, batch)
+    def fn(x: np.ndarray, *start: np.ndarray) -> np.ndarray:
+        resp, total = responsibilities(x, *start)
         cross = np.einsum("nk,ni,nj->kij", resp, x, x, optimize=True)
         return np.concatenate((resp.sum(axis=0), (resp.T @ x).ravel(), cross.ravel(), [total.sum()]))
 
@@ -148,8 +141,7 @@ def _kmeans_start(df: DataFrame, vec: str, k: int, seed: int) -> DataFrame:
     return model.transform(rows).withColumn("_start", hot).drop("_features", "_c")
 
 
-def _started(x: np.ndarray, batch: pd.DataFrame):
-    start = np.stack(batch["_start"].to_numpy()).astype(float)
+def _started(x: np.ndarray, start: np.ndarray):
     return start / start.sum(axis=1, keepdims=True), np.zeros(len(x))
 
 
@@ -165,7 +157,7 @@ def _run(df: DataFrame, vec: str, key: str, d: int, k: int, start: str, seed: in
         for _ in range(max_iter):
             means, chols, offset = state["means"], np.stack([_factor(c) for c in state["covariances"]]), state["log_offset"]
 
-            def scored(x, _batch, means=means, chols=chols, offset=offset):
+            def scored(x, means=means, chols=chols, offset=offset):
                 return _responsibilities(_log_density(x, means, chols) + offset)
 
             counts, sums, cross, total = _statistics(begun, vec, k, d, [], scored)
@@ -209,8 +201,6 @@ def fit_dirichlet(df: DataFrame, vec: str, key: str, size: int, k: int, covarian
     """
     if covariance not in COVARIANCES:
         raise ValueError(f"unknown covariance type {covariance}")
-    from .matrix import moments
-
     n_rows, total, second = moments(df, vec, size)
     prior_mean = total / n_rows
     data_cov = (second - n_rows * np.outer(prior_mean, prior_mean)) / max(n_rows - 1, 1)

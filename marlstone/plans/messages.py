@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..operators import sentiment
-from ..session import new_folder
+from ..session import new_folder, write_cut
 from ..sources import records as rec
 from ..streaming import enrich as en
 from . import sql as S
@@ -117,7 +117,8 @@ def lexicon(spark, sf_dir):
     words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tokenize("text"))).alias("word"))
     valence = F.round(8 * (F.avg("quality") - 0.5), 1)
     rated = words.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("word").agg(valence.alias("valence"), F.count(F.lit(1)).alias("n"))
-    return rated.filter("n >= 3 AND valence <> 0").select("word", "valence")
+    # A few thousand words from a pass over all texts: kept, not derived again.
+    return write_cut(rated.filter("n >= 3 AND valence <> 0").select("word", "valence"), "lexicon")
 
 
 _LABEL = "CASE WHEN {s} > 0 THEN 'positive' WHEN {s} = 0 THEN 'neutral' ELSE 'negative' END"
