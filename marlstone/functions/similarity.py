@@ -66,17 +66,17 @@ def _transposition_distance(a: str, b: str) -> int:
     """
     if not a or not b:
         return len(a) + len(b)
-    columns = np.arange(len(b) + 1)
+    columns = np.arange(len(b) + 1, dtype=np.int32)
     letters = {ch: i for i, ch in enumerate(dict.fromkeys(b))}
     codes = np.array([letters[ch] for ch in b])
-    seen_row = np.zeros(len(letters), dtype=np.int64)            # last row holding the letter
-    seen_table = np.zeros((len(letters), len(b) + 1), dtype=np.int64)
+    seen_row = np.zeros(len(letters), dtype=np.int32)            # last row holding the letter
+    seen_table = np.zeros((len(letters), len(b) + 1), dtype=np.int32)
     previous = columns.copy()
     far = len(a) + len(b) + 1
     for i, ch in enumerate(a, start=1):
         code = letters.get(ch, -1)
         equal = codes == code
-        row = np.empty(len(b) + 1, dtype=np.int64)
+        row = np.empty(len(b) + 1, dtype=np.int32)
         row[0] = i
         row[1:] = np.minimum(previous[1:] + 1, previous[:-1] + ~equal)
         # last column before j that holds this row's letter

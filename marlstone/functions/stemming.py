@@ -107,7 +107,7 @@ def resolve_stemmer(name: str = "snowball") -> str:
             if full not in _STEMMERS:
                 raise NotImplementedError(f"stemmer {full} has no implementation here; register_stemmer can add one")
             return full
-    raise ValueError(f"Stemmer {name} not found or not supported")
+    raise ValueError(f"unknown stemmer: {name!r}")
 
 
 def stem_tokens(tokens, stemmer: str = "porter") -> Column:

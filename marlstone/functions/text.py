@@ -81,7 +81,7 @@ def resolve_tokenizer(name: str = "regexp") -> str:
     """The tokenizer's full name from any prefix of it."""
     if "regexp".startswith(name.lower()):
         return "regexp"
-    raise ValueError(f"Tokenizer {name} not found or not supported")
+    raise ValueError(f"unknown tokenizer: {name!r}")
 
 
 def tokenize(c, tokenizer: str = "regexp", pattern: str = WORD) -> Column:
@@ -183,9 +183,9 @@ def parse_phrase_rules(context: str) -> list[tuple[str, str, str]]:
             continue
         parts = line.split()
         if len(parts) != 3:
-            raise ValueError(f"Line '{line}' does not have the right format")
+            raise ValueError(f"a rule is POSITION from to, not {line!r}")
         if parts[0] not in ("START", "END", "EQUAL", "ALL"):
-            raise ValueError(f"Invalid keyword {parts[0]} encountered")
+            raise ValueError(f"unknown rule position: {parts[0]!r}")
         rules.append(tuple(parts))
     return rules
 

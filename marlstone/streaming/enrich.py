@@ -17,11 +17,14 @@ from ..sources.records import MISSING_TEXT, extract_message, parse
 MINIMUM_WORD = 4      # words of three letters or fewer are not counted
 
 
+def clean_messages(messages: DataFrame, key: str) -> DataFrame:
+    """Parsed messages -> flat columns and cleaned text (one projection)."""
+    return extract_message(messages, key).withColumn("text_clean", clean_text(strip_entities("text"), short_tokens=False))
+
+
 def enrich(messages: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
     """Parsed messages -> flat columns, cleaned text, score and label."""
-    flat = extract_message(messages, key)
-    cleaned = flat.withColumn("text_clean", clean_text(strip_entities("text"), short_tokens=False))
-    return sentiment.score_sentiment(cleaned, key, "text_clean", lexicon)
+    return sentiment.score_sentiment(clean_messages(messages, key), key, "text_clean", lexicon)
 
 
 def message_words(enriched: DataFrame, *keep: str) -> DataFrame:
@@ -68,9 +71,9 @@ def enrichment_sink(tables: str, key: str, lexicon: DataFrame) -> Callable[[Data
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        lexicon_here = lexicon
-        messages = parse(batch)
-        enriched = enrich(messages, key, lexicon_here).persist()
+        # Scoring reads the cleaned rows twice, the sinks read the scored rows twice.
+        cleaned = clean_messages(parse(batch), key).persist()
+        enriched = sentiment.score_sentiment(cleaned, key, "text_clean", lexicon).persist()
         try:
             stored = f"{tables}/messages"
             new = enriched.withColumn("created_at", F.current_timestamp())
@@ -85,6 +88,7 @@ def enrichment_sink(tables: str, key: str, lexicon: DataFrame) -> Callable[[Data
             counts.write.mode("overwrite").parquet(f"{tables}/words/version={batch_id}")
         finally:
             enriched.unpersist()
+            cleaned.unpersist()
 
     return write
 
