@@ -116,7 +116,9 @@ def lemmatize_lookup(spark, sf_dir):
     return out.withColumnRenamed("text", "lemmas")
 
 
-@query("sentence_split")
+@query("sentence_split", """
+WITH s AS (SELECT doc_id, string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents)
+SELECT doc_id, (i - 1)::INTEGER AS pos, parts[i] AS sentence FROM s, unnest(range(1, len(parts) + 1)) AS r(i)""")
 def sentence_split(spark, sf_dir):
     sentences = docs(spark, sf_dir, F.posexplode(t.sentence_split("text")).alias("pos", "sentence"))
     return sentences
