@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,14 +35,13 @@ def get_session(app: str = "marlstone", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
-    Only a local session without the setting gets a folder of its own.
+    A session without the setting gets a folder below its warehouse, which the
+    executors share too.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="marlstone-")
+    folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
