@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, lines, packing, quality
+from marlstone.llm import decontaminate, embeddings, lines, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +112,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document from its own form, its source and its language there."""
     scored = quality.score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return scored.select(F.col("doc").alias("doc_id"), "p_document", "p_host", "p_path", "p_quality", "accepted")
+
+
+_VECTORS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (SELECT * FROM v WHERE label IS NOT NULL AND list_sum(list_transform(e, lambda x: x * x)) > 0 AND isfinite(list_sum(e))),
+links AS (SELECT a.vec_id AS u, b.vec_id AS w FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT r.vec_id, l.w FROM reach r JOIN links l ON r.other = l.u),
+roots AS (SELECT vec_id, min(other) AS root FROM reach GROUP BY vec_id)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE u = v.vec_id) AS n_links, root AS component_id, v.vec_id = root AS kept
+FROM v JOIN roots USING (vec_id)
+"""
+
+
+@_query("op4_embedding_dedup", _VECTORS_SQL)
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    found = embeddings.link_vectors(_read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
