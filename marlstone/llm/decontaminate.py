@@ -21,7 +21,8 @@ SHARD_BYTES = 16 << 20
 
 # Upper case to lower case, every other ASCII character but digits to a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+# The words of a text in its own letter case.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 LEAK = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.IntegerType())),
