@@ -5,13 +5,14 @@ from __future__ import annotations
 import array
 import json
 import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marlstone.llm.common import quoted
 from marlstone.session import write_cut
@@ -22,8 +23,10 @@ DEPTH = 3
 # Pieces of one length that are numbered by one task at most.
 CELL_ROWS = 200_000
 CACHE_CHUNKS = 300_000
+CACHED_CHARS = 100
 
-_PIECES = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32())), ("length", pa.int32()), ("doc_tokens", pa.int64())])
+_PIECES = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32())), ("length", pa.int32()),
+                     ("crc", pa.int64()), ("doc_tokens", pa.int64())])
 
 
 # ---- token ids -------------------------------------------------------------
@@ -39,6 +42,19 @@ def _byte_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Chunks(dict):
+    """Ids of chunks that follow a space, found when first asked for."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = array.array("I", self.encode(" " + chunk)).tobytes()
+        if len(chunk) <= CACHED_CHARS:
+            self[chunk] = ids
+        return ids
+
+
 class ByteBpe:
     """Ids of a byte-level BPE file, with the chunks between spaces kept.
 
@@ -54,11 +70,11 @@ class ByteBpe:
 
         self.slow = Tokenizer.from_file(path)
         self.slow.encode_special_tokens = True
-        self.kept: dict[str, bytes] = {}
         self.encode: Callable[[str], list[int]] = lambda t: self.slow.encode(t, add_special_tokens=False).ids
         fast = self._fast(path)
         if fast and fast(self.PROBE) == self.encode(self.PROBE):
             self.encode = fast
+        self.kept = _Chunks(self.encode)
 
     @staticmethod
     def _fast(path: str) -> Callable[[str], list[int]] | None:
@@ -83,11 +99,7 @@ class ByteBpe:
         kept = self.kept
         if len(kept) > CACHE_CHUNKS:
             kept.clear()
-        head = array.array("I", self.encode(chunks[0])).tobytes()
-        rest = chunks[1:]
-        for chunk in set(rest).difference(kept):
-            kept[chunk] = array.array("I", self.encode(" " + chunk)).tobytes()
-        return head + b"".join([kept[c] for c in rest])
+        return array.array("I", self.encode(chunks[0])).tobytes() + b"".join(map(kept.__getitem__, chunks[1:]))
 
 
 _loaded: dict[str, ByteBpe] = {}
@@ -100,29 +112,31 @@ def byte_bpe(path: str) -> ByteBpe:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, size: int, end_id: int) -> DataFrame:
-    """(doc, start, ids, length, doc_tokens): full windows of ``size`` ids, and what is left of each document."""
+    """(doc, start, ids, length, crc, doc_tokens): full windows of ``size`` ids, and what is left of each document.
+
+    ``crc`` is the CRC-32 of the ids as little-endian unsigned 32-bit integers.
+    """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(tokenizer_path)
+        encode, end = byte_bpe(tokenizer_path), array.array("I", [end_id]).tobytes()
         for batch in batches:
             # Few texts at a time: the ids take more room than the texts.
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                doc, start, ids, length, tokens = [], [], [], [], []
+                rows, raw = [], []
                 for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    all_ids = np.append(np.frombuffer(encode(text), np.uint32), np.uint32(end_id)).astype(np.int32)
-                    for a in range(0, len(all_ids), size):
-                        doc.append(d)
-                        start.append(a)
-                        ids.append(all_ids[a:a + size])
-                        length.append(len(ids[-1]))
-                        tokens.append(len(all_ids))
+                    ids = encode(text) + end
+                    raw.append(ids)
+                    for a in range(0, len(ids), 4 * size):
+                        piece = ids[a:a + 4 * size]
+                        rows.append((d, a // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4))
+                doc, start, length, crc, tokens = zip(*rows, strict=True)
                 offsets = np.concatenate(([0], np.cumsum(length, dtype=np.int64))).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), values,
-                                                  pa.array(length, pa.int32()), pa.array(tokens, pa.int64())], schema=_PIECES)
+                values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), values, pa.array(length, pa.int32()),
+                                                  pa.array(crc, pa.int64()), pa.array(tokens, pa.int64())], schema=_PIECES)
 
     return docs.select(quoted(id_col).cast("long").alias("doc"), quoted(text_col).alias("text")).mapInArrow(
-        cut, "doc long, start long, ids array<int>, length int, doc_tokens long")
+        cut, "doc long, start long, ids array<int>, length int, crc long, doc_tokens long")
 
 
 # ---- the plan: how often which combination of lengths ----------------------
@@ -222,7 +236,7 @@ def _slots(rows: np.ndarray, counts: np.ndarray, size: int) -> list[tuple[int, i
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE,
          end_id: int = END_ID, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """One row per piece: doc, start, length, ids, doc_tokens, sequence_id, offset.
+    """One row per piece: doc, start, length, ids, crc (of the ids), doc_tokens, sequence_id, offset.
 
     Each document is its ids and ``end_id``.  Full windows are sequences by themselves.  What is left of
     the documents, all shorter than ``size``, is counted by length; non-negative least squares choose how
@@ -258,52 +272,57 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
               .select("length", "cell", (F.sum("count").over(Window.partitionBy("length").orderBy("cell")) - F.col("count")).alias("before")))
     ranked = (short.withColumn("in_cell", F.row_number().over(Window.partitionBy("length", "cell").orderBy("row")) - 1)
               .join(starts, ["length", "cell"]).withColumn("rank", F.col("before") + F.col("in_cell")))
-    return _placed(ranked, slots, laid, size).unionByName(
+    # A piece stands whole in its place, or is cut where the sequence ends.
+    place = _places(docs.sparkSession, slots, laid, size)
+    here = ranked.withColumn("place", place("length", "rank"))
+    whole = F.col("place.room") >= F.col("length")
+    first = F.slice("ids", F.lit(1), F.col("place.room"))
+    rest = F.slice("ids", F.col("place.room") + 1, F.greatest(F.col("length") - F.col("place.room"), F.lit(0)))
+
+    def part(start, length, ids, crc, sequence, offset):
+        return F.struct(start.alias("start"), length.alias("length"), ids.alias("ids"), crc.alias("crc"), sequence.alias("sequence_id"), offset.alias("offset"))
+
+    parts = F.when(whole, F.array(part(F.col("start"), F.col("length"), F.col("ids"), F.col("crc"), F.col("place.sequence"), F.col("place.offset")))).otherwise(
+        F.array(part(F.col("start"), F.col("place.room"), first, _crc(first), F.col("place.sequence"), F.col("place.offset")),
+                part(F.col("start") + F.col("place.room"), F.col("length") - F.col("place.room"), rest, _crc(rest), F.col("place.sequence") + 1, F.lit(0))))
+    names = ["doc", "start", "length", "ids", "crc", "doc_tokens", "sequence_id", "offset"]
+    return here.select("doc", "doc_tokens", F.inline(parts)).select(names).unionByName(
         pieces.where(F.col("length") == size).select(
-            "doc", "start", "length", "ids", "doc_tokens", (F.lit(first_full) + F.col("row")).alias("sequence_id"), F.lit(0).alias("offset")))
+            "doc", "start", "length", "ids", "crc", "doc_tokens", (F.lit(first_full) + F.col("row")).alias("sequence_id"), F.lit(0).alias("offset")))
+
 
+def _crc(ids: Column) -> Column:
+    """CRC-32 of little-endian 32-bit integers; only pieces that are cut need it here."""
+    digits = F.transform(ids, lambda i: F.lpad(F.hex(i), 8, "0"))
+    swapped = F.transform(digits, lambda h: F.concat(h.substr(7, 2), h.substr(5, 2), h.substr(3, 2), h.substr(1, 2)))
+    return F.crc32(F.unhex(F.array_join(swapped, "")))
 
-def _placed(ranked: DataFrame, slots: list, laid: list, size: int) -> DataFrame:
-    """Places for the ranked pieces; the plan goes along with the task, as large as the combinations used at most."""
-    plan = ranked.sparkSession.sparkContext.broadcast((slots, laid))
-    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.IntegerType()),
-                           T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("doc_tokens", T.LongType()),
-                           T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.IntegerType())])
-    arrow = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids", pa.list_(pa.int32())),
-                       ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int32())])
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(spark: SparkSession, slots: list, laid: list, size: int) -> Callable[..., Column]:
+    """(sequence, offset, room there) by length and rank; the plan goes along, as large as the combinations used at most."""
+    plan = spark.sparkContext.broadcast((slots, laid))
+
+    @F.pandas_udf("sequence long, offset int, room int")
+    def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
         slots, laid = plan.value
-        by_length: dict[int, tuple[np.ndarray, list]] = {}
-        for length in {s[0] for s in slots}:
-            own = [s for s in slots if s[0] == length]
-            by_length[length] = np.array([s[1] for s in own]), own
         over = {length: rest for length, *rest in laid}
-        for batch in batches:
-            out: dict[str, list] = {n: [] for n in arrow.names}
-
-            def add(doc, start, ids, tokens, sequence, offset, out=out):
-                for name, v in zip(arrow.names, (doc, start, len(ids), ids, tokens, sequence, offset), strict=True):
-                    out[name].append(v)
-
-            values, offsets = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
-            columns = [batch.column(c).to_pylist() for c in (0, 1, 3, 4, 5)]
-            for i, (doc, start, length, tokens, rank) in enumerate(zip(*columns, strict=True)):
-                ids = values[offsets[i]:offsets[i + 1]]
-                first, own = by_length.get(length, ((), ()))
-                if length not in over or rank < over[length][0]:
-                    _, base, _, sequence, offset = own[int(np.searchsorted(first, rank, "right")) - 1]
-                    add(doc, start, ids, tokens, sequence + rank - base, offset)
-                    continue
-                base, _, at = over[length]
-                at += (rank - base) * length
-                room = size - at % size
-                add(doc, start, ids[:room], tokens, at // size, at % size)
-                if len(ids) > room:
-                    add(doc, start + room, ids[room:], tokens, at // size + 1, 0)
-            ids = out["ids"]
-            ends = np.concatenate(([0], np.cumsum(out["length"], dtype=np.int64))).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([listed if f.name == "ids" else pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
-
-    return ranked.select("doc", "start", "ids", "length", "doc_tokens", "rank").mapInArrow(place, schema)
+        length, rank = lengths.to_numpy(np.int64), ranks.to_numpy(np.int64)
+        sequence, offset, room = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), length.copy()
+        table = np.array(slots or [(0, 0, 0, 0, 0)], np.int64)
+        for one in np.unique(length):
+            rows = np.flatnonzero(length == one)
+            own = table[table[:, 0] == one]
+            first_over, _, at = over.get(int(one), (np.iinfo(np.int64).max, 0, 0))
+            laid_out = rank[rows] >= first_over
+            inside = rows[~laid_out]
+            if len(inside):
+                k = np.searchsorted(own[:, 1], rank[inside], "right") - 1
+                sequence[inside] = own[k, 3] + rank[inside] - own[k, 1]
+                offset[inside] = own[k, 4]
+            outside = rows[laid_out]
+            place_of = at + (rank[outside] - first_over) * one
+            sequence[outside], offset[outside] = place_of // size, place_of % size
+            room[outside] = np.minimum(one, size - place_of % size)
+        return pd.DataFrame({"sequence": sequence, "offset": offset.astype(np.int32), "room": room.astype(np.int32)})
+
+    return place

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,12 +90,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed_pieces(docs: DataFrame) -> DataFrame:
     """The digest of ``packing.pack`` over documents, as ``op9_packing`` and the last stage of the pipeline return it."""
-    @F.pandas_udf("long")
-    def crc32(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda a: zlib.crc32(a.astype("<u4").tobytes()))
-
     return packing.pack(docs, tokenizer_path()).select(
-        F.col("doc").alias("doc_id"), "start", F.col("length").cast("long").alias("length"), crc32("ids").alias("ids_crc32"), "doc_tokens",
+        F.col("doc").alias("doc_id"), "start", F.col("length").cast("long").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens",
         "sequence_id", F.col("offset").cast("long").alias("offset"))
 
 
