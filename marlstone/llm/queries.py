@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, embeddings, lines, packing, quality
+from marlstone.llm import decontaminate, embeddings, lines, minhash, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,28 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     found = embeddings.link_vectors(_read(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+_WORDS = r"regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x20\x09-\x0D]+')"
+_NEAR_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+classes AS (SELECT list_sort(g) AS g, min(doc_id) AS c, len(any_value(g)) AS n FROM s WHERE len(g) > 0 GROUP BY list_sort(g)),
+grams AS (SELECT c, n, hash(unnest(g)) AS x FROM classes),
+rare AS (SELECT x FROM grams GROUP BY x HAVING count(*) > 1),
+shared AS (SELECT * FROM grams SEMI JOIN rare USING (x)),
+links AS (SELECT a.c AS u, b.c AS v FROM shared a JOIN shared b ON a.x = b.x AND a.c <> b.c AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT c, c AS other FROM classes UNION SELECT r.c, l.v FROM reach r JOIN links l ON r.other = l.u),
+roots AS (SELECT c, min(other) AS root FROM reach GROUP BY c)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(root, s.doc_id) AS component_id, coalesce(root, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN classes ON list_sort(s.g) = classes.g LEFT JOIN roots USING (c)
+"""
+
+
+@_query("op2_minhash_dedup", _NEAR_SQL)
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the shingle set and component of every document."""
+    found = minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
