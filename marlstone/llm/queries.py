@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, embeddings, lines, minhash, packing, quality
+from marlstone.llm import decontaminate, embeddings, lines, minhash, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,23 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of the shingle set and component of every document."""
     found = minhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT d, n, max(page_id) AS latest FROM p WHERE n >= 1000 GROUP BY d, n)
+SELECT page_id, p.n AS payload_bytes, p.d AS payload_digest, CASE WHEN latest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN latest <> page_id THEN latest END AS refers_to
+FROM p LEFT JOIN m ON p.d = m.d AND p.n = m.n
+"""
+
+
+@_query("op5_warc", _WARC_SQL)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it comes back from the archives."""
+    def number(uri: str):
+        return F.expr(f"try_cast(regexp_extract({uri}, '^page:(-?[0-9]+) ', 1) AS bigint)")
+
+    back = warc.round_trip(_read(spark, sf_dir, "pages"))
+    return back.select(number("target").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type",
+                       number("refers_to").alias("refers_to"))
