@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, embeddings, lines, minhash, packing, quality, warc
+from marlstone.llm import decontaminate, embeddings, lines, minhash, packing, pii, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -170,3 +170,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(_read(spark, sf_dir, "pages"))
     return back.select(number("target").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type",
                        number("refers_to").alias("refers_to"))
+
+
+@_query("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms for its private values; a real key is a secret of whoever runs this."""
+    found = pii.pseudonymise(_read(spark, sf_dir, "documents"), key="not a secret")
+    count = {k: F.size(F.filter("private.found", lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.PATTERNS}
+    return found.select("doc_id", *count.values(), "private.clean_text")
