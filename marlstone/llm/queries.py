@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, embeddings, lines, minhash, packing, pii, quality, warc
+from marlstone.llm import decontaminate, embeddings, lines, minhash, packing, pii, quality, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,3 +178,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pseudonymise(_read(spark, sf_dir, "documents"), key="not a secret")
     count = {k: F.size(F.filter("private.found", lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.PATTERNS}
     return found.select("doc_id", *count.values(), "private.clean_text")
+
+
+@_query("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its bytes in repeated strings of 400."""
+    found = suffixes.remove_repeats(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(F.col("doc").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
