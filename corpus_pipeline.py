@@ -1,3 +1,56 @@
-STAGES = []
+"""The corpus pipeline: five operators in a row, each on what the one before it kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marlstone.llm import decontaminate, lines, minhash, quality
+from marlstone.llm.queries import packed_pieces
+from marlstone.session import write_cut
+
+
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without cross-site boilerplate lines; those that had nothing else go."""
+    return lines.drop_boilerplate(docs)
+
+
+def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return minhash.keep_one_of_each(docs)
+
+
+def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 1024 ids."""
+    return packed_pieces(docs)
+
+
+STAGES = [
+    ("quality", _quality),
+    ("line dedup", _lines),
+    ("near-dedup", _near_duplicates),
+    ("decontamination", _decontaminate),
+    ("packing", _pack),
+]
+
+# A classifier, MinHash and a tokeniser: tests/llm/test_pipeline.py holds the stages against brute force instead.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each result but the last written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = write_cut(docs, f"stage-{k}")
+    return docs
