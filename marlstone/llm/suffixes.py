@@ -21,6 +21,8 @@ GRAM = 32
 # Texts are walked in stretches, so that a very long one takes no more memory than this.
 STRETCH = 4 << 20
 BUCKET_BYTES = 24 << 20
+# Neighbours on either side that a suffix is compared with; what they leave open goes to digests.
+SCAN = 48
 # Bits of the filters that go to all tasks, whatever the input: they pass too much when full, never too little.
 FILTER_BITS = 1 << 27
 
@@ -205,7 +207,7 @@ def _match(a: tuple[int, bytes], b: tuple[int, bytes]) -> tuple[int, int]:
 
 
 def _sorted_buckets(classes: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Neighbours in suffix order inside each bucket, what they leave open, and the rows at the bucket's ends.
+    """Comparison with the neighbours in suffix order inside each bucket, what they leave open, and the rows at the bucket's ends.
 
     kind 0: bytes from .. to around the anchor of class c occur elsewhere; kind 1: offsets still open for
     the gram, as bits; kind 2 and 3: first and last class of a bucket.
@@ -221,18 +223,33 @@ def _sorted_buckets(classes: DataFrame, length: int, buckets: int) -> DataFrame:
         suffix = _tokens([r["seg"][r["a"]:] for r in rows], length)
         left = _tokens([r["seg"][:r["a"]][::-1] for r in rows], length)
         rows = [rows[i] for i in multikey_quicksort(np.hstack((suffix, left))).tolist()]
-        bucket, out, nearest = TaskContext.get().partitionId(), [], []
-        for one, two in zip(rows, rows[1:], strict=False):
-            nearest.append(_match((one["a"], one["seg"]), (two["a"], two["seg"])))
+        bucket, out = TaskContext.get().partitionId(), []
+        before = [r["seg"][:r["a"]][::-1] for r in rows]
+        ahead = [r["seg"][r["a"]:] for r in rows]
+        shared = [common_prefix(x, y) for x, y in zip(ahead, ahead[1:], strict=False)]
         for i, row in enumerate(rows):
-            around = [nearest[j] for j in (i - 1, i) if 0 <= j < len(nearest)]
-            covers = [(l, r) for l, r in around if l + r >= length]
-            out += [(0, row["c"], None, -l, r, None, None) for l, r in covers]
             if row["several"]:
                 continue
-            # Only an end of the bucket may have a nearer neighbour elsewhere.
-            longest = length if i in (0, len(rows) - 1) else max(r for _, r in around)
-            low = max(row["a"] - (len(row["seg"]) - length), length - longest)
+            covers, unknown = [], 0
+            for step in (-1, 1):
+                # Further off, less is shared from the anchor on: stop where no partner can match long enough.
+                j, right = i, length
+                for tried in range(SCAN + 1):
+                    k = j + step
+                    if not 0 <= k < len(rows) or tried == SCAN:
+                        unknown = max(unknown, right)
+                        break
+                    right = min(right, shared[min(j, k)])
+                    if right + row["a"] < length:
+                        break
+                    left_match = common_prefix(before[i], before[k])
+                    if left_match + right >= length:
+                        covers.append((left_match, right))
+                        if left_match == row["a"]:
+                            break
+                    j = k
+            out += [(0, row["c"], None, -l, r, None, None) for l, r in covers]
+            low = max(row["a"] - (len(row["seg"]) - length), length - unknown)
             wanted = [d for d in range(low, row["a"] + 1) if not any(length - r <= d <= l for l, r in covers)]
             if wanted:
                 bits = [0] * words

@@ -152,11 +152,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.select(quoted(id_col).alias("doc"), quoted(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1)).distinct()
     share = known.agg(F.avg("y")).first()[0] or 0.0
     text = quoted(text_col).cast("binary")
-    rows = (docs.select(quoted(id_col).alias("doc"), text.alias("text")).where((F.octet_length("text") > 0) & (F.octet_length("text") <= max_bytes)).join(known, "doc"))
-    taken = []
-    for y, most in ((1, max_toxic), (0, max_ordinary)):
-        chosen = rows.where(F.col("y") == y).orderBy(F.xxhash64("doc"), "doc").limit(most)
-        taken.append([bytes(r["text"]) for r in chosen.select("text").collect()])
+    sizes = docs.select(quoted(id_col).alias("doc"), F.octet_length(text).alias("n")).where((F.col("n") > 0) & (F.col("n") <= max_bytes))
+    rows = sizes.join(known, "doc")
+    # Ids first: the texts of a bounded number of them need no shuffle.
+    chosen = [rows.where(F.col("y") == y).select("doc", "y").distinct().orderBy(F.xxhash64("doc"), "doc").limit(most) for y, most in ((1, max_toxic), (0, max_ordinary))]
+    ids = docs.sparkSession.createDataFrame(chosen[0].collect() + chosen[1].collect(), chosen[0].schema)
+    texts = (docs.select(quoted(id_col).alias("doc"), text.alias("text")).join(F.broadcast(ids), "doc")
+             .where((F.octet_length("text") > 0) & (F.octet_length("text") <= max_bytes)).orderBy(F.xxhash64("doc"), "doc").limit(2 * (max_toxic + max_ordinary)).collect())
+    taken = [[bytes(r["text"]) for r in texts if r["y"] == y] for y in (1, 0)]
     return Model(*taken, share)
 
 
