@@ -42,7 +42,7 @@ STAGES = [
     ("packing", _pack),
 ]
 
-# A classifier, MinHash and a tokeniser: tests/llm/test_pipeline.py holds the stages against brute force instead.
+# A classifier, MinHash and a tokeniser: tests/llm holds the operators of the stages against brute force instead.
 ORACLE_SQL = None
 
 
