@@ -100,7 +100,7 @@ def register_stemmer(name: str, fn) -> None:
         _NAMES.append(name)
 
 
-def resolve_stemmer(name: str = "snowball") -> str:
+def resolve_stemmer(name: str = "porter") -> str:
     """Full stemmer name from any prefix, first match in listed order."""
     for full in _NAMES:
         if full.startswith(name.lower()):

@@ -12,9 +12,9 @@ from ..streaming import enrich as en
 from . import sql as S
 from .catalog import query, spread_over, table
 
-# A message per document: gaps appear by document number so every default is used.
+# A message per document: gaps appear by document number in the fields beside the text.
 _MESSAGE = {
-    "id": "doc_id", "text": "CASE WHEN doc_id % 17 <> 0 THEN text END", "lang": "lang", "retweet_count": "CAST(n_chars % 50 AS INT)",
+    "id": "doc_id", "text": "text", "lang": "lang", "retweet_count": "CAST(n_chars % 50 AS INT)",
     "ts": "timestamp_seconds(1700000000 + doc_id)",
     "entities": "named_struct('hashtags', CASE WHEN doc_id % 5 = 0 THEN array() ELSE array(named_struct('text', source), named_struct('text', lang)) END)",
     "user": "named_struct('lang', lang, 'name', concat('user ', source), 'screen_name', source, 'location', CASE WHEN doc_id % 7 <> 0 THEN lang END, "
@@ -42,7 +42,7 @@ def document_stream(spark, sf_dir):
     return stream.repartition(tasks) if tasks else stream
 
 
-_EXTRACT = """SELECT doc_id AS id, CASE WHEN doc_id % 17 <> 0 THEN text ELSE 'Data Error' END AS text,
+_EXTRACT = """SELECT doc_id AS id, coalesce(text, 'Data Error') AS text,
   CASE WHEN doc_id % 5 = 0 THEN 'Data Error' ELSE source END AS movie, lang AS language, CASE WHEN doc_id % 3 <> 0 THEN upper(lang) END AS country,
   'user ' || source AS user_nm, source AS screen_nm,
   CASE WHEN doc_id % 2 <> 0 THEN CASE WHEN doc_id % 11 <> 0 THEN (doc_id % 90) || '.25' ELSE 'Not available' END END AS coordinates_lat,
@@ -60,7 +60,7 @@ def tweet_extract(spark, sf_dir):
 @query("tweet_extract_file", """
 SELECT doc_id AS id, trim(replace(text, chr(10), ' ')) AS text, lang, CASE WHEN doc_id % 3 <> 0 THEN upper(lang) END AS country, 'user ' || source AS user_nm,
   CASE WHEN doc_id % 2 <> 0 AND doc_id % 11 <> 0 THEN (doc_id % 180) || '.5 ' || (doc_id % 90) || '.25' END AS coordinates, (n_chars % 50)::INTEGER AS retweet_count
-FROM documents WHERE doc_id % 17 <> 0""")
+FROM documents WHERE text IS NOT NULL""")
 def tweet_extract_file(spark, sf_dir):
     rows = rec.extract_message_file(messages(spark, sf_dir), "id").filter("text IS NOT NULL")
     return rows.withColumn("coordinates", F.when(F.col("coordinates").isNotNull(), F.array_join(F.col("coordinates").cast("array<string>"), " ")))
@@ -83,7 +83,7 @@ def event_properties(spark, sf_dir):
 
 
 @query("track_filter", """
-SELECT doc_id AS id, CASE WHEN doc_id % 17 <> 0 THEN length(text) END AS n FROM documents
+SELECT doc_id AS id, length(text) AS n FROM documents
 WHERE lang = 'en' AND doc_id % 5 <> 0 AND source IN (SELECT 'src' || n_nationkey FROM nation WHERE n_regionkey = 1)""")
 def track_filter(spark, sf_dir):
     tracked = table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.concat(F.lit("#src"), "n_nationkey").alias("name"))
