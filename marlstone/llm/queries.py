@@ -176,8 +176,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with pseudonyms for its private values; a real key is a secret of whoever runs this."""
     found = pii.pseudonymise(_read(spark, sf_dir, "documents"), key="not a secret")
-    count = {k: F.size(F.filter("private.found", lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.PATTERNS}
-    return found.select("doc_id", *count.values(), "private.clean_text")
+
+    def count(kind: str):
+        # One argument: a second one would be taken for the index.
+        return F.size(F.filter("private.found", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.PATTERNS), "private.clean_text")
 
 
 @_query("op7_suffix_dedup")
