@@ -141,17 +141,16 @@ def remove_short_tokens(c, minimum_token_length: int = 3, pattern: str = WORD) -
 
 
 def consolidate_words(c, variants: Mapping[str, str], pattern: str = WORD) -> Column:
-    """Variant to canonical form for a small literal map.
+    """Variant to canonical form by a literal map of any size.
 
-    A map lookup is a linear search, so large tables go through
-    ``operators.lookup.replace_tokens`` instead.
+    Membership is a hash lookup; only a token that is a variant searches the
+    map.  A table that grows with the data goes through
+    ``operators.lookup.replace_tokens``.
     """
     if not variants:
         return join_tokens(tokenize(c, pattern=pattern))
-    if len(variants) > 200:
-        raise ValueError("use operators.lookup.replace_tokens for more than 200 variants")
     table = F.create_map(*[F.lit(x) for pair in variants.items() for x in pair])
-    return join_tokens(F.transform(tokenize(c, pattern=pattern), lambda w: F.coalesce(F.try_element_at(table, w), w)))
+    return join_tokens(F.transform(tokenize(c, pattern=pattern), lambda w: F.when(w.isin(list(variants)), F.try_element_at(table, w)).otherwise(w)))
 
 
 def sentence_split(c) -> Column:

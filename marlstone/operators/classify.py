@@ -20,6 +20,11 @@ from pyspark.sql import functions as F
 from .metrics import macro_f1
 
 
+DEEPEST = 30
+# Relative change at which a fit ends before its largest number of rounds.
+TOLERANCE = 1e-4
+
+
 class MacroF1(Evaluator):
     """Unweighted mean of the class F1 scores (MLlib's own f1 is weighted)."""
 
@@ -34,27 +39,30 @@ class MacroF1(Evaluator):
         return True
 
 
-def random_forest(trees: int = 100, depth: int = 10, impurity: str = "gini", subset: str = "auto", seed: int = 42) -> RandomForestClassifier:
-    """MLlib trees stop at depth 30, which stands for unbounded depth."""
-    return RandomForestClassifier(numTrees=trees, maxDepth=min(depth, 30), impurity=impurity, featureSubsetStrategy=subset, seed=seed)
+def random_forest(trees: int = 100, depth: int = DEEPEST, impurity: str = "gini", subset: str = "auto", seed: int = 42) -> RandomForestClassifier:
+    """MLlib builds trees of at most ``DEEPEST`` levels; that stands for unbounded depth."""
+    if depth > DEEPEST:
+        raise ValueError(f"trees are at most {DEEPEST} levels deep, not {depth}")
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, impurity=impurity, featureSubsetStrategy=subset, seed=seed)
 
 
 def l1_logistic(c: float, n: int, max_iter: int = 100) -> LogisticRegression:
     """L1 penalty with inverse strength c over n rows."""
-    return LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * n), maxIter=max_iter)
+    return LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * n), maxIter=max_iter, tol=TOLERANCE)
 
 
-def softmax_regression(strength: float, max_iter: int = 50) -> LogisticRegression:
+def softmax_regression(strength: float, max_iter: int = 100) -> LogisticRegression:
     """Multinomial output layer with an L2 penalty."""
-    return LogisticRegression(family="multinomial", regParam=strength, elasticNetParam=0.0, maxIter=max_iter)
+    return LogisticRegression(family="multinomial", regParam=strength, elasticNetParam=0.0, maxIter=max_iter, tol=TOLERANCE)
 
 
 def gaussian_bayes() -> NaiveBayes:
     return NaiveBayes(modelType="gaussian")
 
 
-def linear_svm(strength: float = 0.01, max_iter: int = 50) -> LinearSVC:
-    return LinearSVC(regParam=strength, maxIter=max_iter)
+def linear_svm(strength: float = 0.01, max_iter: int = 100) -> LinearSVC:
+    """The hinge loss has no smooth minimum, so rounds often run to ``max_iter``, MLlib's own default."""
+    return LinearSVC(regParam=strength, maxIter=max_iter, tol=TOLERANCE)
 
 
 def gaussian_bayes_parameters(df: DataFrame, vec: str, label: str) -> DataFrame:

@@ -14,17 +14,22 @@ from pyspark.sql import functions as F
 
 def drop_all_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keep only rows whose key occurs once (every copy of a repeated key goes)."""
-    row = F.struct(*df.columns)
-    kept = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
-        F.count(F.lit(1)).alias("_n"), F.any_value(row).alias("_row"))
-    return kept.filter("_n = 1").select("_row.*")
+    others = [c for c in df.columns if c not in keys]
+    row = [F.any_value(F.struct(*others)).alias("_row")] if others else []
+    kept = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *row).filter("_n = 1")
+    return kept.select(*keys, *(["_row.*"] if others else [])).select(*df.columns)
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The earliest row of each key; ``order`` is the arrival order."""
-    kept = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
-        F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
-    return kept.select("_row.*")
+    """The earliest row of each key; ``order`` is the arrival order.
+
+    The key is not carried a second time inside the kept row.
+    """
+    others = [c for c in df.columns if c not in keys]
+    if not others:
+        return df.distinct()
+    kept = df.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_row"))
+    return kept.select(*keys, "_row.*").select(*df.columns)
 
 
 def insert_if_absent(new: DataFrame, target: DataFrame, keys: Sequence[str], order: Sequence[str],

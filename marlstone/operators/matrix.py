@@ -1,8 +1,9 @@
 """Sums of matrices over partitions, and linear projections.
 
-Each task turns its rows into one small array of sums with NumPy; the arrays
-are added per position by a normal grouping.  What reaches the driver is one
-d by d (or k by d by d) total, never rows.
+Each task turns its rows into one array of sums with NumPy and hands it on in
+stretches of ``STRETCH`` numbers, which a grouping adds as vectors: one row per
+task for small matrices, and large ones are added by several tasks.  What
+reaches the driver is one d by d (or k by d by d) total, never rows.
 """
 
 from __future__ import annotations
@@ -11,10 +12,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+STRETCH = 8192
+
+
 def rows_of(column: pa.Array) -> np.ndarray:
     """A list column as one matrix, without a Python object per row."""
     if isinstance(column, pa.ChunkedArray):
@@ -31,14 +37,12 @@ def partition_sums(df: DataFrame, vec: str, extra: list[str], fn: Callable[...,
                 part = fn(*[rows_of(batch.column(c)) for c in (vec, *extra)])
                 total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total)], names=["i", "x"])
-
-    parts = df.select(vec, *extra).mapInArrow(sums, "i long, x double")
-    rows = parts.groupBy("i").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(len(rows))
-    for r in rows:
-        out[r.i] = r.x
-    return out
+            pieces = [total[at:at + STRETCH] for at in range(0, total.size, STRETCH)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces))), pa.array(pieces, pa.list_(pa.float64()))], names=["i", "x"])
+
+    parts = df.select(vec, *extra).mapInArrow(sums, "i long, x array<double>")
+    rows = parts.groupBy("i").agg(Summarizer.sum(array_to_vector("x")).alias("x")).collect()
+    return np.concatenate([r.x.toArray() for r in sorted(rows, key=lambda r: r.i)]) if rows else np.zeros(0)
 
 
 def map_rows(df: DataFrame, vec: str, name: str, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:

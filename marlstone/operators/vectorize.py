@@ -12,17 +12,31 @@ from .aggregates import top_rows
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
+def _counted(df: DataFrame, key: str, terms: str) -> DataFrame:
+    """(key, term, count) of a term array: sorted, then the lengths of its runs.
+
+    Each step is a projection of its own, as a lambda works out again whatever
+    it takes from outside.
+    """
+    ordered = df.select(key, F.array_sort(terms).alias("_s"))
+    zipped = ordered.select(key, F.size("_s").alias("_n"), F.arrays_zip(
+        F.col("_s").alias("w"), F.concat(F.array(F.lit(None).cast("string")), F.slice("_s", 1, F.greatest(F.size("_s") - 1, F.lit(0)))).alias("before"),
+        F.sequence(F.lit(0), F.size("_s")).alias("at")).alias("_z"))
+    starts = zipped.select(key, "_n", F.filter("_z", lambda z: z["w"].isNotNull() & ~z["w"].eqNullSafe(z["before"])).alias("_z"))
+    ends = F.concat(F.slice("_z.at", F.lit(2), F.greatest(F.size("_z"), F.lit(1))), F.array("_n"))
+    runs = starts.filter(F.size("_z") > 0).select(key, F.inline(F.arrays_zip(F.col("_z.w").alias("term"), F.col("_z.at").alias("_from"), ends.alias("_to"))))
+    return runs.select(key, "term", (F.col("_to") - F.col("_from")).cast("long").alias("count"))
+
+
 def ngram_counts(df: DataFrame, key: str, text: str, ngram_range: tuple[int, int] = (1, 1),
                  max_features: int | None = None, pattern: str = TERM_PATTERN) -> DataFrame:
     """(key, term, count) of every n-gram; optionally only the most frequent terms.
 
-    The raw texts are placed by key before they are taken apart.  That is the
-    smallest form the data has, and every later grouping by key (or key and
-    term) finds its rows in place.
+    A row is a document, so its terms are counted inside the row and nothing
+    moves; rows that share a key are counted each for itself.
     """
-    placed = df.select(key, text).repartition(F.col(key))
-    terms = placed.select(key, F.explode(ngrams(tokenize(text, pattern=pattern), ngram_range)).alias("term"))
-    counts = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("count"))
+    terms = df.select(key, ngrams(tokenize(text, pattern=pattern), ngram_range).alias("_terms"))
+    counts = _counted(terms, key, "_terms")
     if max_features is None:
         return counts
     totals = counts.groupBy("term").agg(F.sum("count").alias("total"))

@@ -218,10 +218,10 @@ def preprocess_stop_stem(spark, sf_dir):
 
 @query("cut_or_pad", f"""
 WITH t AS (SELECT doc_id, {_DOC_TOKENS} AS w FROM documents)
-SELECT doc_id, array_to_string(CASE WHEN len(w) >= 200 THEN w[1:200]
-  ELSE list_concat(['<pad>'], w, list_transform(range(199 - len(w)), lambda x: '<pad>')) END, ' ') AS padded FROM t""")
+SELECT doc_id, array_to_string(CASE WHEN len(w) >= 2000 THEN w[1:2000]
+  ELSE list_concat(['<pad>'], w, list_transform(range(1999 - len(w)), lambda x: '<pad>')) END, ' ') AS padded FROM t""")
 def cut_or_pad(spark, sf_dir):
-    return docs(spark, sf_dir, t.join_tokens(t.prepare_document("text", 200)).alias("padded"))
+    return docs(spark, sf_dir, t.join_tokens(t.prepare_document("text", 2000)).alias("padded"))
 
 
 @query("preprocess_question", f"""
@@ -271,9 +271,8 @@ WITH l AS (SELECT doc_id, text, trim(text) AS body, string_split(trim(text), chr
 f AS (SELECT doc_id, text, ls, list_max(list_transform(ls, lambda x, i: CASE WHEN regexp_matches(x, '^\\s*-*\\s*$') THEN i - 1 END)) AS cut FROM l),
 b AS (SELECT doc_id, CASE WHEN cut > 0 THEN array_to_string(ls[1:cut], chr(10)) ELSE text END AS t FROM f)
 SELECT doc_id, coalesce(array_to_string(list_filter(string_split(t, chr(10)), lambda x: NOT regexp_matches(x, '{_QUOTED}')), chr(10)), '') AS body,
-       (SELECT 1) AS one,
        CASE WHEN strpos(d.text, chr(10) || chr(10)) > 0 THEN substr(d.text, strpos(d.text, chr(10) || chr(10)) + 2) ELSE '' END AS after_header
 FROM b JOIN documents d USING (doc_id)""")
 def strip_message_parts(spark, sf_dir):
-    return docs(spark, sf_dir, t.strip_message_parts("text", headers=False).alias("body"), F.lit(1).alias("one"),
+    return docs(spark, sf_dir, t.strip_message_parts("text", headers=False).alias("body"),
                 t.strip_message_parts("text", quotes=False, footers=False).alias("after_header"))

@@ -122,9 +122,9 @@ def corpus_vocabulary(spark, sf_dir, size: int | None):
     return voc.vocabulary(voc.word_counts(table(spark, sf_dir, "documents"), t.tokenize("text")), size)
 
 
-@query("vocabulary", f"WITH {_vocab_sql(5000)} SELECT word, id, count FROM vocab")
+@query("vocabulary", f"WITH {_vocab_sql(20_000)} SELECT word, id, count FROM vocab")
 def vocabulary(spark, sf_dir):
-    return corpus_vocabulary(spark, sf_dir, 5000)
+    return corpus_vocabulary(spark, sf_dir, 20_000)
 
 
 @query("full_vocabulary", f"WITH {_vocab_sql(None)} SELECT word, id, count FROM vocab")
@@ -139,43 +139,43 @@ _IDS = f"""ids AS (SELECT doc_id, i, coalesce(id, 2) AS id FROM pos LEFT JOIN vo
 
 def document_ids(spark, sf_dir):
     tokens = docs(spark, sf_dir, t.tokenize("text").alias("tokens"))
-    return voc.words_to_ids(tokens, ["doc_id"], "tokens", corpus_vocabulary(spark, sf_dir, 5000))
+    return voc.words_to_ids(tokens, ["doc_id"], "tokens", corpus_vocabulary(spark, sf_dir, 20_000))
 
 
 @query("words_to_ids", f"""
-WITH {_vocab_sql(5000)}, {_POSITIONS}, {_IDS}
+WITH {_vocab_sql(20_000)}, {_POSITIONS}, {_IDS}
 SELECT doc_id, string_agg(id::VARCHAR, ' ' ORDER BY i) AS ids FROM ids GROUP BY doc_id""")
 def words_to_ids(spark, sf_dir):
     return document_ids(spark, sf_dir).select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
 @query("ids_to_words", f"""
-WITH {_vocab_sql(5000)}, {_POSITIONS}, {_IDS}
+WITH {_vocab_sql(20_000)}, {_POSITIONS}, {_IDS}
 SELECT doc_id, string_agg(v.word, ' ' ORDER BY i) AS words FROM ids JOIN vocab v USING (id) GROUP BY doc_id""")
 def ids_to_words(spark, sf_dir):
-    vocab = corpus_vocabulary(spark, sf_dir, 5000)
+    vocab = corpus_vocabulary(spark, sf_dir, 20_000)
     words = voc.ids_to_words(document_ids(spark, sf_dir), ["doc_id"], "ids", vocab)
     return words.select("doc_id", t.join_tokens("words").alias("words"))
 
 
 @query("docs_to_ids", f"""
-WITH {_vocab_sql(5000)}, w AS (SELECT doc_id, {S.tokens('text')} AS w FROM documents),
-padded AS (SELECT doc_id, CASE WHEN len(w) >= 100 THEN w[1:100]
-  ELSE list_concat(['<pad>'], w, list_transform(range(99 - len(w)), lambda x: '<pad>')) END AS ws FROM w),
+WITH {_vocab_sql(20_000)}, w AS (SELECT doc_id, {S.tokens('text')} AS w FROM documents),
+padded AS (SELECT doc_id, CASE WHEN len(w) >= 2000 THEN w[1:2000]
+  ELSE list_concat(['<pad>'], w, list_transform(range(1999 - len(w)), lambda x: '<pad>')) END AS ws FROM w),
 pos AS (SELECT doc_id, i, ws[i] AS word FROM padded, unnest(range(1, len(ws) + 1)) AS r(i)), {_IDS}
 SELECT doc_id, string_agg(id::VARCHAR, ' ' ORDER BY i) AS ids FROM ids GROUP BY doc_id""")
 def docs_to_ids(spark, sf_dir):
-    padded = docs(spark, sf_dir, t.cut_or_pad(t.tokenize("text"), 100).alias("tokens"))
-    ids = voc.words_to_ids(padded, ["doc_id"], "tokens", corpus_vocabulary(spark, sf_dir, 5000))
+    padded = docs(spark, sf_dir, t.cut_or_pad(t.tokenize("text"), 2000).alias("tokens"))
+    ids = voc.words_to_ids(padded, ["doc_id"], "tokens", corpus_vocabulary(spark, sf_dir, 20_000))
     return ids.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 
 @query("sentence_to_ids", f"""
-WITH {_vocab_sql(5000)}, {_POSITIONS}, {_IDS}
+WITH {_vocab_sql(20_000)}, {_POSITIONS}, {_IDS}
 SELECT doc_id, '0 ' || string_agg(id::VARCHAR, ' ' ORDER BY i) || ' 1' AS ids FROM ids GROUP BY doc_id""")
 def sentence_to_ids(spark, sf_dir):
     tokens = docs(spark, sf_dir, t.tokenize("text").alias("tokens"))
-    ids = voc.sentence_to_ids(tokens, ["doc_id"], "tokens", corpus_vocabulary(spark, sf_dir, 5000))
+    ids = voc.sentence_to_ids(tokens, ["doc_id"], "tokens", corpus_vocabulary(spark, sf_dir, 20_000))
     return ids.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
 
 

@@ -10,7 +10,7 @@ from ..session import new_folder, write_cut
 from ..sources import records as rec
 from ..streaming import enrich as en
 from . import sql as S
-from .catalog import query, spread_over, table
+from .catalog import query, table
 
 # A message per document: gaps appear by document number in the fields beside the text.
 _MESSAGE = {
@@ -36,10 +36,8 @@ def messages(spark, sf_dir):
 
 def document_stream(spark, sf_dir):
     """The documents table as a file stream, one file at a time."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/[d]ocuments.parquet")
-    tasks = spread_over(documents)
-    return stream.repartition(tasks) if tasks else stream
+    schema = table(spark, sf_dir, "documents").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/[d]ocuments.parquet")
 
 
 _EXTRACT = """SELECT doc_id AS id, coalesce(text, 'Data Error') AS text,
@@ -87,7 +85,7 @@ SELECT doc_id AS id, length(text) AS n FROM documents
 WHERE lang = 'en' AND doc_id % 5 <> 0 AND source IN (SELECT 'src' || n_nationkey FROM nation WHERE n_regionkey = 1)""")
 def track_filter(spark, sf_dir):
     tracked = table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.concat(F.lit("#src"), "n_nationkey").alias("name"))
-    kept = rec.track_filter(messages(spark, sf_dir), tracked, "id")
+    kept = rec.track_filter(messages(spark, sf_dir), tracked)
     return kept.select("id", F.length("text").cast("long").alias("n"))
 
 
@@ -218,11 +216,20 @@ def stream_enrich(spark, sf_dir):
     return spark.read.parquet(f"{folder}/tables/messages").select(*_columns())
 
 
-@query("stream_dedup", "SELECT text, count(*) - count(*) + 1 AS n FROM documents GROUP BY text")
+@query("stream_owner_table", f"WITH {_ENRICHED}, {_WORDS} SELECT word, movie, count FROM counts")
+def stream_owner_table(spark, sf_dir):
+    """The word counts that the enrichment job keeps beside its messages."""
+    folder = new_folder(spark, "owner-table")
+    en.start_enrichment(as_messages(document_stream(spark, sf_dir)), f"{folder}/tables", f"{folder}/checkpoint", "id",
+                        lexicon(spark, sf_dir)).awaitTermination()
+    return en.latest_word_counts(spark, f"{folder}/tables")
+
+
+@query("stream_dedup", "SELECT DISTINCT text FROM documents")
 def stream_dedup(spark, sf_dir):
     folder = new_folder(spark, "dedup")
     run_stream(en.stream_dedup(document_stream(spark, sf_dir), ["text"]), folder)
-    return spark.read.parquet(f"{folder}/out").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(f"{folder}/out").select("text")
 
 
 @query("stream_word_counts", f"""

@@ -40,7 +40,7 @@ def word_vectors(spark, sf_dir):
 
 def fitted_words(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", t.tokenize(t.clean_text("text")).alias("tokens"))
-    return emb.fit_word_vectors(docs, "tokens", size=50, min_count=20, window=5)
+    return emb.fit_word_vectors(docs, "tokens", size=100, min_count=20, window=10)
 
 
 @query("doc_vectors")
@@ -89,7 +89,7 @@ def _reported(name, build):
     query(name)(run)
 
 
-_reported("rf_classify", lambda _: cl.random_forest(trees=20, depth=10, impurity="entropy", subset="all"))
+_reported("rf_classify", lambda _: cl.random_forest(trees=20, impurity="entropy", subset="all"))
 _reported("lr_l1", lambda train: cl.l1_logistic(1.0, train.count()))
 _reported("linear_svc", lambda _: cl.linear_svm())
 _reported("gnb_classify", lambda _: cl.gaussian_bayes())
@@ -123,7 +123,7 @@ def score_submission(spark, sf_dir):
 def margins(spark, sf_dir, estimator=None):
     """One-vs-rest models on the seen training rows: (validation, test) raw scores."""
     train, valid, test = parts(spark, sf_dir)
-    models = cl.OneVsRestScores.fit(estimator or cl.linear_svm(max_iter=20), train, CLASSES)
+    models = cl.OneVsRestScores.fit(estimator or cl.linear_svm(), train, CLASSES)
     keep = ("vec_id", "label")
     return models.scores(openset.seen_only(valid, "label", UNSEEN), keep), models.scores(test, keep)
 
@@ -136,7 +136,7 @@ def _long(df):
 def one_vs_rest(spark, sf_dir):
     from pyspark.ml.classification import LogisticRegression
 
-    _, test = margins(spark, sf_dir, LogisticRegression(regParam=0.01, maxIter=20))
+    _, test = margins(spark, sf_dir, LogisticRegression(regParam=0.01, maxIter=100, tol=cl.TOLERANCE))
     return _long(cl.sigmoid_probabilities(test))
 
 
@@ -189,14 +189,14 @@ def latent(spark, sf_dir):
 @query("gmm_fit")
 def gmm_fit(spark, sf_dir):
     train, _, _ = latent(spark, sf_dir)
-    model = mixture.fit_gaussian(train, "vec", "vec_id", 20, COMPONENTS, "diag", max_iter=50)
+    model = mixture.fit_gaussian(train, "vec", "vec_id", 20, COMPONENTS, "diag")
     return model.predict(train, "vec").select("vec_id", "label", "cluster")
 
 
 @query("gmm_bic")
 def gmm_bic(spark, sf_dir):
     train, _, _ = latent(spark, sf_dir)
-    best, fits = mixture.select_gaussian(train, "vec", "vec_id", 20, COMPONENTS, max_iter=30)
+    best, fits = mixture.select_gaussian(train, "vec", "vec_id", 20, COMPONENTS)
     rows = [(c, m.bic(), m.aic(), m.rounds, int(m is best)) for c, m in fits.items()]
     return spark.createDataFrame(rows, "covariance string, bic double, aic double, rounds int, is_best int")
 
@@ -204,8 +204,12 @@ def gmm_bic(spark, sf_dir):
 @query("gmm_posteriors")
 def gmm_posteriors(spark, sf_dir):
     """Branch two end to end: mixture, majority map, sweep on validation, test decision."""
-    train, valid, test = latent(spark, sf_dir)
-    model = mixture.fit_gaussian(train, "vec", "vec_id", 20, COMPONENTS, "diag", max_iter=50)
+    return decided(*latent(spark, sf_dir)).select("vec_id", "label", "prediction")
+
+
+def decided(train, valid, test):
+    """Test rows with the class of the open-set decision, 0 for unseen."""
+    model = mixture.fit_gaussian(train, "vec", "vec_id", 20, COMPONENTS, "diag")
     mapping = write_cut(mixture.majority_labels(model.predict(train, "vec"), "cluster", "label"), "majority")
 
     def probabilities(rows, name):
@@ -215,24 +219,27 @@ def gmm_posteriors(spark, sf_dir):
 
     best = openset.best_threshold(openset.threshold_sweep(probabilities(valid, "posteriors-valid"), "label")).first()
     percentile = best.threshold if best else PERCENTILE
-    return openset.open_set_predict(probabilities(test, "posteriors-test"), percentile, "argmax").select("vec_id", "label", "prediction")
+    return openset.open_set_predict(probabilities(test, "posteriors-test"), percentile, "argmax")
 
 
 @query("dp_mixture")
 def dp_mixture(spark, sf_dir):
     train, _, _ = latent(spark, sf_dir)
-    model = mixture.fit_dirichlet(train, "vec", "vec_id", 20, COMPONENTS, "full", max_iter=50)
+    model = mixture.fit_dirichlet(train, "vec", "vec_id", 20, COMPONENTS, "full")
     return model.predict(train, "vec").select("vec_id", "label", "cluster")
 
 
 @query("recluster_unseen")
 def recluster_unseen(spark, sf_dir):
-    """Rows of the unseen classes clustered again, in each covariance type."""
-    _, _, test = latent(spark, sf_dir)
-    unseen = test.filter(F.col("label").isin(*UNSEEN))
+    """Rows that were predicted unseen, clustered again in each covariance type."""
+    train, valid, test = latent(spark, sf_dir)
+    rejected = decided(train, valid, test).filter("prediction = 0").select("vec_id")
+    unseen = write_cut(test.join(rejected, "vec_id", "left_semi"), "predicted-unseen")
+    if unseen.isEmpty():
+        return unseen.selectExpr("CAST(NULL AS STRING) AS covariance", "vec_id", "label", "0 AS cluster")
     out = None
     for covariance in mixture.COVARIANCES:
-        model = mixture.fit_dirichlet(unseen, "vec", "vec_id", 20, 2, covariance, max_iter=15, mean_precision=1.0)
+        model = mixture.fit_dirichlet(unseen, "vec", "vec_id", 20, 2, covariance, mean_precision=1.0)
         part = model.predict(unseen, "vec").select(F.lit(covariance).alias("covariance"), "vec_id", "label", "cluster")
         out = part if out is None else out.unionByName(part)
     return out
@@ -241,6 +248,6 @@ def recluster_unseen(spark, sf_dir):
 @query("silhouette")
 def silhouette(spark, sf_dir):
     train, _, _ = latent(spark, sf_dir)
-    model = mixture.fit_gaussian(train, "vec", "vec_id", 20, COMPONENTS, "diag", max_iter=50)
+    model = mixture.fit_gaussian(train, "vec", "vec_id", 20, COMPONENTS, "diag")
     clusters = model.predict(train, "vec").withColumn("features", array_to_vector("vec"))
     return spark.createDataFrame([(metrics.silhouette(clusters, "features", "cluster"),)], "silhouette double")

@@ -87,15 +87,15 @@ def extract_message_file(df: DataFrame, *keep: str) -> DataFrame:
         F.col("coordinates.coordinates").alias("coordinates"), F.col("retweet_count"))
 
 
-def track_filter(df: DataFrame, tracked: DataFrame, key: str, language: str = "en") -> DataFrame:
+def track_filter(df: DataFrame, tracked: DataFrame, language: str = "en") -> DataFrame:
     """Records in the language that carry any tracked hash tag (``name`` column).
 
-    A semi join on the exploded tags; a record with two tracked tags stays one row.
+    The tracked names are a list someone keeps by hand: one scalar array, looked
+    up in the row's own projection, so no record is shuffled.
     """
-    wanted = tracked.select(F.lower(F.regexp_replace("name", "^#", "")).alias("_tag")).distinct()
-    tags = df.filter(F.col("lang") == language).select(key, F.explode("entities.hashtags.text").alias("_t")).select(key, F.lower("_t").alias("_tag"))
-    hits = tags.join(wanted, "_tag", "left_semi").select(key).distinct()
-    return df.filter(F.col("lang") == language).join(hits, key, "left_semi")
+    wanted = tracked.agg(F.collect_set(F.lower(F.regexp_replace("name", "^#", ""))).alias("names")).scalar()
+    tags = F.transform("entities.hashtags.text", F.lower)
+    return df.filter((F.col("lang") == language) & F.arrays_overlap(tags, wanted))
 
 
 def track_query(names: Sequence[str]) -> str:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.text import clean_text, strip_entities, whitespace_tokens
 from ..operators import dedup, sentiment
-from ..session import ROCKSDB, STATE_STORE
 from ..sources.records import MISSING_TEXT, extract_message, parse
 
 MINIMUM_WORD = 4      # words of three letters or fewer are not counted
@@ -58,34 +58,74 @@ def merge_word_counts(old: DataFrame | None, new: DataFrame, order: str) -> Data
         "word", "o.movie", F.col("o.n").alias("count"))
 
 
-def enrichment_sink(tables: str, key: str, lexicon: DataFrame) -> Callable[[DataFrame, int], None]:
+_COMMIT = "version long, run string, batch long"
+
+
+def _stored(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """A table that may not have been written yet."""
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _base_version(log: DataFrame | None, run: str, batch_id: int) -> tuple[int | None, bool]:
+    """The version that a batch builds on, and whether the batch is already in it."""
+    base = last = again = None
+    if log is not None:
+        mine, batch = F.col("run") == run, F.col("batch")
+        base, last, again = log.agg(F.max("version"), F.max(F.when(mine & (batch < batch_id), batch)), F.max(F.when(mine & (batch == batch_id), batch))).first()
+    if again is None and batch_id > 0 and last != batch_id - 1:
+        raise RuntimeError(f"word counts: batch {batch_id} of run {run} needs batch {batch_id - 1}, the last one recorded is {last}")
+    return base, again is not None
+
+
+def add_word_counts(tables: str, run: str, batch_id: int, words: DataFrame, key: str) -> None:
+    """Fold a batch of words into the count table, once.
+
+    Each batch writes a version of its own on top of the newest one, whichever
+    run that came from, and records it in ``commits`` when it is whole.  A batch
+    that is recorded is not added again; a version that is not recorded is
+    written over.  A run whose previous batch is not recorded, or a recorded
+    version that is gone, is an error: counts are never started anew silently.
+    """
+    spark = words.sparkSession
+    base, known = _base_version(_stored(spark, f"{tables}/commits", _COMMIT), run, batch_id)
+    if known:
+        return
+    old = None if base is None else spark.read.parquet(f"{tables}/words/version={base}")
+    version = 0 if base is None else base + 1
+    merge_word_counts(old, words, key).write.mode("overwrite").parquet(f"{tables}/words/version={version}")
+    spark.createDataFrame([(version, run, batch_id)], _COMMIT).coalesce(1).write.mode("append").parquet(f"{tables}/commits")
+
+
+def enrichment_sink(tables: str, key: str, lexicon: DataFrame, run: str | None = None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer of the message table and the word-count table.
 
     Both writes can be repeated: messages already in the table are excluded by
-    their text, and each batch writes its own version of the counts from the
-    version before it.
+    the SHA-256 of their text, so a batch reads 32 bytes of each stored message,
+    and batches are added to the counts once.  ``run`` names the stream whose
+    batch numbers these are; by default that is the id its checkpoint holds.
     """
-    def exists(spark, path: str) -> bool:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        name = run or spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not name:
+            raise ValueError("the stream has no id; name the run")
         # Scoring reads the cleaned rows twice, the sinks read the scored rows twice.
         cleaned = clean_messages(parse(batch), key).persist()
         enriched = sentiment.score_sentiment(cleaned, key, "text_clean", lexicon).persist()
         try:
-            stored = f"{tables}/messages"
-            new = enriched.withColumn("created_at", F.current_timestamp())
-            if exists(spark, stored):
-                rows = dedup.insert_if_absent(new, spark.read.parquet(stored), ["text"], [key], "text")
+            new = enriched.withColumns({"created_at": F.current_timestamp(), "text_key": F.unhex(F.sha2("text", 256))})
+            stored = _stored(spark, f"{tables}/messages")
+            if stored is not None:
+                rows = dedup.insert_if_absent(new, stored, ["text_key"], [key], "text")
             else:
-                rows = dedup.first_wins(new.filter(F.col("text") != MISSING_TEXT), ["text"], [key])
-            rows.write.mode("append").parquet(stored)
-            before = f"{tables}/words/version={batch_id - 1}"
-            old = spark.read.parquet(before) if batch_id > 0 and exists(spark, before) else None
-            counts = merge_word_counts(old, message_words(enriched, key), key)
-            counts.write.mode("overwrite").parquet(f"{tables}/words/version={batch_id}")
+                rows = dedup.first_wins(new.filter(F.col("text") != MISSING_TEXT), ["text_key"], [key])
+            rows.write.mode("append").parquet(f"{tables}/messages")
+            add_word_counts(tables, name, batch_id, message_words(enriched, key), key)
         finally:
             enriched.unpersist()
             cleaned.unpersist()
@@ -100,11 +140,10 @@ def start_enrichment(stream: DataFrame, tables: str, checkpoint: str, key: str,
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def latest_word_counts(spark, tables: str) -> DataFrame:
-    """The newest version of the keyed count table."""
-    versions = spark.read.option("basePath", f"{tables}/words").parquet(f"{tables}/words")
-    newest = versions.agg(F.max("version").alias("v")).scalar()
-    return versions.filter(F.col("version") == newest).drop("version")
+def latest_word_counts(spark: SparkSession, tables: str) -> DataFrame:
+    """The newest recorded version of the count table; older ones may be expired, the record of commits may not."""
+    version = spark.read.schema(_COMMIT).parquet(f"{tables}/commits").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{tables}/words/version={version}")
 
 
 def stream_dedup(stream: DataFrame, keys: list[str], event_time: str | None = None, delay: str | None = None) -> DataFrame:
@@ -120,7 +159,6 @@ def stream_pair_counts(words: DataFrame, order: str) -> DataFrame:
     """Running (word, movie) counts and first arrivals as a built-in stateful
     aggregation: it stays in the JVM and combines on the map side, so a hot word
     costs its task one row per input task."""
-    words.sparkSession.conf.set(STATE_STORE, ROCKSDB)
     return words.groupBy("word", "movie").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
 
 
@@ -173,9 +211,9 @@ def _combine(order: str):
 
 def stream_owned_counts(words: DataFrame, order: str) -> DataFrame:
     """The same counts with the owner fixed in arrival order, kept per word in the
-    state store.  Use it when an owner must never change after it was reported;
+    state store, which must be RocksDB (``session.SETTINGS``).  Use it when an owner
+    must never change after it was reported;
     it calls Python once per word and batch, so ``stream_pair_counts`` is faster."""
-    words.sparkSession.conf.set(STATE_STORE, ROCKSDB)
     combined = words.select("word", "movie", order).mapInPandas(_combine(order), "word string, movie string, n long, first long")
     return combined.groupBy("word").transformWithStateInPandas(
         OwnedCounts(), outputStructType=WORD_COUNT_SCHEMA, outputMode="Update", timeMode="None")

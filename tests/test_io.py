@@ -1,8 +1,10 @@
 """Sources, sinks and streams."""
 
 import json
+import shutil
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from marlstone.operators import sentiment
@@ -35,7 +37,7 @@ def test_extract_defaults(spark):
 
 def test_track_filter(spark):
     names = spark.createDataFrame([("#Arrival",), ("#moana",)], "name string")
-    got = records.track_filter(records.parse(_values(spark)), names, "id")
+    got = records.track_filter(records.parse(_values(spark)), names)
     assert sorted(r.id for r in got.collect()) == [1, 4, 5]
     assert records.track_query(["#a", "#b"]) == "#a OR #b"
 
@@ -156,6 +158,31 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
         map(tuple, batch.select("word", "movie", "count", "word_sentiment").collect()))
 
 
+def test_word_counts_survive_gaps_replays_and_new_runs(spark, tmp_path):
+    tables = str(tmp_path)
+
+    def add(run, batch, *words):
+        en.add_word_counts(tables, run, batch, spark.createDataFrame([(i, "m", w) for i, w in enumerate(words)], "id long, movie string, word string"), "id")
+
+    def counts():
+        return {r.word: r["count"] for r in en.latest_word_counts(spark, tables).collect()}
+
+    add("a", 0, "splendid", "dull")
+    add("a", 1, "splendid")
+    add("a", 1, "splendid")                     # the same batch again
+    assert counts() == {"splendid": 2, "dull": 1}
+    with pytest.raises(RuntimeError):
+        add("a", 7, "splendid")                 # batches 2 to 6 are missing
+    add("b", 0, "splendid")                     # a new checkpoint goes on from what is there
+    assert counts() == {"splendid": 3, "dull": 1}
+    shutil.rmtree(f"{tables}/words/version=1")  # expired, no longer needed
+    add("b", 1, "dull")
+    assert counts() == {"splendid": 3, "dull": 2}
+    shutil.rmtree(f"{tables}/words/version=3")
+    with pytest.raises(AnalysisException):
+        add("b", 2, "dull")
+
+
 @pytest.mark.parametrize("kind", ["pairs", "owned"])
 def test_running_word_counts(spark, tmp_path, kind):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
