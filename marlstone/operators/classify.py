@@ -60,8 +60,8 @@ def gaussian_bayes() -> NaiveBayes:
     return NaiveBayes(modelType="gaussian")
 
 
-def linear_svm(strength: float = 0.01, max_iter: int = 100) -> LinearSVC:
-    """The hinge loss has no smooth minimum, so rounds often run to ``max_iter``, MLlib's own default."""
+def linear_svm(strength: float = 0.01, max_iter: int = 50) -> LinearSVC:
+    """The hinge loss has no smooth minimum, so rounds often run to ``max_iter``; each is a job."""
     return LinearSVC(regParam=strength, maxIter=max_iter, tol=TOLERANCE)
 
 
