@@ -68,3 +68,12 @@ def test_long_text_and_no_rows(spark):
     got = run(spark, ["x 10.1.2.3 " * 3000])[0]
     assert len(got["found"]) == 3000 and len({f["text"] for f in got["found"]}) == 1
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
+
+
+def test_query_counts_by_kind(spark, tmp_path):
+    from marlstone.llm.queries import op8_pii
+
+    spark.createDataFrame([(1, "ip 10.1.2.3 and 10.1.2.4, mail a@b.org"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in op8_pii(spark, str(tmp_path)).collect()}
+    assert (rows[1].n_ip, rows[1].n_email, rows[1].n_card) == (2, 1, 0)
+    assert rows[2].clean_text is None and rows[2].n_ip == 0 and rows[3].clean_text == ""
