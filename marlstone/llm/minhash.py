@@ -19,7 +19,9 @@ SHINGLE = 5
 THRESHOLD_PERCENT = 75
 COORDINATES = 64
 ROWS = 4
-FIRST_PIVOTS = 4
+FIRST_PIVOTS = 16
+# Counters of shingle frequencies that go to the driver and all tasks, whatever the input: collisions blur the order, not the result.
+COUNTERS = 1 << 18
 
 # Odd multipliers (fixed values): two for each of the two permutations of the 32-bit numbers, one for word positions.
 _SIGMA = (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
@@ -120,17 +122,69 @@ def _star(members: DataFrame) -> DataFrame:
     return members.join(least, "band").where(F.col("s") != F.col("v")).select(F.col("s").alias("u"), "v").distinct()
 
 
-def _across(members: DataFrame, roots: DataFrame, done: DataFrame, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """Pivots and pairs still to be tried: in buckets of several components, pivots outside the largest one with all members of other components."""
-    placed = members.join(roots, members["s"] == roots["node"], "left").select("band", "s", F.coalesce("component", "s").alias("root"))
+def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members with their component, if any, else themselves."""
+    return members.join(roots, members["s"] == roots["node"], "left").select(*members.columns, F.coalesce("component", "s").alias("root"))
+
+
+def _prefix_buckets(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(band, s, n, at): the buckets of several components dealt anew, by the rarest shingles of their members.
+
+    Of two sets as similar as asked, the rarest n - ceil(n * percent / 100) + 1 shingles of each share
+    one, in whatever order all sets have in common.  Here that is the order of the frequency among these
+    members, so texts that share a common passage only, as frequent as it may be, come apart.  ``n`` is the
+    size of the set and ``at`` the place of the shingle in its order.
+    """
+    parted = _placed(members, roots).groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("a") != F.col("b")).select("band")
+    parted_sets = write_cut(sets.join(members.join(parted, "band", "left_semi").select("s").distinct(), "s", "left_semi").select("s", "hashes"), "open-sets")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                hashes = np.frombuffer(b"".join(batch.column(1).slice(at, 1024).to_pylist()), np.uint64)
+                total += np.bincount((hashes % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "n"])
+
+    frequency = np.zeros(COUNTERS, np.int64)
+    for r in parted_sets.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        frequency[r["cell"]] = r["n"]
+    shared = sets.sparkSession.sparkContext.broadcast(frequency)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                columns = [[np.empty(0, np.int64)] for _ in range(4)]
+                for s, hashes in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    h = np.frombuffer(hashes, np.uint64)
+                    first = np.lexsort((h, shared.value[(h % np.uint64(COUNTERS)).astype(np.int64)]))[:len(h) + (-len(h) * percent) // 100 + 1]
+                    for column, values in zip(columns, (h[first].view(np.int64), np.full(len(first), s), np.full(len(first), len(h)), np.arange(len(first))), strict=True):
+                        column.append(values)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["band", "s", "n", "at"])
+
+    keyed = write_cut(parted_sets.mapInArrow(rarest, "band long, s long, n long, at long"), "rarest-shingles")
+    several = keyed.groupBy("band").agg(F.min("s").alias("a"), F.max("s").alias("b")).where(F.col("a") != F.col("b")).select("band")
+    return keyed.join(several, "band", "left_semi")
+
+
+def _across(members: DataFrame, roots: DataFrame, done: DataFrame, pivots: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pivots and pairs still to be tried: in buckets of several components, pivots outside the largest one with all members of other
+    components, where size and place allow for enough in common if this is the first shingle they share; and the members of these
+    buckets, the only ones that later rounds need."""
+    placed = _placed(members, roots)
     parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
     largest = parts.groupBy("band").agg(F.max(F.struct("size", "root")).alias("top"), F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1)
     open_rows = write_cut(placed.join(largest.select("band", F.col("top.root").alias("top")), "band"), "open-buckets")
     rest = open_rows.where(F.col("root") != F.col("top")).join(done, ["band", "s"], "left_anti")
     order = Window.partitionBy("band").orderBy(F.xxhash64("s"), "s")
-    chosen = write_cut(rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots).select("band", F.col("s").alias("p"), F.col("root").alias("p_root")), "pivots")
-    return chosen, (open_rows.join(chosen, "band").where(F.col("root") != F.col("p_root"))
-                    .select(F.greatest("s", "p").alias("u"), F.least("s", "p").alias("v")).distinct())
+    chosen = write_cut(rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots)
+                       .select("band", F.col("s").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"), F.col("at").alias("p_at")), "pivots")
+    enough = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("p_n") - F.col("p_at")) >= percent * (F.col("n") + F.col("p_n"))
+    pairs = (open_rows.join(chosen, "band").where((F.col("root") != F.col("p_root")) & enough)
+             .select(F.greatest("s", "p").alias("u"), F.least("s", "p").alias("v")).distinct())
+    return chosen, pairs, open_rows.select(members.columns)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -138,10 +192,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are split at ASCII white space, A-Z in lower case.  Documents with equal shingle sets are one
     class, so copies are never paired.  Classes that agree in a band of four of 64 coordinates share a
-    bucket.  First every member of a bucket is compared with its smallest one.  Where a bucket still
-    holds several components, members outside its largest component, in rounds of four times as many
-    each, are compared with all members of other components until none is left: no two members of a
-    bucket that are not yet connected stay untried, while members that are connected are never paired.
+    bucket.  First every member of a bucket is compared with its smallest one.  The members of buckets
+    that still hold several components are dealt anew by their rarest shingles, of which two similar sets
+    always share one.  There, members outside a bucket's largest component, in rounds of 16 times as
+    many each, are compared with all members of other components until none is left: no two similar
+    members of a bucket that are not yet connected stay untried, while connected ones are never paired.
     Every link is confirmed on the full sets.  A pair at the threshold shares no bucket with probability
     of about 2e-5.
 
@@ -159,19 +214,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = write_cut(buckets.join(shared, "band").distinct(), "buckets")
     wanted = classes.join(members.select("s").distinct(), "s", "left_semi").select("s", "n", "one.doc", "one.th")
     sets = write_cut(_sets(docs, wanted, id_col, text_col, size), "sets")
-    links = write_cut(_linked(_star(members), sets, percent), "star-links")
-    roots = connected_components(links)
-    done, pivots = members.limit(0), FIRST_PIVOTS
+    roots = connected_components(_linked(_star(members), sets, percent))
+    members = write_cut(_prefix_buckets(members, roots, sets, percent), "prefix-buckets")
+    done, pivots = members.select("band", "s").limit(0), FIRST_PIVOTS
     while True:
-        chosen, pairs = _across(members, roots, done, pivots)
+        chosen, pairs, members = _across(members, roots, done, pivots, percent)
         if chosen.isEmpty():
             break
         found = write_cut(_linked(pairs, sets, percent), "pivot-links")
         if not found.isEmpty():
-            links = links.unionAll(found)
-            roots = connected_components(links)
+            roots = connected_components(roots.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(found))
         done = write_cut(done.unionAll(chosen.select("band", F.col("p").alias("s"))), "pivots-done")
-        pivots *= 4
+        pivots *= 16
     named = classes.alias("c").join(roots.alias("r"), F.col("c.s") == F.col("r.node"), "left").select("c.key", "c.least", F.coalesce("r.component", "c.s").alias("root"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     by_key = named.join(smallest, "root").select("key", "component")
