@@ -41,6 +41,13 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _remixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers: anchors have the least of many hashes, whose upper bits alone fill a small part of a filter."""
+    x = (x ^ (x >> np.uint64(32))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(29))) * _MIX[0]
+    return x ^ (x >> np.uint64(32))
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` neighbours, from running minima forwards and backwards in blocks."""
     n = len(x) - width + 1
@@ -56,7 +63,8 @@ def anchors(text: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, int,
     """(hash, position, first, last): each string of ``length`` bytes starting at first .. last has that anchor.
 
     The anchor is the place of the least gram hash in the string, the leftmost if several are least.  It
-    depends on the string alone: equal strings have anchors at equal offsets.
+    depends on the string alone: equal strings have anchors at equal offsets.  The hash given is that of
+    the gram mixed once more, so that its bits are spread evenly.
     """
     starts = len(text) - length + 1
     for at in range(0, starts, STRETCH):
@@ -68,8 +76,9 @@ def anchors(text: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, int,
         edges = np.flatnonzero(np.diff(place)) + 1
         first = np.concatenate(([0], edges))
         last = np.concatenate((edges - 1, [here - 1]))
-        for f, e, p in zip(first.tolist(), last.tolist(), place[first].tolist(), strict=True):
-            yield int(hashes[p].view(np.int64)), at + p, at + f, at + e
+        mixed = _remixed(hashes[place[first]]).view(np.int64)
+        for g, f, e, p in zip(mixed.tolist(), first.tolist(), last.tolist(), place[first].tolist(), strict=True):
+            yield g, at + p, at + f, at + e
 
 
 def _bit(values: np.ndarray) -> np.ndarray:
@@ -83,6 +92,9 @@ def _filter_of(df: DataFrame, column: str) -> Broadcast:
     bits = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
     for r in rows:
         # Bucket numbers count from 1 for the positions 1 .. 32768, so bit 0 of bucket k stands for k * 32768 - 32767.
+        # Bucket 0 holds position 0 alone, which passes without a bit.
+        if r["bucket"] == 0:
+            continue
         at = (r["bucket"] - 1) * 4096
         bits[at:at + len(r["bits"])] |= np.frombuffer(bytes(r["bits"]), np.uint8)
     return df.sparkSession.sparkContext.broadcast(bits.tobytes())

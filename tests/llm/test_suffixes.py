@@ -66,6 +66,29 @@ def test_quicksort_and_anchors():
     assert {(g, p) for g, p, _, _ in spans} <= moved
 
 
+def test_filter_with_hash_zero(spark):
+    shift = 64 - suffixes.FILTER_BITS.bit_length() + 1
+    planted = [0, 5, 1 << shift, 32768 << shift, 32769 << shift, -1]       # the first two have no upper bit set
+    bits = suffixes._filter_of(spark.createDataFrame([(x,) for x in planted], "gram long"), "gram").value
+    assert suffixes._may_have(bits, np.array(planted, np.int64)).all()
+    assert suffixes._may_have(bits, np.array([0, 2 << shift, 32767 << shift, 32770 << shift], np.int64)).tolist() == [True, False, False, False]
+
+
+def test_repeated_gram_of_hash_zero(spark, monkeypatch):
+    mixed = suffixes._remixed
+    monkeypatch.setattr(suffixes, "_remixed", lambda x: mixed(x) & np.uint64((1 << 36) - 1))
+    passage = " ".join(str(i) for i in range(200))
+    df = spark.createDataFrame([(1, "x " + passage), (2, "y " + passage)], "doc_id long, text string")
+    got = suffixes.remove_repeats(df, length=100).collect()
+    assert sorted(bytes(r["kept"]) for r in got) == [b"x", b"y"]
+
+
+def test_anchor_hashes_fill_the_filter_evenly():
+    text = bytes(np.random.default_rng(4).integers(97, 123, 400_000).astype(np.uint8))
+    top = np.array([g for g, _, _, _ in suffixes.anchors(text)], np.int64).view(np.uint64) >> np.uint64(60)
+    assert len(top) > 1000 and np.bincount(top.astype(np.int64), minlength=16).min() > len(top) / 32
+
+
 def test_no_rows(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert hashlib.md5(b"").digest()
