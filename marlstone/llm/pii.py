@@ -13,7 +13,7 @@ ROUNDS = 8
 # Days of any 400 years of the calendar, and two factors of that number.
 CYCLE_DAYS, CYCLE_FACTORS = 146_097, (189, 773)
 
-# What may be private, as one pattern: the first alternative that fits decides; digits never start or end inside a longer number.
+# What may be private: the first kind that fits a match decides; digits never start or end inside a longer number.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "phone": r"(?<![0-9A-Za-z.+-])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])",
@@ -22,7 +22,10 @@ PATTERNS = {
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "date": r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])",
 }
-PRIVATE = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# Card numbers as they are printed, wherever one may start; which of them are valid is known before a text is cut up.
+_CARD_START, _CARD_END = r"(?<![0-9A-Za-z.-])", r"(?![0-9A-Za-z]|[.-][0-9])"
+PRINTED_CARDS = rf"{_CARD_START}(?=([0-9]{{13,19}}{_CARD_END}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}{_CARD_END}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{4,5}}{_CARD_END}))"
+_OTHERS = "|".join(f"(?:{p})" for kind, p in PATTERNS.items() if kind != "card")
 DATE_FORMATS = {"-": "yyyy-MM-dd", "/": "MM/dd/yyyy", ".": "dd.MM.yyyy"}
 
 
@@ -145,7 +148,7 @@ _MAKERS: dict[str, Callable[[Column, Column], Column]] = {"email": _email, "phon
 
 
 def pseudonym(text: Column, key: str) -> Column:
-    """(kind, text) for one match of ``PRIVATE``; null for a number that is not valid."""
+    """(kind, text) for one match; null for a number that is not valid."""
     out = F.lit(None)
     for kind, make in reversed(_MAKERS.items()):
         made = make(text, F.lit(f"{key}|{kind}"))
@@ -153,6 +156,24 @@ def pseudonym(text: Column, key: str) -> Column:
     return out
 
 
+def _private(text: Column) -> Column:
+    """The pattern of one text: all kinds, of the printed card numbers only those that pass the Luhn check."""
+    cards = F.array_distinct(F.regexp_extract_all(text, F.lit(PRINTED_CARDS), F.lit(1)))
+    valid = F.filter(cards, lambda c: F.pmod(luhn_sum(_digits(c)), F.lit(10)) == 0)
+    return F.element_at(F.transform(F.array(valid), lambda v: F.when(F.size(v) == 0, F.lit(_OTHERS)).otherwise(
+        F.concat(F.lit(f"{_OTHERS}|{_CARD_START}(?:"), F.array_join(v, "|"), F.lit(f"){_CARD_END}")))), 1)
+
+
+def _pieces(text: Column, pattern: Column, key: str) -> Column:
+    """``text`` as an array of (original, new), ``new`` being null for what stays."""
+    nothing = F.lit(None).cast("struct<kind:string,text:string>")
+    # The struct goes into the lambda as its argument, so that it is computed once.
+    cut = F.array(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("found")))
+    return F.flatten(F.flatten(F.transform(cut, lambda w: F.transform(w["gaps"], lambda g, i: F.array(
+        F.struct(g.alias("original"), nothing.alias("new")),
+        F.struct(F.coalesce(F.get(w["found"], i), F.lit("")).alias("original"), pseudonym(F.get(w["found"], i), key).alias("new")))))))
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with a last column ``private``: (clean_text, found: (kind, original, text) in order).
 
@@ -162,16 +183,22 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     the same value has the same pseudonym in every document, and no two values share one.  The name
     part of an e-mail address, which is no number, becomes a keyed digest.
 
+    Cards as printed (13-19 digits unbroken, groups of 4-4-4-4, 4-6-5 or 4-6-4) are validated before a text
+    is cut up, so an invalid or longer stretch of digits hides nothing.  What no kind takes is then
+    searched for 13-19 digits in any other groups.
+
     One projection, no shuffle and no Python.  A null text stays null with nothing found; texts without
     digits and @ are not searched; ties cannot occur, as matches do not overlap and the first kind that
     fits decides.  The column is named ``private_`` and so on where needed; an empty table stays empty.
     """
-    text, name, work = quoted(text_col), free_name(docs, "private"), free_name(docs, "work")
-    found = F.transform(F.regexp_extract_all(text, F.lit(PRIVATE), F.lit(0)), lambda m: F.struct(m.alias("original"), pseudonym(m, key).alias("new")))
-    searched = docs.withColumn(work, F.when(text.rlike("[0-9@]"), F.struct(F.split(text, PRIVATE, -1).alias("gaps"), found.alias("found"))))
-    # The struct goes into the lambda as its argument, so that it is computed once.
+    text, name, work, pattern = quoted(text_col), free_name(docs, "private"), free_name(docs, "work"), free_name(docs, "pattern")
+    searched = docs.withColumn(pattern, F.when(text.rlike("[0-9@]"), _private(text)))
+    loose = F.lit(PATTERNS["card"])
+    pieces = F.flatten(F.transform(_pieces(text, quoted(pattern), key), lambda p: F.when(
+        p["new"].isNull() & p["original"].rlike(PATTERNS["card"]), _pieces(p["original"], loose, key)).otherwise(F.array(p))))
+    searched = searched.withColumn(work, F.when(quoted(pattern).isNotNull(), pieces))
     rebuilt = F.element_at(F.transform(F.array(quoted(work)), lambda w: F.struct(
-        F.array_join(F.transform(w["gaps"], lambda g, i: F.concat(g, F.coalesce(F.get(w["found"], i)["new"]["text"], F.get(w["found"], i)["original"], F.lit("")))), "").alias("clean_text"),
-        F.transform(F.filter(w["found"], lambda f: f["new"].isNotNull()), lambda f: F.struct(f["new"]["kind"].alias("kind"), f["original"].alias("original"), f["new"]["text"].alias("text"))).alias("found"))), 1)
+        F.array_join(F.transform(w, lambda p: F.coalesce(p["new"]["text"], p["original"])), "").alias("clean_text"),
+        F.transform(F.filter(w, lambda p: p["new"].isNotNull()), lambda p: F.struct(p["new"]["kind"].alias("kind"), p["original"].alias("original"), p["new"]["text"].alias("text"))).alias("found"))), 1)
     empty = F.array().cast("array<struct<kind:string,original:string,text:string>>")
-    return searched.withColumn(name, F.when(quoted(work).isNull(), F.struct(text.alias("clean_text"), empty.alias("found"))).otherwise(rebuilt)).drop(work)
+    return searched.withColumn(name, F.when(quoted(work).isNull(), F.struct(text.alias("clean_text"), empty.alias("found"))).otherwise(rebuilt)).drop(work, pattern)

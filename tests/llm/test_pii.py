@@ -58,6 +58,24 @@ def test_formats_links_and_invalid_values(spark):
     assert got[8]["clean_text"] is None and got[8]["found"] == [] and got[9]["clean_text"] == "" and got[10]["clean_text"] == "no numbers here"
 
 
+def test_neighbours_of_digits_hide_nothing(spark):
+    card, amex, other = "4111111111111111", "3782 822463 10005", "4111 1111 1111 1111"
+    loose = "41111 11111 111111"
+    lines = {
+        f"{card} 12": [card], f"{card} 12/25": [card], f"{other} 123": [other], f"7 {other}": [other], f"1234 {other}": [other], f"{amex} 1234": [amex],
+        f"{other} 3056 930902 5904 99": [other, "3056 930902 5904"], f"{other} {card} 5": [other, card],
+        "123-45-6789 2024-01-15": ["123-45-6789", "2024-01-15"], "2024-01-15 2024-02-15": ["2024-01-15", "2024-02-15"],
+        "2024-01-15 555-223-4567": ["2024-01-15", "555-223-4567"], "123-45-6789 287-65-4321 5": ["123-45-6789", "287-65-4321"],
+        f"{card} 123-45-6789": [card, "123-45-6789"], f"000-12-3456 {card}": [card], loose: [loose], f"x {loose} 2024-01-15.": [loose, "2024-01-15"],
+        "4111111111111112 12": [], "12345678901234567890 1": []}
+    for (text, wanted), got in zip(lines.items(), run(spark, list(lines)), strict=True):
+        assert [f["original"] for f in got["found"]] == wanted, text
+        rest = text
+        for f in got["found"]:
+            rest = rest.replace(f["original"], f["text"], 1)
+        assert got["clean_text"] == rest and not any(w in got["clean_text"] for w in wanted), text
+
+
 def test_no_two_values_share_a_pseudonym_and_keys_differ(spark):
     texts = [f"10.0.{i // 256}.{i % 256}" for i in range(600)] + [f"2001-{m:02d}-{d:02d}" for m in range(1, 13) for d in range(1, 29)]
     a, b = (sum((x["found"] for x in run(spark, texts, k)), []) for k in "ab")
