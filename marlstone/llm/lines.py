@@ -9,7 +9,6 @@ from marlstone.llm.common import free_name, quoted, text_hash
 from marlstone.session import write_cut
 
 MIN_SITES = 5
-MIN_CHARS = 12
 # A sketch of 2^9 buckets has a standard error of 4.6 %; beyond three of them it decides by itself.
 LG_K = 9
 MARGIN = 0.15
@@ -21,21 +20,23 @@ def line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(plain).alias("a"), F.xxhash64(plain, F.lit(1)).alias("b"))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int) -> DataFrame:
-    """One row (doc, th, site, pos, key) for each line long enough to count."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars: int | None) -> DataFrame:
+    """One row (doc, th, site, pos, key) for each line that counts."""
     rows = docs.select(quoted(id_col).alias("doc"), text_hash(quoted(text_col)).alias("th"), quoted(site_col).alias("site"),
                        F.posexplode_outer(F.split(quoted(text_col), "\n", -1)).alias("pos", "line"))
-    return rows.where(F.length(F.trim("line")) >= min_chars).select("doc", "th", "site", "pos", line_key(F.col("line")).alias("key"))
+    counts = F.col("line").rlike(r"\S") if min_chars is None else F.length(F.trim("line")) >= min_chars
+    return rows.where(counts).select("doc", "th", "site", "pos", line_key(F.col("line")).alias("key"))
 
 
 def boilerplate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                      min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, lg_k: int = LG_K, margin: float = MARGIN) -> DataFrame:
+                      min_sites: int = MIN_SITES, min_chars: int | None = None, lg_k: int = LG_K, margin: float = MARGIN) -> DataFrame:
     """Lines found on at least ``min_sites`` distinct sites: (key, n_sites, exact, first).
 
     A HyperLogLog sketch of the sites of each line key is merged by the aggregation.  Estimates further
     than ``margin`` from the threshold decide; the lines nearer to it get exact distinct counts.  ``first``
-    is the smallest (document, text hash, position) that has the line.  Null sites are no sites; lines
-    under ``min_chars`` characters are left out; an empty table has no such lines.
+    is the smallest (document, text hash, position) that has the line.  Null sites are no sites; blank
+    lines are none, or, where ``min_chars`` is given, lines of fewer characters; an empty table has no
+    such lines.
     """
     lines = _lines(docs, id_col, text_col, site_col, min_chars)
     spread = lines.groupBy("key").agg(
@@ -62,7 +63,7 @@ def _without(text: Column, gone: Column) -> Column:
 
 
 def mark_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                     min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
+                     min_sites: int = MIN_SITES, min_chars: int | None = None) -> DataFrame:
     """``docs`` with a last column ``removed``: (clean_text, positions of removed lines).
 
     Every occurrence of a boilerplate line but the first in the corpus is removed, so nothing is lost

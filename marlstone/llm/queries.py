@@ -53,8 +53,8 @@ FROM documents d LEFT JOIN gone USING (doc_id)
 
 @_query("op1_line_dedup", _LINES_SQL)
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its text free of cross-site boilerplate lines."""
-    marked = lines.mark_boilerplate(_read(spark, sf_dir, "documents"))
+    """Every document with its text free of cross-site boilerplate lines, of 12 characters and more as in the SQL."""
+    marked = lines.mark_boilerplate(_read(spark, sf_dir, "documents"), min_chars=12)
     return marked.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),
                          F.size("removed.positions").cast("long").alias("n_removed"), "removed.clean_text")
 

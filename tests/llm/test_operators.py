@@ -25,6 +25,15 @@ def test_lines_keep_the_first_of_a_wide_line(spark):
     assert lines.mark_boilerplate(docs(spark, [])).count() == 0
 
 
+def test_short_wide_lines_go_and_blank_ones_stay(spark):
+    rows = [(i, f"own text number {i}\nLog in\n\n \t\n.\nend", f"s{i}") for i in range(6)]
+    got = {r["doc_id"]: r["removed_"] for r in lines.mark_boilerplate(docs(spark, rows)).collect()}
+    assert got[0]["positions"] == [] and all(got[i]["positions"] == [1, 4, 5] for i in range(1, 6))
+    assert got[3]["clean_text"] == "own text number 3\n\n \t"
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline._lines(spark, docs(spark, rows), "").collect()}
+    assert kept[3] == "own text number 3\n\n \t" and kept[0] == rows[0][1]
+
+
 def test_leaks_and_their_spans(spark):
     item = "One two, three four five SIX seven eight nine ten eleven"
     bench = spark.createDataFrame([(1, item), (2, "tiny item"), (3, None), (None, "null id"), (2, "tiny item")], "item_id long, text string")
