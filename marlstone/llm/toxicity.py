@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +16,8 @@ from marlstone.llm.common import quoted
 # Labelled texts the model is trained on, at most, and the longest text among them.
 MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 3000, 6000, 16_000
 WINDOW, STRIDE = 80, 64
-GRAM = 5
 ORDINARY_BYTES, HARD_BYTES, TOXIC_BYTES = 32_768, 24_576, 6_000
-MIN_LOG_ODDS = 2.5
 LEVELS = (1, 2, 3, 4)
-# Words of a telling gram in the toxic dictionary, and the longest of them: long junk would crowd out the others.
-PER_GRAM, MAX_WORD = 3, 40
 
 
 def windows(text: bytes) -> list[bytes]:
@@ -57,10 +52,6 @@ class Distance:
                 *[math.log1p((gain >= k).sum() ** 2 / len(gain)) for k in LEVELS], math.log(len(gain)) / 4]
 
 
-def _grams(text: bytes) -> set[bytes]:
-    return {w[i:i + GRAM] for word in set(text.lower().split()) for w in (b" " + word + b" ",) for i in range(len(w) - GRAM + 1)}
-
-
 def _dictionary(size: int, samples: list[bytes]) -> bytes:
     """A trained dictionary; where there is too little to train on, the samples themselves."""
     try:
@@ -72,31 +63,15 @@ def _dictionary(size: int, samples: list[bytes]) -> bytes:
 def train_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """The toxic part and the ordinary dictionary, which the toxic one contains too.
 
-    The ordinary dictionary is trained on windows of ordinary texts.  The toxic one gets the words that
-    hold grams far more frequent in toxic texts; as so short samples would only be repeated by the
-    trainer, they are laid out once each, the frequent ones last.  Then windows of ordinary texts that
-    the toxic part shortens anyway are added to the ordinary dictionary.
+    Both are trained on windows of their texts.  Then windows of ordinary texts that the toxic part
+    shortens anyway are added to the ordinary dictionary.
     """
-    in_toxic, in_ordinary = (Counter(g for t in texts for g in _grams(t)) for texts in (toxic, ordinary))
-    least = max(3, len(toxic) // 200)
-    telling = {g for g, n in in_toxic.items() if n >= least
-               and math.log((n + 0.5) / (len(toxic) + 1)) - math.log((in_ordinary[g] + 0.5) / (len(ordinary) + 1)) >= MIN_LOG_ODDS}
-    words = Counter(w for t in toxic for w in t.lower().split() if not telling.isdisjoint(_grams(w)))
-    # Frequent words first; a rarer one only if it has a telling gram that few words before it had.
-    covered: Counter[bytes] = Counter()
-    chosen = []
-    for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
-        own = _grams(w) & telling
-        if len(w) <= MAX_WORD and any(covered[g] < PER_GRAM for g in own):
-            chosen.append(b" " + w)
-            covered.update(own)
-    part = b"".join(chosen[::-1])[-TOXIC_BYTES:] + b" "
+    part = _dictionary(TOXIC_BYTES, [w for t in toxic for w in windows(t)])
     plain = [w for t in ordinary for w in windows(t)]
     order = np.random.default_rng(0).permutation(len(plain))
     base = _dictionary(ORDINARY_BYTES, [plain[i] for i in order[:40_000]])
     distance = Distance(part, base)
-    unseen = order[40_000:120_000] if len(order) > 80_000 else order
-    hard = [plain[i] for i in unseen if len(distance.ordinary.compress(plain[i])) - len(distance.toxic.compress(plain[i])) >= 2]
+    hard = [plain[i] for i in order if len(distance.ordinary.compress(plain[i])) - len(distance.toxic.compress(plain[i])) >= 2]
     if hard:
         base = _dictionary(min(HARD_BYTES, max(2048, 30 * len(hard))), hard) + base
     return part, base

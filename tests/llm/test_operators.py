@@ -107,6 +107,14 @@ def test_archives_round_trip_and_damage(spark):
             warc.parse(bad)
 
 
+def test_toxic_dictionary_learns_from_text_without_spaces():
+    rng = np.random.default_rng(6)
+    junk = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    toxic, ordinary = [junk(100) + b"zorkblat" + junk(100) for _ in range(60)], [junk(200) for _ in range(60)]
+    part, base = toxicity.train_dictionaries(toxic, ordinary)
+    assert b"zorkblat" in part and b"zorkblat" not in base
+
+
 def test_toxicity_scores_all_and_learns(spark):
     rng = np.random.default_rng(6)
     word = lambda: "".join(rng.choice(["th", "er", "on", "an", "re", "he", "in"], rng.integers(1, 4)))
