@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     many each, are compared with all members of other components until none is left: no two similar
     members of a bucket that are not yet connected stay untried, while connected ones are never paired.
     Every link is confirmed on the full sets.  A pair at the threshold shares no bucket with probability
-    of about 2e-5.
+    of about 9e-5.
 
     A document with fewer words than a shingle has its whole sequence as one; without words or text the
     set is empty and has no links.  Rows that share an id are compared one by one and each has its own
