@@ -8,6 +8,7 @@ ordinary column work.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
@@ -46,6 +47,22 @@ def random_forest(trees: int = 100, depth: int = DEEPEST, impurity: str = "gini"
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, impurity=impurity, featureSubsetStrategy=subset, seed=seed)
 
 
+def fit_forest(trees: int, df: DataFrame, batch: int = 62, bootstrap: bool = True, seed: int = 42, **settings) -> list[Model]:
+    """A forest fitted ``batch`` trees at a time; ``summed_votes`` makes one decision of the parts."""
+    return [random_forest(min(batch, trees - at), seed=seed + at, **settings).setBootstrap(bootstrap).fit(df) for at in range(0, trees, batch)]
+
+
+def summed_votes(models: Sequence[Model], df: DataFrame, name: str = "prediction") -> DataFrame:
+    """``df`` with the class that the trees of all ``models`` vote for; the smaller class if votes are equal."""
+    raw = [f"_votes{i}" for i in range(len(models))]
+    out = df
+    for model, votes in zip(models, raw):
+        out = model.copy().setRawPredictionCol(votes).setProbabilityCol("").setPredictionCol("").transform(out)
+    total = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), [vector_to_array(votes) for votes in raw])
+    out = out.withColumn("_votes", total)
+    return out.withColumn(name, (F.array_position("_votes", F.array_max("_votes")) - 1).cast("double")).drop("_votes", *raw)
+
+
 def l1_logistic(c: float, n: int, max_iter: int = 100) -> LogisticRegression:
     """L1 penalty with inverse strength c over n rows."""
     return LogisticRegression(elasticNetParam=1.0, regParam=1.0 / (c * n), maxIter=max_iter, tol=TOLERANCE)
@@ -172,9 +189,10 @@ def random_search(estimator: Estimator, space: dict[str, Sequence], trials: int,
                                 parallelism=4, seed=seed).fit(df)
 
 
-def score_submission(model: Model, df: DataFrame, key: str, name: str = "is_duplicate") -> DataFrame:
-    """(key, label) rows ready to be written."""
-    return model.transform(df).select(key, F.col("prediction").cast("int").alias(name))
+def score_submission(model: Model | Sequence[Model], df: DataFrame, key: str, name: str = "is_duplicate") -> DataFrame:
+    """(key, label) rows ready to be written, by one model or by a forest in parts."""
+    decided = model.transform(df) if isinstance(model, Model) else summed_votes(model, df)
+    return decided.select(key, F.col("prediction").cast("int").alias(name))
 
 
 def search_table(spark, maps: Iterable[dict], scores: Iterable[float]) -> DataFrame:

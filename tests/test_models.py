@@ -1,10 +1,12 @@
 """Mixtures, reductions, calibration, searches."""
 
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from marlstone.operators import classify as cl
@@ -111,3 +113,22 @@ def test_gaussian_bayes_parameters(blobs):
     df, x, label = blobs
     got = {(r["class"], r.i): (r.mean, r.variance) for r in cl.gaussian_bayes_parameters(df, "vec", "label").collect()}
     assert got[1, 2] == (pytest.approx(x[label == 1, 2].mean()), pytest.approx(x[label == 1, 2].var()))
+
+
+def test_forest_in_parts_adds_the_votes(spark):
+    rows = spark.createDataFrame([(i, float((i * 7 % 11) > 5), Vectors.dense([float(i % 5), float(i * 3 % 7)])) for i in range(60)], ["id", "label", "features"])
+    forest = cl.fit_forest(7, rows, batch=3, depth=2)
+    assert [m.getNumTrees for m in forest] == [3, 3, 1]
+    votes = [{r["id"]: r["rawPrediction"].toArray() for r in m.transform(rows).collect()} for m in forest]
+    got = {r["id"]: r["is_duplicate"] for r in cl.score_submission(forest, rows, "id").collect()}
+    assert got == {i: int(sum(v[i] for v in votes).argmax()) for i in range(60)}
+
+
+@pytest.mark.parametrize("name,settings", [("grid_search", 21), ("random_search", 18)])
+def test_searches_try_all_settings(spark, name, settings):
+    import __spark_entry__ as contract
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    rows = contract.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert len({r["setting"] for r in rows}) == settings
