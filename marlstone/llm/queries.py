@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, embeddings, lines, minhash, packing, pii, quality, suffixes, toxicity, warc
+from marlstone.llm import decontaminate, embeddings, licences, lines, minhash, packing, pii, quality, runs, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -201,3 +201,70 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, _read(spark, sf_dir, "labels"), usable=~held_out)
     scored = toxicity.score(docs, model).withColumnRenamed("doc", "doc_id")
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _licence_sql() -> str:
+    """Places of the phrases, and of the templates by comparing every place, in SQL."""
+    def text(value: str) -> str:
+        return "'" + value.replace("'", "''") + "'"
+
+    index = ", ".join(f"({t}, {text(label)}, {place}, {text(word)}, {key})" for t, label, place, word, key in licences.postings())
+    base = ", ".join(f"({text(p)}, {len(licences.words_of(p))}, {text(label)})" for p, label in licences.BASE_PHRASES.items())
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS w FROM documents),
+phrases(p, size, label) AS (VALUES {base}),
+postings(template, label, place, word, key) AS (VALUES {index}),
+occ AS (SELECT r, i - 1 AS pos, w[i] AS word FROM d, unnest(generate_series(1, len(w))) AS s(i)),
+places AS (SELECT r, i - 1 AS pos, label FROM d, phrases, unnest(generate_series(1, len(w) - size + 1)) AS s(i)
+  WHERE len(w) >= size AND array_to_string(w[i:i + size - 1], ' ') = p),
+df AS (SELECT word, count(DISTINCT r) AS n FROM occ SEMI JOIN postings USING (word) GROUP BY word),
+weighted AS (SELECT t.*, CAST(1 + round(1000 * ln(((SELECT count(*) FROM d) + 1) / (coalesce(n, 0) + 1))) AS BIGINT) AS weight
+  FROM postings t LEFT JOIN df USING (word)),
+sizes AS (SELECT template, count(*) FILTER (WHERE key) AS n_key, sum(weight) AS total FROM weighted GROUP BY template),
+matched AS (SELECT r, template, label, pos - place AS at, sum(weight) AS weight, count(*) FILTER (WHERE key) AS n
+  FROM occ JOIN weighted USING (word) GROUP BY ALL),
+found AS (SELECT r, label, weight / total AS score FROM matched JOIN sizes USING (template) WHERE n = n_key),
+labels AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM found UNION SELECT r, label FROM places) GROUP BY r),
+base AS (SELECT r, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY r),
+best AS (SELECT r, max(score) AS score FROM found GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CAST(greatest(coalesce(score, 0), CASE WHEN n > 0 THEN {licences.BASE_SCORE} ELSE 0 END) AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN labels USING (r) LEFT JOIN best USING (r)
+"""
+
+
+@_query("op11_licence_scan", _licence_sql())
+def op11_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the base phrases in every document, its licences and the score of the best one."""
+    return licences.digest(licences.scan_licences(_read(spark, sf_dir, "documents"))).withColumnRenamed("doc", "doc_id")
+
+
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where every tenth id by its checksum repeats some of its words up to the end, as the contract of ``op12`` has it."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words):
+        n = F.size(words)
+        a = g % n
+        period = F.floor((n - a) / (g % 8 + 3)) + 1
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.get(
+            words, F.when(i < a, i).otherwise(a + (i - a) % period).cast("int"))), " ")).otherwise("")
+
+    # The words are handed on as a lambda's argument, or they would be found again for each of them.
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, F.transform(F.array(words), repeated)[0]).otherwise(F.col("text")).alias("text"))
+
+
+@_query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, the longest one, and its words without the repeats."""
+    found = runs.find_runs(with_planted_repeats(_read(spark, sf_dir, "documents")))
+    one = F.array_max(F.transform("periodic.runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    listed = F.array_join(F.transform("periodic.runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    longest = found.select("doc_id", F.size("periodic.runs").cast("long").alias("n_runs"), one.alias("one"),
+                           F.when(F.size("periodic.runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("").alias("listed"), "periodic.collapsed")
+    return longest.select("doc_id", "n_runs", (-F.col("one.col2")).alias("start"), F.col("one.length").alias("length"), (-F.col("one.col3")).alias("period"),
+                          F.floor(1000 * F.col("one.length") / -F.col("one.col3")).alias("exponent_milli"),
+                          F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
