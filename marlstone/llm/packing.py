@@ -35,7 +35,7 @@ _OPEN_SPACE = re.compile(r"^ | $| \s|\s ")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
-def _byte_characters() -> dict[str, int]:
+def byte_characters() -> dict[str, int]:
     """The published byte-level alphabet: printable Latin-1 stands for itself, the rest for 256 and up."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
@@ -85,7 +85,7 @@ class ByteBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"] for t in spec.get("added_tokens", ())}
-        to_byte = _byte_characters()
+        to_byte = byte_characters()
         ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         # The published pattern of this pre-tokeniser (fixed value).
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"

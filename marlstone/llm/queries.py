@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontaminate, embeddings, licences, lines, minhash, packing, pii, quality, runs, suffixes, toxicity, warc
+from marlstone.llm import alignment, decontaminate, embeddings, licences, lines, minhash, packing, pii, quality, runs, suffixes, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,10 +27,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 _LINES_SQL = """
@@ -268,3 +268,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longest.select("doc_id", "n_runs", (-F.col("one.col2")).alias("start"), F.col("one.length").alias("length"), (-F.col("one.col3")).alias("period"),
                           F.floor(1000 * F.col("one.length") / -F.col("one.col3")).alias("exponent_milli"),
                           F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@_query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of every document under two tokenisers, and how usual its links are."""
+    aligned = alignment.align_tokenizers(_read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return aligned.measures.withColumnRenamed("doc", "doc_id")
