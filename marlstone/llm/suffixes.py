@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +21,9 @@ LENGTH = 400
 GRAM = 32
 # Texts are walked in stretches, so that a very long one takes no more memory than this.
 STRETCH = 4 << 20
-BUCKET_BYTES = 24 << 20
-# Neighbours on either side that a suffix is compared with; what they leave open goes to digests.
-SCAN = 48
+BUCKET_BYTES = 16 << 20
+HOT_SHARE = 200
+SALTS = 32
 # Bits of the filters that go to all tasks, whatever the input: they pass too much when full, never too little.
 FILTER_BITS = 1 << 27
 
@@ -212,23 +213,71 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return low
 
 
-def _match(a: tuple[int, bytes], b: tuple[int, bytes]) -> tuple[int, int]:
-    """Bytes in common to the left of the anchors and from the anchors on."""
-    (i, x), (j, y) = a, b
-    return common_prefix(x[:i][::-1], y[:j][::-1]), common_prefix(x[i:], y[j:])
+def group_covers(before: list[bytes], ahead: list[bytes], length: int) -> list[tuple[int, int]]:
+    """For each of the suffixes of one gram, in suffix order: bytes covered to the left of the anchor and from it on, (0, 0) if none are.
+
+    Partners that share l bytes to the left and r from the anchor on, l + r >= ``length``, cover [-l, r); all
+    covers have the anchor in them, so the longest l and r of any partners tell everything.  Suffixes are
+    joined into groups by what they share from the anchor on, most first.  When two groups meet at r, those
+    of the smaller one are put among those of the larger one in the order of what is before the anchor:
+    only neighbours there can have a longer l than was known at a longer r.
+    """
+    n = len(before)
+    found = [(0, 0)] * n
+
+    def match(i: int, j: int, right: int) -> None:
+        if right + min(len(before[i]), len(before[j])) >= length:
+            left = common_prefix(before[i], before[j])
+            if left + right >= length:
+                for k in (i, j):
+                    found[k] = (max(found[k][0], left), max(found[k][1], right))
+
+    shared = [common_prefix(x, y) for x, y in zip(ahead, ahead[1:], strict=False)]
+    order = sorted(range(n), key=before.__getitem__)
+    rank = [0] * n
+    for k, i in enumerate(order):
+        rank[i] = k
+    members = [[rank[i]] for i in range(n)]
+    group = list(range(n))
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    for k in sorted(range(n - 1), key=shared.__getitem__, reverse=True):
+        small, large = sorted((root(k), root(k + 1)), key=lambda i: len(members[i]))
+        into = members[large]
+        for x in members[small]:
+            at = bisect_left(into, x)
+            if at:
+                match(order[x], order[into[at - 1]], shared[k])
+            if at < len(into):
+                match(order[x], order[into[at]], shared[k])
+            into.insert(at, x)
+        group[small], members[small] = large, []
+    return found
+
+
+_FOUND = pa.schema([("kind", pa.int32()), ("c", pa.int64()), ("gram", pa.int64()), ("bucket", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("a", pa.int32()), ("seg", pa.binary())])
+_FOUND_DDL = "kind int, c long, gram long, bucket int, start int, end int, a int, seg binary"
+
+
+def _found(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), 20_000):
+        columns = zip(*rows[at:at + 20_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND, strict=True)], schema=_FOUND)
 
 
 def _sorted_buckets(classes: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Comparison with the neighbours in suffix order inside each bucket, what they leave open, and the rows at the bucket's ends.
+    """Partners inside each bucket of the suffix order, and what is needed to go beyond it.
 
-    kind 0: bytes from .. to around the anchor of class c occur elsewhere; kind 1: offsets still open for
-    the gram, as bits; kind 2 and 3: first and last class of a bucket.
+    kind 0: class c has the bytes start .. end around its anchor elsewhere; kind 1: class c of the bucket's
+    first or last gram shares at most ``start`` bytes with what precedes the bucket and ``end`` with what
+    follows; kind 2 and 3: first and last class of a bucket.
     """
-    words = -(-(length - GRAM + 1) // 63)
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         rows = [r for b in batches for at in range(0, b.num_rows, 4096) for r in b.slice(at, 4096).to_pylist()]
         if not rows:
             return
@@ -236,133 +285,151 @@ def _sorted_buckets(classes: DataFrame, length: int, buckets: int) -> DataFrame:
         left = _tokens([r["seg"][:r["a"]][::-1] for r in rows], length)
         rows = [rows[i] for i in multikey_quicksort(np.hstack((suffix, left))).tolist()]
         bucket, out = TaskContext.get().partitionId(), []
-        before = [r["seg"][:r["a"]][::-1] for r in rows]
-        ahead = [r["seg"][r["a"]:] for r in rows]
-        shared = [common_prefix(x, y) for x, y in zip(ahead, ahead[1:], strict=False)]
-        for i, row in enumerate(rows):
-            if row["several"]:
-                continue
-            covers, unknown = [], 0
-            for step in (-1, 1):
-                # Further off, less is shared from the anchor on: stop where no partner can match long enough.
-                j, right = i, length
-                for tried in range(SCAN + 1):
-                    k = j + step
-                    if not 0 <= k < len(rows) or tried == SCAN:
-                        unknown = max(unknown, right)
-                        break
-                    right = min(right, shared[min(j, k)])
-                    if right + row["a"] < length:
-                        break
-                    left_match = common_prefix(before[i], before[k])
-                    if left_match + right >= length:
-                        covers.append((left_match, right))
-                        if left_match == row["a"]:
-                            break
-                    j = k
-            out += [(0, row["c"], None, -l, r, None, None) for l, r in covers]
-            low = max(row["a"] - (len(row["seg"]) - length), length - unknown)
-            wanted = [d for d in range(low, row["a"] + 1) if not any(length - r <= d <= l for l, r in covers)]
-            if wanted:
-                bits = [0] * words
-                for d in wanted:
-                    bits[d // 63] |= 1 << d % 63
-                out.append((1, row["c"], row["gram"], None, None, bits, None))
-        for kind, row in ((2, rows[0]), (3, rows[-1])):
-            out.append((kind, row["c"], bucket, row["a"], None, None, row["seg"]))
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
-        names = ["kind", "c", "gram", "start", "end", "bits", "seg"]
-        for at in range(0, len(out), 20_000):
-            columns = zip(*out[at:at + 20_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        edges = [0, *(i for i in range(1, len(rows)) if rows[i]["gram"] != rows[i - 1]["gram"]), len(rows)]
+        for first, last in zip(edges, edges[1:], strict=False):
+            own = rows[first:last]
+            ahead = [r["seg"][r["a"]:] for r in own]
+            covers = group_covers([r["seg"][:r["a"]][::-1] for r in own], ahead, length)
+            out += [(0, r["c"], None, None, -l, e, None, None) for r, (l, e) in zip(own, covers, strict=True) if e and not r["several"]]
+            if first == 0 or last == len(rows):
+                # The first class itself is bounded by its neighbour in the bucket before, whatever it is.
+                down = [common_prefix(x, ahead[0]) if first == 0 else 0 for x in ahead]
+                up = [common_prefix(x, ahead[-1]) if last == len(rows) else 0 for x in ahead]
+                out += [(1, r["c"], r["gram"], bucket, d, u, r["a"], None) for r, d, u in zip(own, down, up, strict=True) if not r["several"]]
+        out += [(kind, r["c"], r["gram"], bucket, None, None, r["a"], r["seg"]) for kind, r in ((2, rows[0]), (3, rows[-1]))]
+        yield from _found(out)
 
     anchor = F.col("a") + 1
     keyed = classes.withColumn("suffix", F.substring("seg", anchor, F.lit(length))).withColumn("left", F.reverse(F.hex(F.substring("seg", F.greatest(anchor - 16, F.lit(1)), F.least(F.col("a"), F.lit(16))))))
     dealt = keyed.repartitionByRange(buckets, "suffix", "left", "c").select("c", "gram", "a", "seg", "several")
-    return dealt.mapInArrow(compare, "kind int, c long, gram long, start int, end int, bits array<long>, seg binary")
+    return dealt.mapInArrow(compare, _FOUND_DDL)
+
+
+def _left_neighbours(classes: DataFrame, buckets: int) -> DataFrame:
+    """The same rows by what is before the anchor: kind 4: class c shares start bytes before and end bytes from the anchor on with a neighbour."""
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, before, out = TaskContext.get().partitionId(), None, []
+        for row in (r for b in batches for at in range(0, b.num_rows, 1024) for r in b.slice(at, 1024).to_pylist()):
+            if before is None:
+                out.append((2, row["c"], row["gram"], bucket, None, None, row["a"], row["seg"]))
+            elif row["gram"] == before["gram"]:
+                left, right = _match((before["a"], before["seg"]), (row["a"], row["seg"]))
+                out += [(4, r["c"], None, None, left, right, None, None) for r in (before, row)]
+            before = row
+            if len(out) >= 20_000:
+                yield from _found(out)
+                out = []
+        if before is not None:
+            out.append((3, before["c"], before["gram"], bucket, None, None, before["a"], before["seg"]))
+        yield from _found(out)
+
+    keyed = classes.withColumn("left", F.reverse(F.hex(F.substring("seg", F.lit(1), F.col("a")))))
+    dealt = keyed.repartitionByRange(buckets, "gram", "left", "c").sortWithinPartitions("gram", "left", "c").select("c", "gram", "a", "seg")
+    return dealt.mapInArrow(compare, _FOUND_DDL)
 
 
-def _across(found: DataFrame, length: int) -> DataFrame:
-    """The same comparison between the last row of a bucket and the first of the next that has any: (c, start, end)."""
-    ends = found.where(F.col("kind") > 1).select("kind", "c", F.col("gram").alias("bucket"), F.col("start").alias("a"), "seg")
-    numbers = ends.where("kind = 2").select("bucket", F.lead("bucket").over(Window.orderBy("bucket")).alias("next"))
+def _match(a: tuple[int, bytes], b: tuple[int, bytes]) -> tuple[int, int]:
+    """Bytes in common to the left of the anchors and from the anchors on."""
+    (i, x), (j, y) = a, b
+    return common_prefix(x[:i][::-1], y[:j][::-1]), common_prefix(x[i:], y[j:])
+
+
+def _across(found: DataFrame) -> DataFrame:
+    """The last class of each bucket and the first of the next that has any: (bucket, next, c1, c2, gram, start, end); gram if it is the same."""
+    ends = found.where(F.col("kind").isin(2, 3)).select("kind", "c", "gram", "bucket", "a", "seg")
+    numbers = ends.where("kind = 2").select("bucket", F.lead("bucket").over(Window.orderBy("bucket")).alias("next"))     # a row per bucket
     last, first = ends.where("kind = 3").alias("l"), ends.where("kind = 2").alias("f")
     pairs = (last.join(numbers.alias("n"), F.col("l.bucket") == F.col("n.bucket")).join(first, F.col("n.next") == F.col("f.bucket"))
-             .select(F.col("l.c").alias("c1"), F.col("l.a").alias("a1"), F.col("l.seg").alias("s1"), F.col("f.c").alias("c2"), F.col("f.a").alias("a2"), F.col("f.seg").alias("s2")))
+             .select(F.col("l.bucket").alias("bucket"), "n.next", F.col("l.c").alias("c1"), F.col("f.c").alias("c2"),
+                     F.when(F.col("l.gram") == F.col("f.gram"), F.col("l.gram")).alias("gram"),
+                     F.col("l.a").alias("a1"), F.col("l.seg").alias("s1"), F.col("f.a").alias("a2"), F.col("f.seg").alias("s2")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                left, right = _match((r["a1"], r["s1"]), (r["a2"], r["s2"]))
-                if left + right >= length:
-                    out += [(r["c1"], -left, right), (r["c2"], -left, right)]
-            c, start, end = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=["c", "start", "end"])
+            shared = [_match((r["a1"], r["s1"]), (r["a2"], r["s2"])) for r in batch.select(["a1", "s1", "a2", "s2"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array([s[k] for s in shared], pa.int32()) for k in (0, 1))],
+                                             names=["bucket", "next", "c1", "c2", "gram", "start", "end"])
 
-    return pairs.mapInArrow(compare, "c long, start int, end int")
+    return pairs.mapInArrow(compare, "bucket int, next int, c1 long, c2 long, gram long, start int, end int")
 
 
-def _open_strings(classes: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """(c, start, end) of strings that the sorted neighbours left open and that another class of the gram has too, by 128-bit digests.
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select("c1", "start", "end").unionAll(edges.select("c2", "start", "end")).toDF("c", "left", "right")
 
-    Neighbours in suffix order share the longest text from the anchor on; a partner with less of that but
-    more to the left of it may stand further off.  Only offsets open for some class of a gram are tried.
-    """
-    words = -(-(length - GRAM + 1) // 63)
-    masks = found.where("kind = 1").groupBy("gram").agg(F.array(*[F.bit_or(F.col("bits")[i]) for i in range(words)]).alias("bits"))
 
+def _covers(classes: DataFrame, length: int, buckets: int) -> DataFrame:
+    """(c, start, end) of bytes around the anchors of classes that other classes have too.
+
+    A gram within one bucket of the suffix order is settled there.  Of grams that lie across buckets, the
+    classes are dealt anew in the order of what is before the anchor, where neighbours share most of that.
+    A class is settled when no partner elsewhere can share more to either side than one that was found; for
+    the others the lengths still possible are tried by digests of the strings.
+    """
+    found = write_cut(_sorted_buckets(classes, length, buckets), "suffix-order")
+    edges = write_cut(_across(found), "suffix-edges")
+    inside = found.where("kind = 0").select("c", (-F.col("start")).alias("left"), F.col("end").alias("right"))
+    wide = edges.where("gram IS NOT NULL").select("gram").distinct()
+    again = write_cut(_left_neighbours(classes.join(wide, "gram", "left_semi"), buckets), "left-order")
+    beside = write_cut(again.where("kind = 4").select("c", F.col("start").alias("left"), F.col("end").alias("right"))
+                       .unionAll(_both(_across(again).where("gram IS NOT NULL"))), "left-neighbours")
+    enough = F.col("left") + F.col("right") >= length
+    known = write_cut(inside.unionAll(_both(edges).where(enough)).unionAll(beside.where(enough)).groupBy("c").agg(F.max("left").alias("left"), F.max("right").alias("right")), "covers")
+
+    # What a partner outside the bucket can share at most: right from the anchor on, left before it.
+    bound = found.where("kind = 1").join(wide, "gram", "left_semi").select("c", "gram", "bucket", F.col("start").alias("down"), F.col("end").alias("up"))
+    bound = (bound.join(edges.select(F.col("next").alias("bucket"), F.col("end").alias("before")), "bucket", "left")
+             .join(edges.select("bucket", F.col("end").alias("after")), "bucket", "left")
+             .select("c", "gram", F.greatest(F.least("down", F.coalesce("before", F.lit(0))), F.least("up", F.coalesce("after", F.lit(0)))).alias("most_right")))
+    most_left = beside.groupBy("c").agg(F.max("left").alias("most_left"))
+    state = bound.join(most_left, "c").join(known, "c", "left").select(
+        "gram", (length - F.col("most_right")).alias("low"), "most_left", F.coalesce("left", F.lit(-1)).alias("left"), F.coalesce("right", F.lit(-1)).alias("right"))
+    possible = [F.struct(F.greatest(F.col("low"), F.col("left") + 1, F.lit(0)).alias("low"), F.col("most_left").alias("high")),
+                F.struct(F.greatest(F.col("low"), F.lit(0)).alias("low"), F.least(length - 1 - F.col("right"), F.col("most_left")).alias("high"))]
+    open_at = (state.select("gram", F.inline(F.array(*possible))).where("low <= high").distinct()
+               .select("gram", F.explode(F.sequence("low", "high")).alias("d")).groupBy("gram").agg(F.collect_set("d").alias("offsets")))
+    return known.select("c", (-F.col("left")).alias("start"), F.col("right").alias("end")).unionAll(_open_strings(classes, write_cut(open_at, "open"), length))
+
+
+def _open_strings(classes: DataFrame, open_at: DataFrame, length: int) -> DataFrame:
+    """(c, start, end) of strings that another class of the gram has too, by 128-bit digests, at the offsets open for the gram."""
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["x", "c", "d"], [pa.binary(), pa.int64(), pa.int32()]
         for batch in batches:
-            digest, owner, offset = [], [], []
-
-            def flush(digest=digest, owner=owner, offset=offset) -> pa.RecordBatch:
-                made = pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(owner, pa.int64()), pa.array(offset, pa.int32())], names=["x", "c", "d"])
-                for column in (digest, owner, offset):
-                    column.clear()
-                return made
-
-            for at in range(0, batch.num_rows, 1024):
-                for r in batch.slice(at, 1024).to_pylist():
+            for at in range(0, batch.num_rows, 256):
+                out = []
+                for r in batch.slice(at, 256).to_pylist():
                     a, seg = r["a"], r["seg"]
-                    for d in range(a - (len(seg) - length), a + 1):
-                        if d >= 0 and r["bits"][d // 63] >> d % 63 & 1:
-                            digest.append(xxhash.xxh3_128_digest(seg[a - d:a - d + length]))
-                            owner.append(r["c"])
-                            offset.append(d)
-                if len(digest) > 100_000:
-                    yield flush()
-            yield flush()
+                    out += [(xxhash.xxh3_128_digest(seg[a - d:a - d + length]), r["c"], d) for d in r["offsets"] if a - (len(seg) - length) <= d <= a]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    tried = write_cut(classes.join(masks, "gram").select("c", "a", "seg", "bits").mapInArrow(strings, "x binary, c long, d int"), "open-strings")
-    shared = tried.groupBy("x").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("low") != F.col("high")).select("x")
-    return tried.join(shared, "x", "left_semi").select("c", (-F.col("d")).alias("start"), (length - F.col("d")).alias("end"))
+    tried = write_cut(classes.join(open_at, "gram").select("c", "a", "seg", "offsets").mapInArrow(strings, "x binary, c long, d int"), "open-strings")
+    shared = tried.groupBy("x", "d").agg(F.min("c").alias("low"), F.max("c").alias("high")).where(F.col("low") != F.col("high")).select("x", "d")
+    return tried.join(shared, ["x", "d"], "left_semi").select("c", (-F.col("d")).alias("start"), (length - F.col("d")).alias("end"))
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(h, whole, spans): for each distinct text with repeated bytes its MD5, whether all of it is repeated, and the runs of repeated bytes.
+    """(h, copies, spans): for each distinct text with repeated bytes its MD5, how often it occurs, and runs of repeated bytes.
 
-    ``spans`` is an array of (start, end) byte offsets, maximal and sorted; a text that occurs as a whole
-    more than once has ``whole`` and may have no spans.
+    ``spans`` is an array of (start, end) byte offsets, sorted; all of a text that occurs more than once
+    is repeated, and it may have no spans.
     """
     several = (docs.select(F.coalesce(quoted(text_col), F.lit("")).alias("t")).where(F.octet_length("t") >= length)
-               .groupBy(F.unhex(F.md5("t")).alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+               .groupBy(F.unhex(F.md5("t")).alias("h")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     grams = _filter_of(write_cut(_grams(docs, text_col, length), "grams"), "gram")
     place = F.struct("h", "p")
     classes = write_cut(_contexts(docs, text_col, length, grams, True).groupBy("k").agg(
         F.first("gram").alias("gram"), F.first("a").alias("a"), F.first("seg").alias("seg"), (F.min(place) != F.max(place)).alias("several"))
         .withColumn("c", F.monotonically_increasing_id()), "contexts")
     total = classes.agg(F.coalesce(F.sum(F.octet_length("seg")), F.lit(0)).alias("n")).first()["n"]
-    found = write_cut(_sorted_buckets(classes, length, max(2, -(-total // bucket_bytes))), "suffix-order")
-    covers = (found.where("kind = 0").select("c", "start", "end").unionAll(_across(found, length)).unionAll(_open_strings(classes, found, length))
+    covers = (_covers(classes, length, max(2, -(-total // bucket_bytes)))
               .unionAll(classes.where("several").select("c", -F.col("a"), F.octet_length("seg") - F.col("a")))
-              .groupBy("c").agg(F.collect_set(F.struct("start", "end")).alias("covers")))
+              .groupBy("c").agg(F.min("start").alias("start"), F.max("end").alias("end")))
     places = _contexts(docs, text_col, length, grams, False).distinct()
-    known = covers.join(classes.select("c", "k"), "c").select("k", "covers")
-    spans = (places.join(known, "k").select("h", F.explode("covers").alias("v"), "p")
-             .select("h", F.struct((F.col("p") + F.col("v.start")).alias("start"), (F.col("p") + F.col("v.end")).alias("end")).alias("v"))
+    known = covers.join(classes.select("c", "k"), "c").select("k", "start", "end")
+    spans = (places.join(known, "k").select("h", F.struct((F.col("p") + F.col("start")).alias("start"), (F.col("p") + F.col("end")).alias("end")).alias("v"))
              .groupBy("h").agg(F.array_sort(F.collect_set("v")).alias("spans")))
-    return several.select("h", F.lit(True).alias("whole")).join(spans, "h", "full").select("h", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
+    return several.join(spans, "h", "full").select("h", F.coalesce("copies", F.lit(1)).alias("copies"), "spans")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -382,9 +449,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     another; overlaps count, and all is judged on the input.  Such strings are found at anchors: each
     has one, the least hash of its 32-byte grams, so suffixes at anchors stand for all suffixes.
     Anchors whose gram occurs once are left out.  Sampled splitters range-partition the suffixes by
-    their bytes, ties by what is before them; each bucket sorts by multikey quicksort on 8-byte tokens
-    and compares neighbours, also across the bucket's ends; strings that the neighbours leave open are
-    settled by digests.  Equal contexts are one class throughout, so copies make no large groups.
+    their bytes, ties by what is before them; each bucket sorts by multikey quicksort on 8-byte tokens,
+    finds the partners of each suffix in it and compares across the bucket's ends.  Grams across several
+    buckets are sorted by what is before them too; what both orders leave open is settled by digests.  Equal contexts are one class throughout, so copies make no large groups.
 
     A null text is empty; a text shorter than ``length`` stays; rows that share an id are documents of
     their own, and two copies of a text remove each other; an empty table has no rows.
@@ -400,7 +467,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(quoted(id_col).alias("doc"), text.alias("text"), F.unhex(F.md5(text)).alias("h")).withColumn("maybe", may_repeat("h"))
     no_spans = F.array().cast("array<struct<start:bigint,end:bigint>>")
     clean = rows.where(~F.col("maybe")).select("doc", F.octet_length("text").cast("long").alias("n_bytes"), no_spans.alias("spans"), F.col("text").alias("kept"))
-    hit = rows.where("maybe").join(found, "h", "left").select("doc", "text", F.coalesce("whole", F.lit(False)).alias("whole"), F.coalesce("spans", no_spans).alias("spans"))
+    # Texts that are over 1 in HOT_SHARE of all rows, fewer than HOT_SHARE, are spread over several tasks.
+    total = rows.select(F.count(F.lit(1)).alias("n")).first()["n"]
+    hot = [bytes(r["h"]) for r in found.where(F.col("copies") * HOT_SHARE > total).select("h").collect()]
+    is_hot = F.col("h").isin([F.lit(h) for h in hot]) if hot else F.lit(False)
+    salt = F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salted = found.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    hit = (rows.where("maybe").withColumn("salt", salt).join(salted, ["h", "salt"], "left")
+           .select("doc", "text", F.coalesce(F.col("copies") > 1, F.lit(False)).alias("whole"), F.coalesce("spans", no_spans).alias("spans")))
     doc_type = hit.schema["doc"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -92,3 +92,32 @@ def test_anchor_hashes_fill_the_filter_evenly():
 def test_no_rows(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert hashlib.md5(b"").digest()
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_partners_of_one_gram_equal_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    length = int(rng.integers(12, 40))
+    word = lambda: bytes(rng.integers(97, 99 + seed % 2, rng.integers(0, length)).astype(np.uint8))
+    stems = [(word(), word()) for _ in range(4)]
+    own = {(stems[rng.integers(4)][0] + word()[:4], b"gram" + stems[rng.integers(4)][1] + word()[:4]) for _ in range(60)}
+    own = sorted(own, key=lambda x: (x[1], x[0]))
+    got = suffixes.group_covers([x for x, _ in own], [y for _, y in own], length)
+    for i, (x, y) in enumerate(own):
+        shared = [(suffixes.common_prefix(x, u), suffixes.common_prefix(y, v)) for j, (u, v) in enumerate(own) if j != i]
+        shared = [(a, b) for a, b in shared if a + b >= length] or [(0, 0)]
+        assert got[i] == (max(a for a, _ in shared), max(b for _, b in shared))
+
+
+def test_short_passage_in_very_many_texts(spark):
+    """Contexts of one gram over many buckets, and copies of one text that are a third of all rows."""
+    rng = np.random.default_rng(9)
+    noise = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 5, n))
+    passage = noise(90)
+    texts = [noise(int(rng.integers(0, 60))) + passage[int(rng.integers(0, 8)):90 - int(rng.integers(0, 8))] + noise(int(rng.integers(0, 60))) for _ in range(400)]
+    texts += [passage + noise(50)] * 200 + [None, "", passage]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, copies int").repartition(4)
+    got = {r["doc"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffixes.remove_repeats(df, length=84, bucket_bytes=3000).collect()}
+    for i, gone in enumerate(brute([(t or "").encode() for t in texts], 84)):
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
+        assert got[i] == list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
