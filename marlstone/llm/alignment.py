@@ -7,6 +7,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
@@ -20,7 +21,9 @@ from marlstone.llm.packing import CACHE_CHUNKS, CACHED_CHARS, byte_bpe, byte_cha
 from marlstone.session import write_cut
 
 # Text of one part: what is tokenised, stored and looked up together.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
+# Texts whose new chunks are tokenised together.
+TEXTS = 256
 # Pairs of one group that are listed one by one; larger groups are counted by distinct ids.
 LISTED = 4096
 # Copies of one text are spread when they are more than this share of all rows, so there are no more such texts.
@@ -54,6 +57,7 @@ class _Aligner:
     Both tokenisers start a token at a space between two other characters: the byte-level one by its
     pre-tokeniser, the other because no piece has a space after another character (checked; if one had,
     texts would not be cut).  So no group crosses such a space, and a chunk has the same groups everywhere.
+    New chunks are tokenised and aligned together, joined by spaces.
     """
 
     def __init__(self, path_a: str, path_b: str):
@@ -63,12 +67,19 @@ class _Aligner:
         with open(path_a, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         to_byte = byte_characters()
-        self.bytes_a = {i: bytes(map(to_byte.get, token)) for token, i in vocab.items() if all(c in to_byte for c in token)}
+        self.bytes_a = [b""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            if all(c in to_byte for c in token):
+                self.bytes_a[i] = bytes(map(to_byte.get, token))
         model = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.encode_b = model.encode
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.length_a, self.length_b = (np.array(list(map(len, tokens)), np.int64) for tokens in (self.bytes_a, self.bytes_b))
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
+        ids = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.written = {mark: np.array([mark + i for i in ids], object) for mark in ";,|"}
+        self.written_length = np.array([len(i) + 1 for i in ids], np.int64)
         self.clear()
 
     def clear(self) -> None:
@@ -76,56 +87,80 @@ class _Aligner:
         self.numbers, self.strings = array("q"), []         # n_a, n_b, n_groups, n_links; all -1 where the bytes differ
         self.ends, self.keys, self.times = array("q", [0]), array("q"), array("q")
 
-    def chunks(self, text: str) -> list[int]:
-        """Places of the text's chunks in the store."""
-        if not self.cuts:
-            parts = [text]
+    def places(self, texts: list[str]) -> list[np.ndarray]:
+        """Places of each text's chunks in the store."""
+        if self.cuts:
+            chunks = [_SAFE_SPACE.split(t) if _OPEN_SPACE.search(t) else t.split(" ") for t in texts]
         else:
-            parts = _SAFE_SPACE.split(text) if _OPEN_SPACE.search(text) else text.split(" ")
-        index = self.index
-        return [index[p] if p in index else self.add(p) for p in parts]
-
-    def add(self, chunk: str) -> int:
+            chunks = [[t] for t in texts]
+        new = {c for own in chunks for c in own if c not in self.index}
+        # Only between two other characters is a space sure to start a token.
+        plain = [c for c in new if not (c[0].isspace() or c[-1].isspace() or "▁" in c)]
+        own = {c: self._add([c]) for c in new.difference(plain)}
+        own.update(zip(plain, count(len(self.strings)), strict=False))
+        self._add(plain)
+        found = [np.fromiter((self.index[c] if c in self.index else own[c] for c in cs), np.int64, len(cs)) for cs in chunks]
+        self.index.update((c, i) for c, i in own.items() if len(c) <= CACHED_CHARS)
+        return found
+
+    def _add(self, chunks: list[str]) -> int:
+        """Appends the chunks to the store; the place of the first one."""
         at = len(self.strings)
-        if len(chunk) <= CACHED_CHARS:
-            self.index[chunk] = at
-        wanted = (" " + chunk).encode()
-        a, b = self.encode_a(" " + chunk), self.encode_b(chunk)
-        bytes_a, bytes_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(bytes_a) != wanted or b"".join(bytes_b) != wanted:
+        if not chunks:
+            return at
+        joined = " ".join(chunks)
+        wanted = (" " + joined).encode()
+        a, b = np.array(self.encode_a(" " + joined), np.int64), np.array(self.encode_b(joined), np.int64)
+        same = all(b"".join([tokens[i] for i in ids.tolist()]) == wanted for ids, tokens in ((a, self.bytes_a), (b, self.bytes_b)))
+        if not same and len(chunks) == 1:
             self.numbers.extend((-1, -1, -1, -1))
             self.strings.append("")
-        else:
-            groups, links = [], 0
-            i = j = i0 = j0 = 0
-            end_a = end_b = 0
-            while i < len(a) or j < len(b):
-                if end_a <= end_b:
-                    end_a += len(bytes_a[i])
-                    i += 1
-                else:
-                    end_b += len(bytes_b[j])
-                    j += 1
-                if end_a == end_b:
-                    links += self._pairs(a[i0:i], b[j0:j])
-                    groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-                    i0, j0 = i, j
-            self.numbers.extend((len(a), len(b), len(groups), links))
-            self.strings.append(";".join(groups))
-        self.ends.append(len(self.keys))
+            self.ends.append(len(self.keys))
+            return at
+        if same:
+            end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+            cut_a, cut_b = np.isin(end_a, end_b, assume_unique=True), np.isin(end_b, end_a, assume_unique=True)
+            group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+            of_a, of_b = np.bincount(group_a), np.bincount(group_b)
+        if not same or (len(chunks) > 1 and (of_a * of_b).max() > LISTED):
+            for c in chunks:
+                self._add([c])
+            return at
+
+        chunk_end = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        upto = [np.searchsorted(ends, chunk_end, "right") for ends in (end_a, end_b, end_a[cut_a])]
+        links = np.append(0, np.cumsum(of_a * of_b))[upto[2]]
+        self.numbers.frombytes(np.diff(np.stack([*upto, links]), prepend=0, axis=1).T.astype(np.int64).tobytes())
+        # Tokens as they are written, those of A before those of B in each group.
+        first_a, first_b = np.append(True, cut_a[:-1]), np.append(True, cut_b[:-1])
+        place_a = np.arange(len(a)) + (np.cumsum(of_b) - of_b)[group_a]
+        place_b = np.arange(len(b)) + np.cumsum(of_a)[group_b]
+        tokens, lengths = np.empty(len(a) + len(b), object), np.empty(len(a) + len(b), np.int64)
+        tokens[place_a] = np.where(first_a, self.written[";"][a], self.written[","][a])
+        tokens[place_b] = np.where(first_b, self.written["|"][b], self.written[","][b])
+        lengths[place_a], lengths[place_b] = self.written_length[a], self.written_length[b]
+        string = "".join(tokens.tolist())
+        edge = np.append(0, np.cumsum(lengths))[np.append(0, upto[0] + upto[1])].tolist()
+        self.strings.extend(string[x + 1:y] for x, y in zip(edge, edge[1:], strict=False))
+        start = len(self.keys)
+        if (of_a * of_b).max() > LISTED:
+            for x, y in zip(np.split(a, np.flatnonzero(first_a)[1:]), np.split(b, np.flatnonzero(first_b)[1:]), strict=True):
+                self._pairs(x, y)
+            self.ends.append(len(self.keys))
+            return at
+        n = of_b[group_a]
+        other = np.repeat((np.cumsum(of_b) - of_b)[group_a] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        self.keys.frombytes((np.repeat(a, n) << 16 | b[other]).tobytes())
+        self.times.frombytes(np.ones(len(other), np.int64).tobytes())
+        self.ends.frombytes((start + links).astype(np.int64).tobytes())
         return at
 
-    def _pairs(self, a: list[int], b: list[int]) -> int:
-        n = len(a) * len(b)
-        if n <= LISTED:
-            self.keys.extend(x << 16 | y for x in a for y in b)
-            self.times.extend([1] * n)
-        else:
-            xs, of_x = np.unique(a, return_counts=True)
-            ys, of_y = np.unique(b, return_counts=True)
-            self.keys.frombytes((xs[:, None] << 16 | ys).astype(np.int64).tobytes())
-            self.times.frombytes(np.outer(of_x, of_y).astype(np.int64).tobytes())
-        return n
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> None:
+        """The pairs of one group by distinct ids."""
+        xs, of_x = np.unique(a, return_counts=True)
+        ys, of_y = np.unique(b, return_counts=True)
+        self.keys.frombytes((xs[:, None] << 16 | ys).astype(np.int64).tobytes())
+        self.times.frombytes(np.outer(of_x, of_y).astype(np.int64).tobytes())
 
 
 _loaded: dict[tuple[str, str], _Aligner] = {}
@@ -141,9 +176,9 @@ def _part(rows: list[tuple[str, int, str]], aligner: _Aligner, part: int) -> pa.
     """One row for all texts of a part: measures, and their pairs as places in the part's own list of distinct pairs."""
     import zstandard
 
-    chunks = [aligner.chunks(text) for _, _, text in rows]
+    chunks = [own for k in range(0, len(rows), TEXTS) for own in aligner.places([text for _, _, text in rows[k:k + TEXTS]])]
     sizes = np.array([len(c) for c in chunks], np.int64)
-    flat = np.fromiter((i for c in chunks for i in c), np.int64, int(sizes.sum()))
+    flat = np.concatenate(chunks)
     of_text = np.repeat(np.arange(len(rows)), sizes)
     numbers = np.array(aligner.numbers, np.int64).reshape(-1, 4)[flat]
     good = np.ones(len(rows), bool)
@@ -151,7 +186,7 @@ def _part(rows: list[tuple[str, int, str]], aligner: _Aligner, part: int) -> pa.
     sums = np.add.reduceat(numbers, np.cumsum(sizes) - sizes, axis=0) * good[:, None]
     texts = []
     for (digest, weight, _), own, ok, s in zip(rows, chunks, good.tolist(), sums.tolist(), strict=True):
-        groups = hashlib.sha256(";".join([aligner.strings[i] for i in own]).encode()).hexdigest() if ok else ""
+        groups = hashlib.sha256(";".join([aligner.strings[i] for i in own.tolist()]).encode()).hexdigest() if ok else ""
         texts.append({"digest": digest, "weight": weight, "n_a": s[0], "n_b": s[1], "n_groups": s[2], "n_links": s[3], "groups_sha256": groups})
 
     flat, of_text = flat[good[of_text]], of_text[good[of_text]]

@@ -80,16 +80,22 @@ def test_many_copies_and_large_groups(spark, plain, monkeypatch):
     got = sorted(map(tuple, alignment.align_tokenizers(docs, *PATHS).measures.collect()))
     assert got == [(i, *r) for i, r in enumerate(plain(texts)[0])]
     # Counting by distinct ids gives what listing the pairs gives.
-    few = _pairs_of(alignment._Aligner(*PATHS), [5, 5, 6], [1, 2, 2])
     monkeypatch.setattr(alignment, "LISTED", 0)
-    assert _pairs_of(alignment._Aligner(*PATHS), [5, 5, 6], [1, 2, 2]) == few == {5 << 16 | 1: 2, 5 << 16 | 2: 4, 6 << 16 | 1: 1, 6 << 16 | 2: 2}
-
-
-def _pairs_of(aligner, a, b):
-    assert aligner._pairs(a, b) == len(a) * len(b)
+    texts = [t for t in TEXTS if t]
+    whole = alignment._Aligner(*PATHS)
+    places = whole.places(texts)
+    monkeypatch.setattr(alignment, "LISTED", 1 << 30)
+    listed = alignment._Aligner(*PATHS)
+    for own, other in zip(places, listed.places(texts), strict=True):
+        for i, j in zip(own.tolist(), other.tolist(), strict=True):
+            assert whole.strings[i] == listed.strings[j] and whole.numbers[4 * i:4 * i + 4] == listed.numbers[4 * j:4 * j + 4]
+            assert _pairs_of(whole, i) == _pairs_of(listed, j)
+
+
+def _pairs_of(aligner, i):
     out = Counter()
-    for key, n in zip(aligner.keys, aligner.times, strict=True):
-        out[key] += n
+    for k in range(aligner.ends[i], aligner.ends[i + 1]):
+        out[aligner.keys[k]] += aligner.times[k]
     return out
 
 
