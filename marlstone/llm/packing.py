@@ -21,7 +21,7 @@ SEQUENCE = 1024
 END_ID = 0
 DEPTH = 3
 # Pieces of one length that are numbered by one task at most.
-CELL_ROWS = 200_000
+CELL_ROWS = 10_000
 CACHE_CHUNKS = 300_000
 CACHED_CHARS = 100
 
@@ -75,6 +75,10 @@ class ByteBpe:
         if fast and fast(self.PROBE) == self.encode(self.PROBE):
             self.encode = fast
         self.kept = _Chunks(self.encode)
+        tokens = self.slow.get_vocab()
+        self.lengths = np.zeros(max(tokens.values()) + 1, np.int64)
+        for token, i in tokens.items():
+            self.lengths[i] = len(token)                    # one character a byte in the byte-level alphabet
 
     @staticmethod
     def _fast(path: str) -> Callable[[str], list[int]] | None:
@@ -95,11 +99,22 @@ class ByteBpe:
         """Ids as unsigned 32-bit integers of this machine."""
         if not text:
             return b""
-        chunks = _SAFE_SPACE.split(text) if _OPEN_SPACE.search(text) else text.split(" ")
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The same for several texts: chunks not seen yet are encoded together, joined by spaces, and cut by their bytes."""
+        chunks = [_SAFE_SPACE.split(t) if _OPEN_SPACE.search(t) else t.split(" ") for t in (t or "" for t in texts)]
         kept = self.kept
         if len(kept) > CACHE_CHUNKS:
             kept.clear()
-        return array.array("I", self.encode(chunks[0])).tobytes() + b"".join(map(kept.__getitem__, chunks[1:]))
+        # A space is sure to start a piece between two other characters; long chunks are not kept.
+        new = [c for c in {c for own in chunks for c in own[1:] if c not in kept} if len(c) <= CACHED_CHARS and not c[-1].isspace()]
+        if new:
+            ids = np.array(self.encode(" " + " ".join(new)), np.uint32)
+            cut = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(c.encode()) + 1 for c in new]), "right").tolist()
+            data = ids.tobytes()
+            kept.update((c, data[4 * a:4 * b]) for c, a, b in zip(new, [0, *cut], cut, strict=False))
+        return [array.array("I", self.encode(own[0])).tobytes() + b"".join(map(kept.__getitem__, own[1:])) for own in chunks]
 
 
 _loaded: dict[str, ByteBpe] = {}
@@ -123,8 +138,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: st
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows, raw = [], []
-                for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = encode(text) + end
+                for d, ids in zip(part.column(0).to_pylist(), encode.encode_all(part.column(1).to_pylist()), strict=True):
+                    ids += end
                     raw.append(ids)
                     for a in range(0, len(ids), 4 * size):
                         piece = ids[a:a + 4 * size]
