@@ -180,14 +180,19 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     payload = F.coalesce(quoted(payload_col), F.lit("")).cast("binary")
     rows = pages.select(quoted(id_col).cast("long").alias("id"), F.coalesce(quoted(url_col), F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    same = (rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(F.max(F.struct("id", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
+    # Which pages revisit which is found without their payloads.
+    pages_of = rows.select("id", "url", "digest", "size").where(F.col("size") >= min_revisit_bytes)
+    same = (pages_of.groupBy("digest", "size").agg(F.max(F.struct("id", "url")).alias("first"), F.count(F.lit(1)).alias("n"))
             .where((F.col("n") > 1) & F.col("first.id").isNotNull()))
-    r, s = rows.alias("r"), same.alias("s")
-    told = (r.join(s, (F.col("r.digest") == F.col("s.digest")) & (F.col("r.size") == F.col("s.size")), "left")
-            .select("r.id", "r.url", "r.payload", "r.digest",
-                    F.when(~F.col("s.first.id").eqNullSafe(F.col("r.id")), F.col("s.first.id")).alias("refers_to"), F.col("s.first.url").alias("refers_url")))
-    small = rows.select("id", "payload", "size").where(F.col("size") <= SAMPLE_BYTES // SAMPLE_ROWS).orderBy(F.xxhash64("id")).limit(SAMPLE_ROWS)
-    sample = [bytes(r["payload"]) for r in small.collect() if r["size"]]          # SAMPLE_BYTES in all at most
+    revisits = (pages_of.select("id", "digest", "size").distinct().join(same, ["digest", "size"]).where(~F.col("first.id").eqNullSafe(F.col("id")))
+                .select("id", "digest", F.col("first.id").alias("refers_to"), F.col("first.url").alias("refers_url")))
+    r, s = rows.alias("r"), revisits.alias("s")
+    told = (r.join(s, F.col("r.id").eqNullSafe(F.col("s.id")) & (F.col("r.digest") == F.col("s.digest")), "left")
+            .select("r.id", "r.url", "r.payload", "r.digest", "s.refers_to", "s.refers_url"))
+    # Ids first, then the payloads of these alone: SAMPLE_ROWS rows and SAMPLE_BYTES in all at most.
+    small = rows.select(F.xxhash64("id").alias("pick"), "payload", "size").where(F.col("size").between(1, SAMPLE_BYTES // SAMPLE_ROWS))
+    picked = [r["pick"] for r in small.select("pick").distinct().orderBy("pick").limit(SAMPLE_ROWS).collect()]
+    sample = [bytes(r["payload"]) for r in small.where(F.col("pick").isin(picked)).groupBy("pick").agg(F.min("payload").alias("payload")).orderBy("pick").collect()]
     shared = pages.sparkSession.sparkContext.broadcast(train(sample))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +233,7 @@ RECORD = "archive string, target string, record_type string, refers_to string, p
 def read_archives(paths: DataFrame, folder: str) -> DataFrame:
     """The records of the archives in column ``path``: (archive, target, record_type, refers_to, payload_length, payload_digest, payload).
 
-    A task reads its archives one after the other and holds a single record at a time.  Anything that is
+    There is a task for each archive; it holds a few records at a time.  Anything that is
     not as stated (frame, head, length, digest, number of records) raises ``DamagedRecord``.  The digest
     is bare lower-case hexadecimal, that of the full payload also for revisits, whose payload is null.
     """
@@ -256,7 +261,7 @@ def read_archives(paths: DataFrame, folder: str) -> DataFrame:
                 if n != wanted:
                     raise DamagedRecord(f"{path} has {n} records, not {wanted}")
 
-    return paths.select("path", "records").repartition(F.col("path")).mapInArrow(read, RECORD)
+    return paths.select("path", "records").repartition(max(1, paths.count())).mapInArrow(read, RECORD)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
