@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import single_row
+from ..session import single_row, write_cut
+from .ordering import in_order
 
 
 def cluster_counts(df: DataFrame, keys: Sequence[str], name: str = "freq") -> DataFrame:
@@ -86,22 +87,21 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
 
     The built-in ``percentile`` gathers every distinct value of a group in one
     task.  Here a sketch first brackets each wanted rank; rows are counted per
-    bracket, and only the brackets that hold a wanted rank (about
-    ``2 / accuracy`` of the group each) are ranked by a window.  Counts decide
-    which bracket holds a rank, so the answer is exact whatever the sketch's
-    error, and equal values collapse to one row before any ranking.
+    bracket, and only the brackets that hold a wanted rank are put in order, by
+    sampled ranges (``in_order``).  Counts decide which bracket holds a rank, so
+    the answer is exact and no task grows whatever the sketch's error, and equal
+    values collapse to one row before any ranking.
     """
     keys = list(keys)
-    margin = 1.0 / accuracy
+    margin = 2.0 / accuracy
     marks = sorted({min(max(q + s, 0.0), 1.0) for q in qs for s in (-margin, margin)})
-    if not keys:
-        df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
     # One row per distinct value and group.
     grouped = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     edges = df.groupBy(*keys).agg(
         F.array_sort(F.array_distinct(F.percentile_approx(value, marks, accuracy))).alias("_edges"))
+    with_edges = grouped.join(edges, keys) if keys else grouped.withColumn("_edges", edges.scalar())
     # Number of edges at or below the value: brackets are half open, in order.
-    bracketed = grouped.join(edges, keys).select(
+    bracketed = with_edges.select(
         *keys, "_v", "_c", F.size(F.filter("_edges", lambda e: e <= F.col("_v"))).alias("_b"))
     sizes = bracketed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"))
     # At most len(marks) + 1 rows per group reach this window.
@@ -114,16 +114,29 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence
     wanted = wanted.select(*keys, "_b", "_before", "q", "_pos", F.explode(F.array_distinct(F.array(
         F.floor("_pos"), F.ceil("_pos")))).alias("_rank"), "_n").filter(
         (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
-    needed = wanted.groupBy(*keys, "_b", "_before").agg(F.collect_set(F.struct("q", "_pos", "_rank")).alias("_wanted"))
-    inside = W.partitionBy(*keys, "_b").orderBy("_v")
-    ranked = bracketed.join(needed, [*keys, "_b"]).select(
-        *keys, "_v", "_wanted", "_c", (F.col("_before") + F.sum("_c").over(inside) - F.col("_c")).alias("_first"))
-    found = ranked.select(*keys, "_v", F.explode(F.filter("_wanted", lambda t: (t["_rank"] >= F.col("_first")) & (
-        t["_rank"] < F.col("_first") + F.col("_c")))).alias("t"))
-    return found.groupBy(*keys, F.col("t.q").alias("q")).agg(_lerp(
-        F.min(F.struct("t._rank", "_v"))["_v"].cast("double"), F.max(F.struct("t._rank", "_v"))["_v"].cast("double"),
-        F.first("t._pos") - F.floor(F.first("t._pos"))).alias("quantile")).select(
-        *[k for k in keys if k != "_all"], "q", "quantile")
+    wanted = write_cut(wanted.select(*keys, "_b", "_before", "q", "_pos", "_rank"), "ranks")
+    held = bracketed.join(wanted.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi")
+    ranked = in_order(held, [*keys, "_b"], ["_v"], "_c", "_inside")
+    first = F.col("_before") + F.col("_inside")
+    found = ranked.join(wanted, [*keys, "_b"]).filter((F.col("_rank") >= first) & (F.col("_rank") < first + F.col("_c")))
+    at = F.struct("_rank", "_v")
+    return found.groupBy(*keys, "q").agg(_lerp(
+        F.min(at)["_v"].cast("double"), F.max(at)["_v"].cast("double"), F.first("_pos") - F.floor(F.first("_pos"))).alias("quantile"))
+
+
+def order_statistic(df: DataFrame, value: str, k: Column, accuracy: int = 10000) -> Column:
+    """The k-th smallest value (1-based) as a scalar: a sketch brackets it, the bracket's distinct values are put in order."""
+    marks = [i / 200 for i in range(201)]
+    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    edges = df.agg(F.array_sort(F.array_distinct(F.percentile_approx(value, marks, accuracy))).alias("e")).scalar()
+    placed = counted.withColumn("_edges", edges).select("_v", "_c", F.size(F.filter("_edges", lambda e: e <= F.col("_v"))).alias("_b"))
+    sizes = placed.groupBy("_b").agg(F.sum("_c").alias("_n"))
+    # At most len(marks) + 1 rows reach this window.
+    starts = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_b")) - F.col("_n"))
+    hit = starts.filter((k > F.col("_before")) & (k <= F.col("_before") + F.col("_n")))
+    ranked = in_order(placed.join(hit, "_b"), [], ["_v"], "_c", "_inside")
+    first = F.col("_before") + F.col("_inside")
+    return ranked.filter((k > first) & (k <= first + F.col("_c"))).select("_v").scalar()
 
 
 def length_stats(df: DataFrame, length: str) -> DataFrame:

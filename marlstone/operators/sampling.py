@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.text import _col
+from .aggregates import order_statistic
 
 
 def hash_share(key, seed: int) -> Column:
@@ -37,19 +37,6 @@ def contiguous_split(df: DataFrame, order: str, fraction: float) -> DataFrame:
     return df.withColumn("split", F.when(F.col(order) <= position, "train").otherwise("validation"))
 
 
-def order_statistic(df: DataFrame, value: str, k: Column, accuracy: int = 10000) -> Column:
-    """The k-th smallest value (1-based) as a scalar, by counting brackets."""
-    marks = [i / 200 for i in range(201)]
-    edges = df.agg(F.array_sort(F.array_distinct(F.percentile_approx(value, marks, accuracy))).alias("e")).scalar()
-    bracket = F.size(F.filter("_edges", lambda e: e <= F.col("_v")))
-    placed = df.select(F.col(value).alias("_v"), edges.alias("_edges")).select("_v", bracket.alias("_b"))
-    sizes = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_b")) - F.col("_n"))
-    hit = starts.filter((k > F.col("_before")) & (k <= F.col("_before") + F.col("_n")))
-    ranked = placed.join(hit, "_b").withColumn("_r", F.col("_before") + F.row_number().over(W.partitionBy("_b").orderBy("_v")))
-    return ranked.filter(F.col("_r") == k).select("_v").scalar()
-
-
 def head(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions.text import UNKNOWN
 from .aggregates import top_rows
 from .lookup import positions, regroup
+from .ordering import in_order
 
 # The first three ids.
 SPECIAL_WORDS = ("<s>", "</s>", UNKNOWN)
@@ -21,22 +22,13 @@ def word_counts(df: DataFrame, tokens: Column | str, word: str = "word") -> Data
 
 
 def rank_words(counts: DataFrame, first: int = 0) -> DataFrame:
-    """Adds ``id``: position by count (descending) then word, without one big sort.
+    """Adds ``id`` (long): position by count (descending) then word.
 
-    Words are ranked inside (count, first letters) cells and each cell's offset
-    is a running sum over cells, so no task holds more than one cell even for
-    the huge group of words seen once.
+    Words are dealt into sampled ranges of (count, word) and numbered inside
+    them, so the huge group of words seen once is no task of its own.
     """
-    cells = counts.withColumn("_p", F.substring("word", 1, 4))
-    sizes = cells.groupBy("count", "_p").agg(F.count(F.lit(1)).alias("_n"))
-    per_count = sizes.groupBy("count").agg(F.sum("_n").alias("_m"))
-    # One row per distinct count: far fewer than words.
-    above = per_count.withColumn("_above", F.sum("_m").over(W.orderBy(F.desc("count"))) - F.col("_m")).drop("_m")
-    starts = sizes.withColumn("_in", F.sum("_n").over(W.partitionBy("count").orderBy("_p")) - F.col("_n")).join(
-        above, "count").select("count", "_p", (F.col("_above") + F.col("_in")).alias("_start"))
-    inside = F.row_number().over(W.partitionBy("count", "_p").orderBy("word"))
-    return cells.join(starts, ["count", "_p"]).select(
-        "word", (F.col("_start") + inside - 1 + first).cast("int").alias("id"), "count")
+    placed = in_order(counts, [], [F.col("count").desc(), F.col("word")])
+    return placed.select("word", (F.col("_before") + first).alias("id"), "count")
 
 
 def vocabulary(counts: DataFrame, size: int | None = None) -> DataFrame:
@@ -46,21 +38,21 @@ def vocabulary(counts: DataFrame, size: int | None = None) -> DataFrame:
     themselves; without one every word is numbered by ``rank_words``.
     """
     special = counts.sparkSession.createDataFrame(
-        [(w, i, 0) for i, w in enumerate(SPECIAL_WORDS)], "word string, id int, count long")
+        [(w, i, 0) for i, w in enumerate(SPECIAL_WORDS)], "word string, id long, count long")
     real = counts.filter(~F.col("word").isin(*SPECIAL_WORDS))
     if size is None:
         ranked = rank_words(real, len(SPECIAL_WORDS))
     else:
         top = top_rows(real, max(size - len(SPECIAL_WORDS), 0))
         order = W.orderBy(F.col("count").desc(), F.col("word"))
-        ranked = top.select("word", (F.row_number().over(order) + len(SPECIAL_WORDS) - 1).alias("id"), "count")
+        ranked = top.select("word", (F.row_number().over(order) + len(SPECIAL_WORDS) - 1).cast("long").alias("id"), "count")
     return special.unionByName(ranked.select("word", "id", "count"))
 
 
 def words_to_ids(df: DataFrame, keys: list[str], tokens: str, vocab: DataFrame, name: str = "ids") -> DataFrame:
     """Token arrays to id arrays; a word outside the vocabulary is unknown."""
     rows = positions(df, keys, tokens, "_w").join(vocab.select(F.col("word").alias("_w"), F.col("id").alias("_id")), "_w", "left")
-    return regroup(rows, keys, F.coalesce("_id", F.lit(UNKNOWN_ID)), name)
+    return regroup(rows, keys, F.coalesce("_id", F.lit(UNKNOWN_ID).cast("long")), name)
 
 
 def ids_to_words(df: DataFrame, keys: list[str], ids: str, vocab: DataFrame, name: str = "words") -> DataFrame:
@@ -71,7 +63,7 @@ def ids_to_words(df: DataFrame, keys: list[str], ids: str, vocab: DataFrame, nam
 def sentence_to_ids(df: DataFrame, keys: list[str], tokens: str, vocab: DataFrame, name: str = "ids") -> DataFrame:
     """Ids with the start id in front and the end id behind."""
     plain = words_to_ids(df, keys, tokens, vocab, name)
-    return plain.withColumn(name, F.concat(F.array(F.lit(START_ID)), F.col(name), F.array(F.lit(END_ID))))
+    return plain.withColumn(name, F.concat(F.array(F.lit(START_ID).cast("long")), F.col(name), F.array(F.lit(END_ID).cast("long"))))
 
 
 def ordered_words(vocab: DataFrame) -> DataFrame:

@@ -124,12 +124,13 @@ def corpus_vocabulary(spark, sf_dir, size: int | None):
 
 @query("vocabulary", f"WITH {_vocab_sql(20_000)} SELECT word, id, count FROM vocab")
 def vocabulary(spark, sf_dir):
-    return corpus_vocabulary(spark, sf_dir, 20_000)
+    return corpus_vocabulary(spark, sf_dir, 20_000).withColumn("id", F.col("id").cast("int"))
 
 
 @query("full_vocabulary", f"WITH {_vocab_sql(None)} SELECT word, id, count FROM vocab")
 def full_vocabulary(spark, sf_dir):
-    return corpus_vocabulary(spark, sf_dir, None)
+    """The ids as the SQL has them; the operator's are long."""
+    return corpus_vocabulary(spark, sf_dir, None).withColumn("id", F.col("id").cast("int"))
 
 
 _POSITIONS = f"""pos AS (SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, {S.tokens('text')} AS ws FROM documents),

@@ -138,3 +138,70 @@ def test_clean_text_is_one_projection(spark):
     plan = spark.range(1).select(F.col("id").cast("string").alias("t")).select(t.clean_text("t"))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "Python" not in text
+
+
+def test_numbering_of_words_that_share_count_and_prefix(spark):
+    """One count and one prefix hold all words: ranges still split them, and ids follow count and word."""
+    from marlstone.operators import ordering
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counts = spark.range(20_000).select(F.format_string("aaaa%06d", (F.col("id") * 7919) % 20_000).alias("word"), F.lit(1).cast("long").alias("count"))
+        ids = {r.word: r.id for r in voc.rank_words(counts, 3).collect()}
+        assert ids == {f"aaaa{i:06d}": i + 3 for i in range(20_000)}
+        assert dict(voc.rank_words(counts).dtypes)["id"] == "bigint"
+        plan = ordering.in_order(counts, [], ["count", "word"])._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan           # the order was written once, not sorted again
+        ranges = spark.read.parquet(_last(spark, "in-order")).groupBy(F.shiftright("_at", 33)).count()
+        assert ranges.count() > 1 and ranges.agg(F.max("count")).first()[0] < 12_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def _last(spark, name):
+    import glob
+    import os
+
+    from marlstone.session import shared_dir
+
+    return max(glob.glob(f"{shared_dir(spark)}/{name}-*"), key=os.path.getmtime)
+
+
+def test_positions_with_keys_weights_and_ties(spark):
+    from marlstone.operators import ordering
+
+    rows = [("a", i % 7, i) for i in range(200)] + [("b", None, 1), ("b", 5, 2), (None, 1, 3), (None, 0, 4)]
+    df = spark.createDataFrame(rows, "g string, v int, n long")
+    got = {(r.g, r.v, r.n): r.p for r in ordering.in_order(df, ["g"], ["v", "n"], "n", "p").collect() if r.g is not None}
+    for g, v, n in rows:
+        if g is not None:
+            before = sum(m for h, u, m in rows if h == g and ((u is not None, u or 0, m) < (v is not None, v or 0, n)))
+            assert got[(g, v, n)] == before
+    assert ordering.in_order(df.limit(0), ["g"], ["v"]).count() == 0
+
+
+def test_quantiles_when_the_sketch_is_fooled(spark):
+    """A sketch that keeps next to nothing puts all values into one bracket; the answer is exact all the same."""
+    values = [float(i) for i in range(5000)] + [1e300] * 3 + [-1e300] * 3 + [2.5] * 4000
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    ordered = sorted(values)
+    got = {r.q: r.quantile for r in agg.exact_quantiles(df, [], "x", [0.0, 0.3, 0.5, 0.99, 1.0], accuracy=2).collect()}
+    for q, v in got.items():
+        pos = q * (len(ordered) - 1)
+        lo, hi = ordered[int(pos)], ordered[min(int(pos) + 1, len(ordered) - 1)]
+        assert v == pytest.approx(lo + (hi - lo) * (pos - int(pos)))
+    for k in (1, 2, 4500, 9006):
+        assert df.limit(1).select(agg.order_statistic(df, "x", F.lit(k), accuracy=2).alias("v")).first().v == ordered[k - 1]
+    plan = agg.exact_quantiles(df, [], "x", [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    assert "_all" not in plan
+
+
+def test_terms_are_not_worked_out_in_the_scan(spark, tmp_path):
+    """The n-gram chain is a projection; the scan's filter has none of it."""
+    from marlstone.operators import vectorize
+
+    spark.createDataFrame([(1, "a bb bb cc"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    counts = vectorize.ngram_counts(spark.read.parquet(f"{tmp_path}/d"), "doc_id", "text", (1, 2))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp_extract_all" in line]
+    assert {(r.term, r["count"]) for r in counts.collect()} == {("bb", 2), ("cc", 1), ("bb bb", 1), ("bb cc", 1)}
