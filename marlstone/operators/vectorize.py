@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, tokenize
+from ..session import write_cut
 from .aggregates import top_rows
 
 # Words of at least two characters.
@@ -34,12 +35,15 @@ def ngram_counts(df: DataFrame, key: str, text: str, ngram_range: tuple[int, int
     """(key, term, count) of every n-gram; optionally only the most frequent terms.
 
     A row is a document, so its terms are counted inside the row and nothing
-    moves; rows that share a key are counted each for itself.
+    moves; rows that share a key are counted each for itself.  With
+    ``max_features`` the counts are read twice and therefore written once.
     """
-    terms = df.select(key, ngrams(tokenize(text, pattern=pattern), ngram_range).alias("_terms"))
-    counts = _counted(terms, key, "_terms")
+    # A projection of its own: the n-grams refer to the tokens several times.
+    tokens = df.select(key, tokenize(text, pattern=pattern).alias("_tokens"))
+    counts = _counted(tokens.select(key, ngrams("_tokens", ngram_range).alias("_terms")), key, "_terms")
     if max_features is None:
         return counts
+    counts = write_cut(counts, "term-counts")
     totals = counts.groupBy("term").agg(F.sum("count").alias("total"))
     return counts.join(top_rows(totals, max_features, "total", "term").select("term"), "term", "left_semi")
 
@@ -71,6 +75,8 @@ def document_count(df: DataFrame) -> Column:
 def tfidf_vectorizer(df: DataFrame, key: str, text: str, ngram_range: tuple[int, int] = (1, 1),
                      max_features: int | None = None, use_idf: bool = True, smooth_idf: bool = True) -> DataFrame:
     counts = ngram_counts(df, key, text, ngram_range, max_features)
+    if use_idf and max_features is None:
+        counts = write_cut(counts, "term-counts")       # read for the document frequencies and for the weights
     return tfidf(counts, key, document_count(df), use_idf, smooth_idf)
 
 
