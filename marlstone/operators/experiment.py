@@ -8,7 +8,6 @@ never need a second scan of the rows.  The solves are p by p, one per subgroup.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -16,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.statistics import student_t_two_sided
+
 # Wholesale share of the full price and cost of one free parcel.
 WHOLESALE_SHARE = 0.45
 SHIPPING_COST = 6.50
@@ -31,37 +32,6 @@ def consultant(event_id) -> Column:
     return F.substring(event_id, 1, 2)
 
 
-def _t_two_sided(t: float, df: float) -> float:
-    """P(|T| > |t|): the regularised incomplete beta by continued fraction."""
-    if not math.isfinite(t) or df <= 0:
-        return float("nan")
-    x, a, b = df / (df + t * t), df / 2.0, 0.5
-    if x >= 1.0:
-        return 1.0
-    flip = x > (a + 1) / (a + b + 2)
-    if flip:
-        x, a, b = 1 - x, b, a
-    if x <= 0.0:
-        value = 0.0
-    else:
-        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-        tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-        d = 1 / (d if abs(d) > tiny else tiny)
-        h = d
-        for m in range(1, 500):
-            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                        -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1 + num * d
-                d = 1 / (d if abs(d) > tiny else tiny)
-                c = 1 + num / c
-                c = c if abs(c) > tiny else tiny
-                h *= d * c
-            if abs(d * c - 1) < 1e-15:
-                break
-        value = front * h
-    return 1 - value if flip else value
-
-
 def _moments(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Per key: X'X (row by row), X'y, y'y, sum of y and n, with a constant first."""
     design = [F.lit(1.0)] + [F.col(x).cast("double") for x in xs]
@@ -94,14 +64,14 @@ def _fit_udf(p: int):
 
 
 def _test_udf(p: int):
-    def test(beta: pd.Series, inverse: pd.Series, middle: pd.Series, scale: pd.Series, dof: pd.Series) -> pd.Series:
+    def test(beta: pd.Series, inverse: pd.Series, middle: pd.Series, scale: pd.Series) -> pd.Series:
         rows = []
-        for b, inv, mid, s, d in zip(beta, inverse, middle, scale, dof):
+        for b, inv, mid, s in zip(beta, inverse, middle, scale):
             a = np.asarray(inv, dtype=float).reshape(p, p)
             cov = s * (a if mid is None else a @ np.asarray(mid, dtype=float).reshape(p, p) @ a)
             se = np.sqrt(np.maximum(np.diag(cov), 0.0))
             t = [x / e if e > 0 else float("nan") for x, e in zip(b, se)]
-            rows.append([[x, float(e), u, _t_two_sided(u, d)] for x, e, u in zip(b, se, t)])
+            rows.append([[x, float(e), u] for x, e, u in zip(b, se, t)])
         return pd.Series(rows)
 
     return F.pandas_udf(test, "array<array<double>>")
@@ -143,12 +113,12 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], cluster: str | None = None, by
         ready = fitted.join(middle, keys).withColumn("scale", scale)
     else:
         ready = fitted.withColumn("middle", F.lit(None).cast("array<double>")).withColumn("scale", F.try_divide("ssr", dof))
-    tested = ready.select(*keys, "n", _test_udf(p)("beta", "inverse", "middle", F.col("scale").cast("double"), dof.cast("double")).alias("_r"))
+    tested = ready.select(*keys, "n", _test_udf(p)("beta", "inverse", "middle", F.col("scale").cast("double")).alias("_r"))
     names = F.array(*[F.lit(t) for t in ("intercept", *xs)])
     rows = tested.select(*keys, "n", F.posexplode("_r").alias("_i", "v"))
     out = rows.select(*[k for k in keys if k != "_all"], F.get(names, F.col("_i")).alias("term"), "n",
-                      *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(("estimate", "std_error", "t_value", "p_value"))])
-    return out
+                      *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(("estimate", "std_error", "t_value"))])
+    return out.withColumn("p_value", student_t_two_sided("t_value", F.col("n") - p))
 
 
 def regression_table(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] | None = None) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_cut
 from .openset import unseen_counts, unseen_scores
 
 
@@ -99,3 +102,39 @@ def silhouette(df: DataFrame, features: str, cluster: str) -> float:
     from pyspark.ml.evaluation import ClusteringEvaluator
 
     return ClusteringEvaluator(featuresCol=features, predictionCol=cluster, metricName="silhouette").evaluate(df)
+
+
+def silhouette_sample(df: DataFrame, key: str, features: str, cluster: str, size: int = 1000, seed: int = 0) -> DataFrame:
+    """(key, cluster, silhouette) of ``size`` rows picked by a hash of the key: Euclidean distances, exact within the sample.
+
+    A sampling operator: ``size`` bounds what goes to the tasks, and each task
+    compares its rows with all of the sample in one block.  The only row of a
+    cluster has 0, as has every row when there is one cluster; rows without a
+    cluster or features are not picked.
+    """
+    usable = df.filter(F.col(features).isNotNull() & F.col(cluster).isNotNull())
+    picked = write_cut(usable.select(F.col(key).alias("key"), F.col(cluster).alias("cluster"), F.col(features).cast("array<double>").alias("x"))
+                       .orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), "key").limit(size), "sample")
+    rows = picked.collect()          # size rows at most
+    classes = {c: i for i, c in enumerate(sorted({r["cluster"] for r in rows}))}
+    shared = df.sparkSession.sparkContext.broadcast((np.array([r["x"] for r in rows]), np.array([classes[r["cluster"]] for r in rows]), classes))
+
+    @F.pandas_udf("double")
+    def width(x: pd.Series, of: pd.Series) -> pd.Series:
+        points, label, classes = shared.value
+        if not len(x) or len(classes) < 2:
+            return pd.Series(np.zeros(len(x)))
+        # Differences, not products of norms: near points keep all their digits.
+        distance = np.stack([np.sqrt(((points - np.asarray(v)) ** 2).sum(axis=1)) for v in x])
+        sums = np.stack([distance[:, label == c].sum(axis=1) for c in range(len(classes))], axis=1)
+        sizes = np.bincount(label, minlength=len(classes))
+        own = of.map(classes).to_numpy()
+        at = np.arange(len(x))
+        inside = sums[at, own] / np.maximum(sizes[own] - 1, 1)
+        means = sums / sizes
+        means[at, own] = np.inf
+        outside = means.min(axis=1)
+        larger = np.maximum(inside, outside)
+        return pd.Series(np.where((sizes[own] == 1) | (larger == 0), 0.0, (outside - inside) / np.where(larger == 0, 1.0, larger)))
+
+    return picked.select(F.col("key").alias(key), F.col("cluster").alias(cluster), width("x", "cluster").alias("silhouette"))

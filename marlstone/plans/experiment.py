@@ -97,12 +97,41 @@ def clustered_se(spark, sf_dir):
     return _rounded(ex.ols(sales(spark, sf_dir), "profit", ["treat_offer"], cluster="event_id")).drop("p_value")
 
 
-@query("coef_test")
+def _robust_sql(y: str, xs: dict[str, str]) -> str:
+    """Any cluster-robust fit: Gauss-Jordan on the normal equations, scores by event, tails of t by Simpson's rule."""
+    p, names = len(xs) + 1, ["intercept", *xs]
+    design = "[" + ", ".join(["1::DOUBLE", *[f"({x})::DOUBLE" for x in xs.values()]]) + "]"
+    return f"""{_SALES}, d AS (SELECT event_id, {design} AS x, {y}::DOUBLE AS y FROM sales),
+size AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT event_id)::DOUBLE AS m FROM d),
+one AS (SELECT unnest(range(1, {p + 1})) AS i), two AS (SELECT a.i, b.i AS j FROM one a, one b),
+products AS (SELECT i, j, sum(x[i] * x[j]) AS v FROM d, two GROUP BY 1, 2), given AS (SELECT i, sum(x[i] * y) AS v FROM d, one GROUP BY 1),
+normal AS (SELECT i, list(v ORDER BY j) AS r FROM products GROUP BY i),
+start AS (SELECT list(r || list_transform(range(1, {p + 1}), lambda c: CASE WHEN c = i THEN 1::DOUBLE ELSE 0::DOUBLE END) || [v] ORDER BY i) AS m FROM normal JOIN given USING (i)),
+steps AS (SELECT 1 AS k, m FROM start UNION ALL SELECT k + 1, list_transform(range(1, {p + 1}), lambda i: CASE WHEN i = k THEN list_transform(m[k], lambda v: v / m[k][k])
+  ELSE list_transform(range(1, {2 * p + 2}), lambda j: m[i][j] - m[i][k] / m[k][k] * m[k][j]) END) FROM steps WHERE k <= {p}),
+solved AS (SELECT m FROM steps WHERE k = {p + 1}),
+b AS (SELECT i, m[i][{2 * p + 1}] AS b FROM solved, one), inv AS (SELECT i, j, m[i][{p} + j] AS v FROM solved, two),
+rest AS (SELECT event_id, x, y - list_sum(list_transform(range(1, {p + 1}), lambda i: x[i] * m[i][{2 * p + 1}])) AS e FROM d, solved),
+scores AS (SELECT event_id, i, sum(x[i] * e) AS s FROM rest, one GROUP BY 1, 2),
+middle AS (SELECT a.i, c.i AS j, sum(a.s * c.s) AS v FROM scores a JOIN scores c USING (event_id) GROUP BY 1, 2),
+var AS (SELECT l.i, sum(l.v * middle.v * r.v) AS v FROM inv l JOIN middle ON l.j = middle.i JOIN inv r ON middle.j = r.j AND r.i = l.i GROUP BY l.i),
+tested AS (SELECT i, n, b, sqrt(m / (m - 1) * ((n - 1) / (n - {p})) * v) AS se FROM b JOIN var USING (i), size),
+density AS (SELECT i, h.k, b / se AS t, n - {p} AS dof, abs(b / se) * h.k / 4000 AS u, n, b, se FROM tested, (SELECT unnest(range(0, 4001)) AS k) h),
+curve AS (SELECT *, exp(lgamma((dof + 1) / 2) - lgamma(dof / 2) - 0.5 * ln(dof * pi()) - (dof + 1) / 2 * ln(1 + u * u / dof)) AS f FROM density),
+tails AS (SELECT i, n, b, se, t, 1 - 2 * abs(t) / 4000 / 3 * sum(f * CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) AS p FROM curve GROUP BY i, n, b, se, t)
+SELECT {names}[i] AS term, n::BIGINT AS n, round(b, 4) AS estimate, round(se, 4) AS std_error, round(t, 4) AS t_value, round(abs(p), 4) AS p_value FROM tails"""
+
+
+@query("coef_test", "WITH RECURSIVE " + _robust_sql("amount", {"treat_offer": "treat_offer"}))
 def coef_test(spark, sf_dir):
-    return ex.ols(sales(spark, sf_dir), "amount", ["treat_offer"], cluster="event_id").withColumn("p_value", F.round("p_value", 2))
+    return _rounded(ex.ols(sales(spark, sf_dir), "amount", ["treat_offer"], cluster="event_id"))
 
 
-@query("interaction_model")
+_INTERACTED = {"treat": "treat_offer", "large": "large_event", "group": "CASE WHEN consultant = 'MA' THEN 1 ELSE 0 END", "large_treat": "large_event * treat_offer",
+               "group_treat": "CASE WHEN consultant = 'MA' THEN treat_offer ELSE 0 END"}
+
+
+@query("interaction_model", "WITH RECURSIVE " + _robust_sql("profit", _INTERACTED))
 def interaction_model(spark, sf_dir):
     design, xs = ex.interaction_design(sales(spark, sf_dir), "treat_offer", "large_event", "consultant", "MA")
     return _rounded(ex.ols(design, "profit", xs, cluster="event_id"))

@@ -255,3 +255,16 @@ def silhouette(spark, sf_dir):
     model = mixture.fit_gaussian(train, "vec", "vec_id", 20, COMPONENTS, "diag")
     clusters = model.predict(train, "vec").withColumn("features", array_to_vector("vec"))
     return spark.createDataFrame([(metrics.silhouette(clusters, "features", "cluster"),)], "silhouette double")
+
+
+@query("silhouette_labels", """
+WITH s AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL
+  ORDER BY md5(vec_id::VARCHAR || ':0'), vec_id LIMIT 1000),
+pairs AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.x, b.x)) AS d, count(*) AS n FROM s a, s b GROUP BY 1, 2, 3),
+own AS (SELECT vec_id, label, d / greatest(n - 1, 1) AS a, n FROM pairs WHERE label = other),
+near AS (SELECT vec_id, min(d / n) AS b FROM pairs WHERE label <> other GROUP BY vec_id)
+SELECT vec_id, label, round(CASE WHEN n = 1 OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette
+FROM own LEFT JOIN near USING (vec_id)""")
+def silhouette_labels(spark, sf_dir):
+    """Of the given labels, on a sample of 1000 vectors."""
+    return metrics.silhouette_sample(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label").withColumn("silhouette", F.round("silhouette", 6))

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.functions.statistics import student_t_two_sided
 from marlstone.operators import experiment as ex
 from marlstone.operators import metrics, openset
 
@@ -129,10 +130,25 @@ def test_clustered_regression_matches_numpy(spark):
     assert plain["a"] == pytest.approx(math.sqrt((e ** 2).sum() / (n - 3) * np.linalg.inv(design.T @ design)[1, 1]))
 
 
-def test_t_distribution_known_values():
+def test_t_distribution_known_values(spark):
     # Two-sided probabilities from published tables.
-    for t, df, p in ((12.706, 1, 0.05), (2.228, 10, 0.05), (1.96, 1e6, 0.05), (3.169, 10, 0.01), (0.0, 5, 1.0)):
-        assert ex._t_two_sided(t, df) == pytest.approx(p, abs=2e-4)
+    known = ((12.706, 1, 0.05), (2.228, 10, 0.05), (1.96, 1e6, 0.05), (3.169, 10, 0.01), (0.0, 5, 1.0))
+    df = spark.createDataFrame([(t, float(n), p) for t, n, p in known], "t double, n double, p double")
+    for r in df.withColumn("got", student_t_two_sided("t", "n")).collect():
+        assert r.got == pytest.approx(r.p, abs=2e-4)
+
+
+def test_t_distribution_equals_the_integral(spark):
+    """Against Simpson's rule over the density, for few and very many degrees of freedom."""
+    cases = [(t, n) for t in (-8.0, -1.3, 0.001, 0.7, 2.0, 5.5, 40.0) for n in (1.0, 2.0, 3.0, 9.0, 57.0, 5000.0, 3e6)]
+    df = spark.createDataFrame(cases, "t double, n double")
+    for r in df.withColumn("got", student_t_two_sided("t", "n")).collect():
+        u = np.linspace(0, abs(r.t), 200_001)
+        f = np.exp(math.lgamma((r.n + 1) / 2) - math.lgamma(r.n / 2) - 0.5 * math.log(r.n * math.pi) - (r.n + 1) / 2 * np.log1p(u * u / r.n))
+        area = (f[0] + f[-1] + 4 * f[1:-1:2].sum() + 2 * f[2:-1:2].sum()) * (u[1] - u[0]) / 3
+        assert r.got == pytest.approx(1 - 2 * area, abs=3e-8)
+    odd = spark.createDataFrame([(float("nan"), 3.0), (float("inf"), 3.0), (1.0, 0.0), (1.0, -2.0)], "t double, n double")
+    assert all(math.isnan(r.got) for r in odd.select(student_t_two_sided("t", "n").alias("got")).collect())
 
 
 def test_profit_and_design(spark):
