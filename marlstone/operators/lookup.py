@@ -59,9 +59,20 @@ def lemmatize(df: DataFrame, keys: list[str], text: str, lemmas: DataFrame, tag:
         *keys, F.array_join("_tokens", " ").alias(text))
 
 
-def lemmatize_tagged(df: DataFrame, keys: list[str], tagged: str, lemmas: DataFrame) -> DataFrame:
-    """Lemma of tagged words by (word, tag); a null tag leaves the word."""
-    rows = df.select(*keys, F.posexplode(tagged).alias("pos", "t")).select(*keys, "pos", "t.word", "t.tag")
+def lemmatize_in_place(df: DataFrame, key: str, text: str, lemmas: DataFrame, tag: str = "n") -> DataFrame:
+    """``df`` with the words of one column replaced by their lemmas; ``key`` identifies a row.
+
+    The lemma step of a cleaning chain: only key and text go through the
+    look-up.  A null text stays null.
+    """
+    out = lemmatize(df.filter(F.col(text).isNotNull()).select(key, text), [key], text, lemmas, tag)
+    return df.drop(text).join(out, key, "left").select(*df.columns)
+
+
+def lemmatize_tagged(df: DataFrame, keys: list[str], tagged: str, lemmas: DataFrame, default_tag: str | None = None) -> DataFrame:
+    """Lemma of tagged words by (word, tag); a null tag leaves the word, or stands for ``default_tag``."""
+    rows = df.select(*keys, F.posexplode_outer(tagged).alias("pos", "t")).filter("pos IS NOT NULL").select(
+        *keys, "pos", "t.word", F.coalesce("t.tag", F.lit(default_tag)).alias("tag"))
     hits = rows.join(lemmas.select("word", "tag", "lemma"), ["word", "tag"], "left")
     out = regroup(hits, keys, F.coalesce("lemma", "word"), tagged)
     empty = df.filter(F.size(tagged) <= 0).select(*keys, F.array().cast("array<string>").alias(tagged))

@@ -136,6 +136,33 @@ def tagged(spark, sf_dir):
         f"transform(ws, w -> named_struct('word', w, 'tag', {_TAG.format(w='w')}))").alias("tagged"))
 
 
+# Nouns lose an s, verbs an ed, where the shorter word is one of the corpus.
+_TAGGED_LEMMAS = f"""words AS (SELECT DISTINCT unnest({S.tokens('text')}) AS word FROM documents),
+lemmas AS (SELECT a.word, e.tag, b.word AS lemma FROM words b, (VALUES ('n', 's'), ('v', 'ed')) AS e(tag, ending) JOIN words a ON a.word = b.word || e.ending)"""
+_WORD_TAG = "CASE WHEN word LIKE '%ed' THEN 'v' WHEN word LIKE '%ly' THEN 'r' WHEN word LIKE '%ss' THEN 'n' END"
+
+
+def tagged_lemma_table(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(t.tokenize("text")).alias("word")).distinct()
+    endings = F.explode(F.array(*[F.struct(F.lit(tag).alias("tag"), F.concat("word", F.lit(e)).alias("longer")) for tag, e in (("n", "s"), ("v", "ed"))]))
+    longer = words.select(F.col("word").alias("lemma"), endings.alias("e")).select(F.col("e.longer").alias("word"), "e.tag", "lemma")
+    return longer.join(words, "word", "left_semi").select("word", "tag", "lemma")
+
+
+@query("lemmatize_tagged", f"""
+WITH {_TAGGED_LEMMAS}, t AS (SELECT doc_id, {S.tokens('text')} AS ws FROM documents),
+p AS (SELECT *, coalesce({_WORD_TAG}, 'n') AS tag FROM (SELECT doc_id, i, ws[i] AS word FROM t, unnest(range(1, len(ws) + 1)) AS r(i))),
+j AS (SELECT doc_id, i, coalesce(lemma, p.word) AS w FROM p LEFT JOIN lemmas USING (word, tag))
+SELECT d.doc_id, coalesce(string_agg(w, ' ' ORDER BY i), '') AS lemmas
+FROM documents d LEFT JOIN j USING (doc_id) GROUP BY d.doc_id""")
+def lemmatize_tagged(spark, sf_dir):
+    """Words with a tag or none; no tag means noun."""
+    words = docs(spark, sf_dir, t.tokenize("text").alias("ws")).select("doc_id", F.expr(
+        f"transform(coalesce(ws, array()), word -> named_struct('word', word, 'tag', {_WORD_TAG}))").alias("tagged"))
+    out = lookup.lemmatize_tagged(words, ["doc_id"], "tagged", tagged_lemma_table(spark, sf_dir), "n")
+    return out.select("doc_id", F.array_join("tagged", " ").alias("lemmas"))
+
+
 def _slashed(c):
     return F.array_join(F.transform(c, lambda x: F.concat_ws("/", x["word"], F.coalesce(x["tag"], F.lit("-")))), " ")
 

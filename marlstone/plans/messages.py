@@ -11,6 +11,7 @@ from ..sources import records as rec
 from ..streaming import enrich as en
 from . import sql as S
 from .catalog import query, table
+from .cleaning import _LEMMAS_SQL, lemma_table
 
 # A message per document: gaps appear by document number in the fields beside the text.
 _MESSAGE = {
@@ -190,6 +191,49 @@ def message_word_counts(spark, sf_dir):
     return en.counted_words(en.enrich(messages(spark, sf_dir), "id", lex), "id", lex)
 
 
+# -- the same on lemmas: nouns of the corpus without their s ---------------------------------
+
+
+def _lemmatized_sql(flat: str) -> str:
+    """flat(id, text, ...) -> clean(..., text_clean) of lemmas, with its scores."""
+    return f"""{_LEXICON}, {_LEMMAS_SQL}, flat AS ({flat}), c0 AS (SELECT *, {S.cleaned(_STRIPPED, short=False)} AS t0 FROM flat),
+lw AS (SELECT id, i, ws[i] AS word FROM (SELECT id, {S.tokens('t0')} AS ws FROM c0), unnest(range(1, len(ws) + 1)) AS r(i)),
+lem AS (SELECT id, string_agg(coalesce(lemma, lw.word), ' ' ORDER BY i) AS t FROM lw LEFT JOIN lemmas USING (word) GROUP BY id),
+clean AS (SELECT c0.* EXCLUDE (t0), coalesce(t, '') AS text_clean FROM c0 LEFT JOIN lem USING (id)), {_score_sql('clean')},
+enriched AS (SELECT clean.*, sentiment_score, {_LABEL.format(s='sentiment_score')} AS sentiment FROM clean JOIN score USING (id))"""
+
+
+@query("enrich_lemmatized", f"WITH {_lemmatized_sql(_EXTRACT)} SELECT {', '.join(_columns())} FROM enriched")
+def enrich_lemmatized(spark, sf_dir):
+    return en.enrich(messages(spark, sf_dir), "id", lexicon(spark, sf_dir), lemma_table(spark, sf_dir)).select(*_columns())
+
+
+@query("stream_enrich_lemmatized", f"""
+WITH {_lemmatized_sql(_EXTRACT)}, first AS (SELECT min(id) AS id FROM enriched WHERE text <> 'Data Error' GROUP BY text)
+SELECT {', '.join(_columns())} FROM enriched WHERE id IN (SELECT id FROM first)""")
+def stream_enrich_lemmatized(spark, sf_dir):
+    folder = new_folder(spark, "enrich")
+    en.start_enrichment(as_messages(document_stream(spark, sf_dir)), f"{folder}/tables", f"{folder}/checkpoint", "id",
+                        lexicon(spark, sf_dir), lemmas=write_cut(lemma_table(spark, sf_dir), "lemmas")).awaitTermination()
+    return en.stored_messages(spark, f"{folder}/tables").select(*_columns())
+
+
+_FILE = """SELECT doc_id AS id, trim(replace(text, chr(10), ' ')) AS text, lang, CASE WHEN doc_id % 3 <> 0 THEN upper(lang) END AS country, 'user ' || source AS user_nm,
+  CASE WHEN doc_id % 2 <> 0 AND doc_id % 11 <> 0 THEN (doc_id % 180) || '.5 ' || (doc_id % 90) || '.25' END AS coordinates, (n_chars % 50)::INTEGER AS retweet_count
+FROM documents WHERE text IS NOT NULL"""
+
+
+@query("message_file_job", f"""
+WITH {_lemmatized_sql(_FILE)}
+SELECT id, coalesce(text, '') AS text, lang, coalesce(country, '') AS country, user_nm, coalesce(coordinates, '') AS coordinates, retweet_count, text_clean, sentiment_score, sentiment FROM enriched""")
+def message_file_job(spark, sf_dir):
+    """The file job's CSV, read back; gaps of text columns are empty."""
+    path = new_folder(spark, "message-file")
+    en.message_file_job(messages(spark, sf_dir), "id", lexicon(spark, sf_dir), lemma_table(spark, sf_dir), path)
+    return rec.read_csv(spark, path, "id long, text string, lang string, country string, user_nm string, coordinates string, retweet_count int, "
+                        "text_clean string, sentiment_score double, sentiment string")
+
+
 # -- streams ----------------------------------------------------------------------------
 
 
@@ -213,7 +257,7 @@ def stream_enrich(spark, sf_dir):
     folder = new_folder(spark, "enrich")
     en.start_enrichment(as_messages(document_stream(spark, sf_dir)), f"{folder}/tables", f"{folder}/checkpoint", "id",
                         lexicon(spark, sf_dir)).awaitTermination()
-    return spark.read.parquet(f"{folder}/tables/messages").select(*_columns())
+    return en.stored_messages(spark, f"{folder}/tables").select(*_columns())
 
 
 @query("stream_owner_table", f"WITH {_ENRICHED}, {_WORDS} SELECT word, movie, count FROM counts")

@@ -11,20 +11,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.text import clean_text, strip_entities, whitespace_tokens
-from ..operators import dedup, sentiment
-from ..sources.records import MISSING_TEXT, extract_message, parse
+from ..operators import dedup, lookup, sentiment
+from ..sources.records import MISSING_TEXT, extract_message, extract_message_file, parse, write_csv
 
 MINIMUM_WORD = 4      # words of three letters or fewer are not counted
 
 
-def clean_messages(messages: DataFrame, key: str) -> DataFrame:
-    """Parsed messages -> flat columns and cleaned text (one projection)."""
-    return extract_message(messages, key).withColumn("text_clean", clean_text(strip_entities("text"), short_tokens=False))
+def clean_messages(messages: DataFrame, key: str, lemmas: DataFrame | None = None) -> DataFrame:
+    """Parsed messages -> flat columns and cleaned text (one projection).
 
+    With a (word, tag, lemma) table the cleaned text is that of the nouns' lemmas.
+    """
+    return _cleaned(extract_message(messages, key), key, lemmas)
+
+
+def _cleaned(flat: DataFrame, key: str, lemmas: DataFrame | None) -> DataFrame:
+    cleaned = flat.withColumn("text_clean", clean_text(strip_entities("text"), short_tokens=False))
+    return cleaned if lemmas is None else lookup.lemmatize_in_place(cleaned, key, "text_clean", lemmas)
 
-def enrich(messages: DataFrame, key: str, lexicon: DataFrame) -> DataFrame:
+
+def enrich(messages: DataFrame, key: str, lexicon: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
     """Parsed messages -> flat columns, cleaned text, score and label."""
-    return sentiment.score_sentiment(clean_messages(messages, key), key, "text_clean", lexicon)
+    return sentiment.score_sentiment(clean_messages(messages, key, lemmas), key, "text_clean", lexicon)
+
+
+def message_file_job(messages: DataFrame, key: str, lexicon: DataFrame, lemmas: DataFrame, path: str) -> None:
+    """Parsed messages of a file -> one CSV table of text, origin, cleaned lemmas, score and label.
+
+    Records without a text are left out; coordinates are written as two numbers
+    with a blank between them.
+    """
+    flat = extract_message_file(messages, key).filter("text IS NOT NULL")
+    scored = sentiment.score_sentiment(_cleaned(flat, key, lemmas), key, "text_clean", lexicon)
+    write_csv(scored.withColumn("coordinates", F.array_join(F.col("coordinates").cast("array<string>"), " ")), path)
 
 
 def message_words(enriched: DataFrame, *keep: str) -> DataFrame:
@@ -101,7 +120,7 @@ def add_word_counts(tables: str, run: str, batch_id: int, words: DataFrame, key:
     spark.createDataFrame([(version, run, batch_id)], _COMMIT).coalesce(1).write.mode("append").parquet(f"{tables}/commits")
 
 
-def enrichment_sink(tables: str, key: str, lexicon: DataFrame, run: str | None = None) -> Callable[[DataFrame, int], None]:
+def enrichment_sink(tables: str, key: str, lexicon: DataFrame, run: str | None = None, lemmas: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer of the message table and the word-count table.
 
     Both writes can be repeated: messages already in the table are excluded by
@@ -115,7 +134,7 @@ def enrichment_sink(tables: str, key: str, lexicon: DataFrame, run: str | None =
         if not name:
             raise ValueError("the stream has no id; name the run")
         # Scoring reads the cleaned rows twice, the sinks read the scored rows twice.
-        cleaned = clean_messages(parse(batch), key).persist()
+        cleaned = clean_messages(parse(batch), key, lemmas).persist()
         enriched = sentiment.score_sentiment(cleaned, key, "text_clean", lexicon).persist()
         try:
             new = enriched.withColumns({"created_at": F.current_timestamp(), "text_key": F.unhex(F.sha2("text", 256))})
@@ -134,12 +153,17 @@ def enrichment_sink(tables: str, key: str, lexicon: DataFrame, run: str | None =
 
 
 def start_enrichment(stream: DataFrame, tables: str, checkpoint: str, key: str, lexicon: DataFrame,
-                     once: bool = True) -> StreamingQuery:
-    """Run the enrichment over a stream of JSON ``value`` records."""
-    writer = stream.writeStream.foreachBatch(enrichment_sink(tables, key, lexicon)).option("checkpointLocation", checkpoint)
+                     once: bool = True, lemmas: DataFrame | None = None) -> StreamingQuery:
+    """Run the enrichment over a stream of JSON ``value`` records; with a lemma table, on lemmas."""
+    writer = stream.writeStream.foreachBatch(enrichment_sink(tables, key, lexicon, lemmas=lemmas)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def stored_messages(spark: SparkSession, tables: str) -> DataFrame:
+    """The message table."""
+    return spark.read.parquet(f"{tables}/messages")
+
+
 def latest_word_counts(spark: SparkSession, tables: str) -> DataFrame:
     """The newest recorded version of the count table; older ones may be expired, the record of commits may not."""
     version = spark.read.schema(_COMMIT).parquet(f"{tables}/commits").agg(F.max("version")).first()[0]
