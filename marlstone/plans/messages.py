@@ -285,9 +285,6 @@ def stream_word_counts(spark, sf_dir):
     words = document_stream(spark, sf_dir).select("doc_id", F.col("source").alias("movie"), F.explode(
         F.filter(tokenize("text"), lambda w: F.length(w) > 3)).alias("word"))
 
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
-
-    en.stream_pair_counts(words, "doc_id").writeStream.outputMode("update").foreachBatch(keep).option(
+    en.stream_pair_counts(words, "doc_id").writeStream.outputMode("update").foreachBatch(en.update_sink(f"{folder}/tables")).option(
         "checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return en.owners_of(spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out"))
+    return en.latest_owners(spark, f"{folder}/tables")

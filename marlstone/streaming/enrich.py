@@ -5,16 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.text import clean_text, strip_entities, whitespace_tokens
 from ..operators import dedup, lookup, sentiment
 from ..sources.records import MISSING_TEXT, extract_message, extract_message_file, parse, write_csv
+from . import versions
 
 MINIMUM_WORD = 4      # words of three letters or fewer are not counted
+BUCKETS = 64          # folders of the message table
+
+
+def bucket_of(hexadecimal: Column) -> Column:
+    """The folder of a message by the first eight digits of its hash."""
+    return F.pmod(F.conv(F.substring(hexadecimal, 1, 8), 16, 10).cast("long"), F.lit(BUCKETS)).cast("int")
 
 
 def clean_messages(messages: DataFrame, key: str, lemmas: DataFrame | None = None) -> DataFrame:
@@ -58,74 +64,42 @@ def counted_words(enriched: DataFrame, order: str, lexicon: DataFrame) -> DataFr
     return sentiment.word_sentiment(owned, "word", lexicon)
 
 
-def merge_word_counts(old: DataFrame | None, new: DataFrame, order: str) -> DataFrame:
-    """Fold one micro-batch of words into the keyed count table.
+def fold_word_counts(rows: DataFrame, whole: bool) -> DataFrame:
+    """Parts of (word, movie, n, version, first) as one.
 
-    A stored owner stays; its count grows by the batch's rows of that owner.
-    A new word takes its owner from the batch.
+    A word belongs to the movie that had it in the earliest version, there in the
+    earliest row; its count is that of the owner's rows.  Rows of other movies
+    go as soon as the parts reach back to the first batch.
     """
-    pairs = new.groupBy("word", "movie").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
-    if old is None:
-        first = pairs.groupBy("word").agg(F.min_by(F.struct("movie", "n"), F.struct("first", "movie")).alias("o"))
-        return first.select("word", "o.movie", F.col("o.n").alias("count"))
-    both = pairs.select("word", "movie", "n", F.struct(F.lit(1).alias("is_new"), "first", "movie").alias("rank")).unionByName(
-        old.select("word", "movie", F.col("count").alias("n"), F.struct(
-            F.lit(0).alias("is_new"), F.lit(None).cast(new.schema[order].dataType).alias("first"), "movie").alias("rank")))
-    # The owner row ranks first: the stored one, else the earliest new one.
-    by_pair = both.groupBy("word", "movie").agg(F.sum("n").alias("n"), F.min("rank").alias("rank"))
-    return by_pair.groupBy("word").agg(F.min_by(F.struct("movie", "n"), "rank").alias("o")).select(
-        "word", "o.movie", F.col("o.n").alias("count"))
-
-
-_COMMIT = "version long, run string, batch long"
-
-
-def _stored(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
-    """A table that may not have been written yet."""
-    try:
-        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def _base_version(log: DataFrame | None, run: str, batch_id: int) -> tuple[int | None, bool]:
-    """The version that a batch builds on, and whether the batch is already in it."""
-    base = last = again = None
-    if log is not None:
-        mine, batch = F.col("run") == run, F.col("batch")
-        base, last, again = log.agg(F.max("version"), F.max(F.when(mine & (batch < batch_id), batch)), F.max(F.when(mine & (batch == batch_id), batch))).first()
-    if again is None and batch_id > 0 and last != batch_id - 1:
-        raise RuntimeError(f"word counts: batch {batch_id} of run {run} needs batch {batch_id - 1}, the last one recorded is {last}")
-    return base, again is not None
+    pairs = rows.groupBy("word", "movie").agg(F.sum("n").alias("n"), F.min(F.struct("version", "first")).alias("at"))
+    if whole:
+        pairs = pairs.groupBy("word").agg(F.min_by(F.struct("movie", "n", "at"), F.struct("at", "movie")).alias("o")).select("word", "o.*")
+    return pairs.select("word", "movie", "n", "at.version", "at.first")
 
 
 def add_word_counts(tables: str, run: str, batch_id: int, words: DataFrame, key: str) -> None:
-    """Fold a batch of words into the count table, once.
+    """Add a batch of words to the count table, once: what is written grows with the batch (``versions.add_batch``)."""
+    pairs = words.groupBy("word", "movie").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"))
+    versions.add_batch(tables, "words", run, batch_id, lambda v: pairs.select("word", "movie", "n", F.lit(v).cast("long").alias("version"), "first"), fold_word_counts)
 
-    Each batch writes a version of its own on top of the newest one, whichever
-    run that came from, and records it in ``commits`` when it is whole.  A batch
-    that is recorded is not added again; a version that is not recorded is
-    written over.  A run whose previous batch is not recorded, or a recorded
-    version that is gone, is an error: counts are never started anew silently.
-    """
-    spark = words.sparkSession
-    base, known = _base_version(_stored(spark, f"{tables}/commits", _COMMIT), run, batch_id)
-    if known:
-        return
-    old = None if base is None else spark.read.parquet(f"{tables}/words/version={base}")
-    version = 0 if base is None else base + 1
-    merge_word_counts(old, words, key).write.mode("overwrite").parquet(f"{tables}/words/version={version}")
-    spark.createDataFrame([(version, run, batch_id)], _COMMIT).coalesce(1).write.mode("append").parquet(f"{tables}/commits")
+
+def latest_word_counts(spark: SparkSession, tables: str) -> DataFrame:
+    """(word, movie, count) of the newest recorded version."""
+    return versions.newest(spark, tables, "words", fold_word_counts).select("word", "movie", F.col("n").alias("count"))
+
+
+def stored_messages(spark: SparkSession, tables: str) -> DataFrame:
+    """The message table."""
+    return spark.read.parquet(f"{tables}/messages").drop("bucket")
 
 
 def enrichment_sink(tables: str, key: str, lexicon: DataFrame, run: str | None = None, lemmas: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer of the message table and the word-count table.
 
     Both writes can be repeated: messages already in the table are excluded by
-    the SHA-256 of their text, so a batch reads 32 bytes of each stored message,
-    and batches are added to the counts once.  ``run`` names the stream whose
+    the SHA-256 of their text, and batches are added to the counts once.  The
+    table is kept in ``BUCKETS`` folders by the start of that hash; a batch
+    opens those it has messages for, and reads 32 bytes of each message there.  ``run`` names the stream whose
     batch numbers these are; by default that is the id its checkpoint holds.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -137,13 +111,16 @@ def enrichment_sink(tables: str, key: str, lexicon: DataFrame, run: str | None =
         cleaned = clean_messages(parse(batch), key, lemmas).persist()
         enriched = sentiment.score_sentiment(cleaned, key, "text_clean", lexicon).persist()
         try:
-            new = enriched.withColumns({"created_at": F.current_timestamp(), "text_key": F.unhex(F.sha2("text", 256))})
-            stored = _stored(spark, f"{tables}/messages")
+            hashed = F.sha2("text", 256)
+            new = enriched.withColumns({"created_at": F.current_timestamp(), "text_key": F.unhex(hashed), "bucket": bucket_of(hashed)})
+            stored = versions.stored(spark, f"{tables}/messages")
             if stored is not None:
-                rows = dedup.insert_if_absent(new, stored, ["text_key"], [key], "text")
+                opened = [r[0] for r in new.select("bucket").distinct().collect()]          # BUCKETS at most
+                rows = dedup.insert_if_absent(new, stored.filter(F.col("bucket").isin(opened)), ["text_key"], [key], "text")
             else:
                 rows = dedup.first_wins(new.filter(F.col("text") != MISSING_TEXT), ["text_key"], [key])
-            rows.write.mode("append").parquet(f"{tables}/messages")
+            # One file for a bucket and batch.
+            rows.repartition("bucket").write.partitionBy("bucket").mode("append").parquet(f"{tables}/messages")
             add_word_counts(tables, name, batch_id, message_words(enriched, key), key)
         finally:
             enriched.unpersist()
@@ -159,17 +136,6 @@ def start_enrichment(stream: DataFrame, tables: str, checkpoint: str, key: str,
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def stored_messages(spark: SparkSession, tables: str) -> DataFrame:
-    """The message table."""
-    return spark.read.parquet(f"{tables}/messages")
-
-
-def latest_word_counts(spark: SparkSession, tables: str) -> DataFrame:
-    """The newest recorded version of the count table; older ones may be expired, the record of commits may not."""
-    version = spark.read.schema(_COMMIT).parquet(f"{tables}/commits").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{tables}/words/version={version}")
-
-
 def stream_dedup(stream: DataFrame, keys: list[str], event_time: str | None = None, delay: str | None = None) -> DataFrame:
     """First row per key of an endless stream; a watermark bounds what is remembered."""
     if event_time is None:
@@ -186,6 +152,27 @@ def stream_pair_counts(words: DataFrame, order: str) -> DataFrame:
     return words.groupBy("word", "movie").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
 
 
+def fold_updates(rows: DataFrame, whole: bool) -> DataFrame:
+    """Parts of (word, movie, n, first, version) as one: the newest row of each pair."""
+    return rows.groupBy("word", "movie").agg(F.max_by(F.struct("n", "first", "version"), "version").alias("p")).select("word", "movie", "p.*")
+
+
+def update_sink(tables: str, run: str | None = None) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer of running pair counts: a batch writes its updates, older ones of a pair go when parts are merged."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        name = run or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not name:
+            raise ValueError("the stream has no id; name the run")
+        versions.add_batch(tables, "updates", name, batch_id, lambda v: batch.select("word", "movie", "n", "first", F.lit(v).cast("long").alias("version")), fold_updates)
+
+    return write
+
+
+def latest_owners(spark: SparkSession, tables: str) -> DataFrame:
+    """(word, movie, count) from the updates up to the newest recorded version."""
+    return owners_of(versions.newest(spark, tables, "updates", fold_updates), "version")
+
+
 def owners_of(updates: DataFrame, batch: str = "batch") -> DataFrame:
     """(word, movie, count) from the updates so far: the newest row of each pair,
     then the pair that arrived first."""

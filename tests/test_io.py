@@ -214,3 +214,48 @@ def test_stream_dedup_with_watermark(spark, tmp_path):
 
 def test_shared_folder_is_the_clusters(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_a_batch_opens_the_buckets_it_needs(spark, tmp_path, monkeypatch):
+    """Stored messages are looked for in the folders of the batch's hashes alone, and a replay adds nothing."""
+    from marlstone.operators import dedup
+
+    tables, lex, plans = str(tmp_path), sentiment.sample_lexicon(spark), []
+    plain = dedup.insert_if_absent
+
+    def seen(new, target, *args):
+        plans.append(target._jdf.queryExecution().executedPlan().toString())
+        return plain(new, target, *args)
+
+    monkeypatch.setattr(dedup, "insert_if_absent", seen)
+    write = en.enrichment_sink(tables, "id", lex, run="r")
+    write(_values(spark, MESSAGES[:2]), 0)
+    write(_values(spark, MESSAGES[2:4]), 1)
+    before = sorted(r.id for r in en.stored_messages(spark, tables).collect())
+    write(_values(spark, MESSAGES[:4]), 1)
+    assert sorted(r.id for r in en.stored_messages(spark, tables).collect()) == before and "bucket" not in en.stored_messages(spark, tables).columns
+    filters = [line for line in plans[-1].splitlines() if "PartitionFilters" in line]
+    assert filters and all("bucket" in line for line in filters)
+
+
+def test_word_count_parts_stay_few_and_small(spark, tmp_path):
+    """What a batch writes follows its size; parts are merged by size and give what one grouping gives."""
+    import os
+    import random
+
+    rng, tables, rows = random.Random(3), str(tmp_path), []
+    sizes = [400, *[3] * 11]
+    for b, size in enumerate(sizes):
+        part = [(1000 * b + i, rng.choice("mno"), f"w{rng.randrange(300) if b == 0 else rng.randrange(320)}") for i in range(size)]
+        rows += part
+        en.add_word_counts(tables, "a", b, spark.createDataFrame(part, "id long, movie string, word string"), "id")
+    got = {r.word: (r.movie, r["count"]) for r in en.latest_word_counts(spark, tables).collect()}
+    owner, count = {}, {}
+    for _, movie, word in rows:
+        owner.setdefault(word, movie)
+        count[word] = count.get(word, 0) + (owner[word] == movie)
+    assert got == {w: (owner[w], count[w]) for w in owner}
+    parts = [r.part for r in spark.read.parquet(f"{tables}/words/version=11").collect()]
+    assert len(parts) <= 5
+    written = [spark.read.parquet(f"{tables}/words-parts/{p}").count() for p in os.listdir(f"{tables}/words-parts")]
+    assert sum(n > 50 for n in written) == 1          # the large first part is never written again
