@@ -13,20 +13,30 @@ ROUNDS = 8
 # Days of any 400 years of the calendar, and two factors of that number.
 CYCLE_DAYS, CYCLE_FACTORS = 146_097, (189, 773)
 
-# What may be private: the first kind that fits a match decides; digits never start or end inside a longer number.
+# Digits never start or end inside a longer number: a dot, hyphen or slash before them bars only behind a digit.
+_START, _END = r"(?<![0-9A-Za-z])(?<![0-9][.-])", r"(?![0-9A-Za-z]|[.-][0-9])"
+# What may be private: the first kind that fits a match decides.  A day may be followed by its time.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "phone": r"(?<![0-9A-Za-z.+-])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z]|[.-][0-9])",
-    "card": r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])",
-    "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
-    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
-    "date": r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "phone": r"(?<![0-9A-Za-z+])(?<![0-9][.-])(?:(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-]|\+1[2-9][0-9]{2}[2-9][0-9]{2})[0-9]{4}" + _END,
+    "card": rf"{_START}[0-9](?:[ -]?[0-9]){{12,18}}{_END}",
+    "ip": r"(?<![0-9A-Za-z])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
+    "ssn": r"(?<![0-9A-Za-z])(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
+    "date": r"(?<![0-9A-Za-z])(?<![0-9][/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})"
+            r"(?:(?=T[0-9]{2}:)|(?![0-9A-Za-z]|[./-][0-9]))",
 }
 # Card numbers as they are printed, wherever one may start; which of them are valid is known before a text is cut up.
-_CARD_START, _CARD_END = r"(?<![0-9A-Za-z.-])", r"(?![0-9A-Za-z]|[.-][0-9])"
+_CARD_START, _CARD_END = _START, _END
 PRINTED_CARDS = rf"{_CARD_START}(?=([0-9]{{13,19}}{_CARD_END}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}{_CARD_END}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{4,5}}{_CARD_END}))"
 _OTHERS = "|".join(f"(?:{p})" for kind, p in PATTERNS.items() if kind != "card")
-DATE_FORMATS = {"-": "yyyy-MM-dd", "/": "MM/dd/yyyy", ".": "dd.MM.yyyy"}
+# Forms of a day, told apart by their shape; single digits stay single where they can.
+DATE_FORMATS = {r"[0-9]{4}-[0-9]{2}-[0-9]{2}": "yyyy-MM-dd", r"[0-9]{2}/[0-9]{2}/[0-9]{4}": "MM/dd/yyyy", r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}": "dd.MM.yyyy",
+                r"[0-9]{4}/[0-9]{2}/[0-9]{2}": "yyyy/MM/dd", r"[0-9]{4}/[0-9/]+": "yyyy/M/d", r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}": "M/d/yyyy", r"[0-9.]+": "d.M.yyyy"}
+
+
+def _given(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, as a lambda's argument."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def feistel(value: Column, a: Column | int, b: Column | int, key: Column, rounds: int = ROUNDS) -> Column:
@@ -84,34 +94,42 @@ def luhn_sum(digits: Column) -> Column:
 
 def _card(text: Column, key: Column) -> Column:
     """A number that passes the Luhn check keeps its first digit and gets a new check digit; others are null."""
-    d = _digits(text)
-    n = F.length(d) - 2
-    low = (n / 2).cast("int")
-    new = F.concat(F.substring(d, F.lit(1), F.lit(1)),
-                   F.lpad(feistel(F.substring(d, F.lit(2), n).cast("long"), _ten_to(n - low), _ten_to(low), key).cast("string"), n, "0"))
-    check = F.pmod(10 - F.pmod(luhn_sum(F.concat(new, F.lit("0"))), F.lit(10)), F.lit(10))
-    return F.when(F.pmod(luhn_sum(d), F.lit(10)) == 0, _relay(text, F.concat(new, check.cast("string"))))
+    def checked(new: Column) -> Column:
+        check = F.pmod(10 - F.pmod(luhn_sum(F.concat(new, F.lit("0"))), F.lit(10)), F.lit(10))
+        return _relay(text, F.concat(new, check.cast("string")))
+
+    def permuted(d: Column) -> Column:
+        n = F.length(d) - 2
+        low = (n / 2).cast("int")
+        new = F.concat(F.substring(d, F.lit(1), F.lit(1)),
+                       F.lpad(feistel(F.substring(d, F.lit(2), n).cast("long"), _ten_to(n - low), _ten_to(low), key).cast("string"), n, "0"))
+        return F.when(F.pmod(luhn_sum(d), F.lit(10)) == 0, _given(new, checked))
+
+    return _given(_digits(text), permuted)
 
 
 def _phone(text: Column, key: Column) -> Column:
     """Area and exchange stay in 200-999, so 800 * 800 * 10,000 numbers are permuted; a leading 1 stays."""
-    d = _digits(text)
-    ten = F.substring(d, F.length(d) - 9, F.lit(10))
-    area, exchange, line = (F.substring(ten, F.lit(p), F.lit(n)).cast("long") for p, n in ((1, 3), (4, 3), (7, 4)))
-    x = feistel(((area - 200) * 800 + exchange - 200) * 10_000 + line, 80_000, 80_000, key)
-    head = _div(x, F.lit(10_000).cast("long"))
-    new = F.concat(_div(head, F.lit(800).cast("long")) + 200, F.pmod(head, F.lit(800)) + 200, F.lpad(F.pmod(x, F.lit(10_000)).cast("string"), 4, "0"))
-    return _relay(text, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), new))
+    def permuted(d: Column) -> Column:
+        ten = F.substring(d, F.length(d) - 9, F.lit(10))
+        area, exchange, line = (F.substring(ten, F.lit(p), F.lit(n)).cast("long") for p, n in ((1, 3), (4, 3), (7, 4)))
+
+        def written(x: Column) -> Column:
+            head = _div(x, F.lit(10_000).cast("long"))
+            new = F.concat(_div(head, F.lit(800).cast("long")) + 200, F.pmod(head, F.lit(800)) + 200, F.lpad(F.pmod(x, F.lit(10_000)).cast("string"), 4, "0"))
+            return _relay(text, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), new))
+
+        return _given(feistel(((area - 200) * 800 + exchange - 200) * 10_000 + line, 80_000, 80_000, key), written)
+
+    return _given(_digits(text), permuted)
 
 
 def _ip(text: Column, key: Column) -> Column:
     """Four numbers up to 255 without leading zeros; others are null."""
-    part = [F.split_part(text, F.lit("."), F.lit(i)) for i in (1, 2, 3, 4)]
-    number = [p.cast("long") for p in part]
+    number = [F.split_part(text, F.lit("."), F.lit(i)).cast("long") for i in (1, 2, 3, 4)]
     good = (number[0] <= 255) & (number[1] <= 255) & (number[2] <= 255) & (number[3] <= 255) & ~text.rlike(r"(?:^|\.)0[0-9]")
     x = feistel(((number[0] * 256 + number[1]) * 256 + number[2]) * 256 + number[3], 65_536, 65_536, key)
-    octets = [F.pmod(F.shiftright(x, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)]
-    return F.when(good, F.concat_ws(".", *octets))
+    return F.when(good, _given(x, lambda x: F.concat_ws(".", *[F.pmod(F.shiftright(x, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)])))
 
 
 def _ssn(text: Column, key: Column) -> Column:
@@ -119,23 +137,33 @@ def _ssn(text: Column, key: Column) -> Column:
     area, group, serial = (F.split_part(text, F.lit("-"), F.lit(i)).cast("long") for i in (1, 2, 3))
     good = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     index = F.when(area > 666, area - 2).otherwise(area - 1)
-    x = feistel((index * 99 + group - 1) * 9_999 + serial - 1, 898 * 99, 9_999, key)
-    head = _div(x, F.lit(9_999).cast("long"))
-    index = _div(head, F.lit(99).cast("long"))
-    return F.when(good, F.concat_ws("-", F.lpad(F.when(index >= 665, index + 2).otherwise(index + 1).cast("string"), 3, "0"),
-                                    F.lpad((F.pmod(head, F.lit(99)) + 1).cast("string"), 2, "0"), F.lpad((F.pmod(x, F.lit(9_999)) + 1).cast("string"), 4, "0")))
+
+    def written(x: Column) -> Column:
+        head = _div(x, F.lit(9_999).cast("long"))
+        index = _div(head, F.lit(99).cast("long"))
+        return F.concat_ws("-", F.lpad(F.when(index >= 665, index + 2).otherwise(index + 1).cast("string"), 3, "0"),
+                           F.lpad((F.pmod(head, F.lit(99)) + 1).cast("string"), 2, "0"), F.lpad((F.pmod(x, F.lit(9_999)) + 1).cast("string"), 4, "0"))
+
+    return F.when(good, _given(feistel((index * 99 + group - 1) * 9_999 + serial - 1, 898 * 99, 9_999, key), written))
 
 
 def _date(text: Column, key: Column) -> Column:
     """A day of the calendar becomes another of the same 400 years; what is no day is null."""
-    out = F.lit(None).cast("string")
-    for mark, form in DATE_FORMATS.items():
-        day = F.try_to_timestamp(text, F.lit(form)).cast("date")
-        year = F.year(day)
-        start = F.make_date(F.greatest(year - F.pmod(year, F.lit(400)), F.lit(1)), F.lit(1), F.lit(1))
-        moved = feistel(F.pmod(F.datediff(day, start).cast("long"), F.lit(CYCLE_DAYS)), *CYCLE_FACTORS, key)
-        out = F.when(F.contains(text, F.lit(mark)) & (year >= 400), F.date_format(F.date_add(start, moved.cast("int")), form)).otherwise(out)
-    return out
+    def start(day: Column) -> Column:
+        return F.make_date(F.greatest(F.year(day) - F.pmod(F.year(day), F.lit(400)), F.lit(1)), F.lit(1), F.lit(1))
+
+    def moved(day: Column) -> Column:
+        days = feistel(F.pmod(F.datediff(day, start(day)).cast("long"), F.lit(CYCLE_DAYS)), *CYCLE_FACTORS, key)
+        return F.when(F.year(day) >= 400, F.date_add(start(day), days.cast("int")))
+
+    def as_written(make: Callable[[str], Column]) -> Column:
+        out = F.lit(None)
+        for shape, form in reversed(DATE_FORMATS.items()):
+            out = F.when(text.rlike(f"^(?:{shape})$"), make(form)).otherwise(out)
+        return out
+
+    day = as_written(lambda form: F.try_to_timestamp(text, F.lit(form)).cast("date"))
+    return _given(_given(day, moved), lambda new: as_written(lambda form: F.date_format(new, form)))
 
 
 def _email(text: Column, key: Column) -> Column:
@@ -147,12 +175,20 @@ def _email(text: Column, key: Column) -> Column:
 _MAKERS: dict[str, Callable[[Column, Column], Column]] = {"email": _email, "phone": _phone, "card": _card, "ip": _ip, "ssn": _ssn, "date": _date}
 
 
+def _alone(text: Column, kind: str) -> Column:
+    """Whether a match is one of this kind; what stood behind it is no longer there."""
+    return text.rlike(f"^(?:{PATTERNS[kind]})$")
+
+
 def pseudonym(text: Column, key: str) -> Column:
     """(kind, text) for one match; null for a number that is not valid."""
+    def named(kind: str, made: Column) -> Column:
+        # One argument: a second one would be taken for the index.
+        return _given(made, lambda m: F.when(m.isNotNull(), F.struct(F.lit(kind).alias("kind"), m.alias("text"))))
+
     out = F.lit(None)
     for kind, make in reversed(_MAKERS.items()):
-        made = make(text, F.lit(f"{key}|{kind}"))
-        out = F.when(text.rlike(f"^(?:{PATTERNS[kind]})$"), F.when(made.isNotNull(), F.struct(F.lit(kind).alias("kind"), made.alias("text")))).otherwise(out)
+        out = F.when(_alone(text, kind), named(kind, make(text, F.lit(f"{key}|{kind}")))).otherwise(out)
     return out
 
 

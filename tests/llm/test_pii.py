@@ -95,3 +95,49 @@ def test_query_counts_by_kind(spark, tmp_path):
     rows = {r.doc_id: r for r in op8_pii(spark, str(tmp_path)).collect()}
     assert (rows[1].n_ip, rows[1].n_email, rows[1].n_card) == (2, 1, 0)
     assert rows[2].clean_text is None and rows[2].n_ip == 0 and rows[3].clean_text == ""
+
+
+def test_values_behind_marks_and_in_other_forms(spark):
+    card = "4111111111111111"
+    lines = {
+        f"Card No.{card}": [card], f"Card-{card}": [card], "SSN-123-45-6789": ["123-45-6789"], "born.2024-01-15": ["2024-01-15"], "on 15.1.2024.": ["15.1.2024"],
+        "on 2024/01/15, 1/5/2024": ["2024/01/15", "1/5/2024"], "at 2024-01-15T10:00:00Z": ["2024-01-15"], "call +12125551234": ["+12125551234"],
+        "to ünï@b.co": ["ünï@b.co"], "tel.212-555-1234": ["212-555-1234"], "ip.10.1.2.3": ["10.1.2.3"],
+        f"1.{card}": [], "1-123-45-6789": [], "9.1.2.3.4": [], "2024-01-15Tx": [], "31.2.2024": [], "2024/13/01": [], "1/2024-01-15": []}
+    got = run(spark, list(lines))
+    for (text, wanted), r in zip(lines.items(), got, strict=True):
+        assert [f["original"] for f in r["found"]] == wanted, text
+        rest = text
+        for f in r["found"]:
+            assert f["text"] != f["original"]
+            rest = rest.replace(f["original"], f["text"], 1)
+        assert r["clean_text"] == rest, text
+    assert re.fullmatch(r"\+1[2-9]\d\d[2-9]\d{6}", got[7]["found"][0]["text"])
+    day = lambda i, j, order: tuple(int(x) for x in [re.split(r"[./-]", got[i]["found"][j]["text"])[k] for k in order])
+    assert day(3, 0, (0, 1, 2)) == day(4, 0, (2, 1, 0)) == day(5, 0, (0, 1, 2)) == day(6, 0, (0, 1, 2))
+
+
+def test_finder_against_brute_force(spark):
+    """Every place that is a printed card, SSN, address or ISO day by a plain scan is found, in texts of random neighbours."""
+    import datetime
+    import random
+
+    rng = random.Random(8)
+
+    def card():
+        head = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        return next(head + c for c in "0123456789" if luhn(head + c))
+
+    values = [card, lambda: f"{rng.randrange(1, 666):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}",
+              lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), lambda: str(datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(60_000)))]
+    texts, wanted = [], []
+    for _ in range(60):
+        parts, own = [], []
+        for _ in range(rng.randrange(1, 6)):
+            value = rng.choice(values)()
+            own.append(value)
+            parts += [rng.choice(["a ", "No.", "(", "x: ", "born-", "..", "é ", "\n"]), value, rng.choice([" b ", ", ", ") ", ". ", "\n", "; "])]
+        texts.append("".join(parts))
+        wanted.append(own)
+    for text, own, got in zip(texts, wanted, run(spark, texts), strict=True):
+        assert [f["original"] for f in got["found"]] == own, text
