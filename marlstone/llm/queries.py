@@ -38,9 +38,9 @@ WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos, source
   FROM documents WHERE text IS NOT NULL),
 keyed AS (
-  SELECT *, lower(trim(regexp_replace(line, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS k FROM lines WHERE length(trim(line)) >= 12),
+  SELECT *, lower(trim(regexp_replace(line, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS k FROM lines),
 wide AS (
-  SELECT k, arg_min((doc_id, pos), (doc_id, pos)) AS first FROM keyed GROUP BY k HAVING count(DISTINCT source) >= 5),
+  SELECT k, arg_min((doc_id, pos), (doc_id, pos)) AS first FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= 5),
 gone AS (
   SELECT doc_id, count(*) AS n, list(pos) AS gone FROM keyed JOIN wide USING (k) WHERE (doc_id, pos) <> first GROUP BY doc_id)
 SELECT d.doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines,
@@ -53,8 +53,8 @@ FROM documents d LEFT JOIN gone USING (doc_id)
 
 @_query("op1_line_dedup", _LINES_SQL)
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its text free of cross-site boilerplate lines, of 12 characters and more as in the SQL."""
-    marked = lines.mark_boilerplate(_read(spark, sf_dir, "documents"), min_chars=12)
+    """Every document with its text free of cross-site boilerplate lines."""
+    marked = lines.mark_boilerplate(_read(spark, sf_dir, "documents"))
     return marked.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines"),
                          F.size("removed.positions").cast("long").alias("n_removed"), "removed.clean_text")
 
