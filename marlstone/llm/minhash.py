@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import quoted, text_hash
+from marlstone.llm.common import free_name, quoted, text_hash
 from marlstone.llm.components import connected_components
 from marlstone.session import write_cut
 
@@ -250,8 +250,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size:
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id; of rows alike in id and text all stay or go."""
+    """``docs`` without the documents whose component has a smaller id.
+
+    Of rows alike in id and text all stay or go; a row with a null id always stays, as nothing tells it
+    from another one.
+    """
     found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.where(F.col("doc") != F.col("component")).select(F.col("doc").alias("_gone"), F.col("th").alias("_th")).distinct()
-    rows = docs.alias("d")
-    return rows.join(gone, (F.col("d." + id_col) == F.col("_gone")) & (text_hash(F.col("d." + text_col)) == F.col("_th")), "left_anti")
+    doc, th = free_name(docs, "gone"), free_name(docs, "gone_text")
+    gone = found.where(F.col("doc") != F.col("component")).select(F.col("doc").alias(doc), F.col("th").alias(th)).distinct()
+    return docs.join(gone, (quoted(id_col) == F.col(doc)) & (text_hash(quoted(text_col)) == F.col(th)), "left_anti")

@@ -52,7 +52,7 @@ def fit_weights(labelled: DataFrame, label: str) -> list[float]:
         return [0.0 if not n else 10.0 if good else -10.0]
     fitted = LogisticRegression(featuresCol="v", labelCol=label, regParam=1e-4, maxIter=100, aggregationDepth=2).fit(
         labelled.select(array_to_vector("x").alias("v"), F.col(label).cast("double").alias(label)))
-    return [fitted.intercept, *fitted.coefficients.tolist()]
+    return [fitted.intercept, *fitted.coefficients.toArray().tolist()]
 
 
 def _strength(mean: Column, variance: Column) -> Column:
@@ -127,8 +127,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that the classifier rejects."""
+    doc, th = free_name(docs, "rejected"), free_name(docs, "rejected_text")
     rejected = (score_quality(docs, labels, id_col, text_col, **options).where(~F.col("accepted"))
-                .select(F.col("doc").alias("_rejected"), F.col("th").alias("_th")).distinct())
-    name = free_name(docs, "_th_of")
-    keyed = docs.withColumn(name, text_hash(quoted(text_col)))
-    return keyed.join(rejected, keyed[id_col].eqNullSafe(F.col("_rejected")) & (keyed[name] == F.col("_th")), "left_anti").drop(name)
+                .select(F.col("doc").alias(doc), F.col("th").alias(th)).distinct())
+    return docs.join(rejected, quoted(id_col).eqNullSafe(F.col(doc)) & (text_hash(quoted(text_col)) == F.col(th)), "left_anti")

@@ -150,3 +150,65 @@ def test_pipeline_stages_chain(spark):
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert 0 < got.select("doc_id").distinct().count() < docs.count()
+
+
+CLASHING = "doc_id long, text string, source string, lang string, _th string, gone string, gone_text string, rejected string, `a.b` string"
+
+
+def test_filters_with_clashing_and_dotted_names(spark):
+    near = "one two three four five six seven eight nine ten"
+    rows = [(2, near), (1, near), (None, near), (None, near), (3, None), (4, ""), (5, "other words that stand alone in here")]
+    df = spark.createDataFrame([(i, t, "s", "en", "x", "y", "z", "r", "d") for i, t in rows], CLASHING)
+    kept = minhash.keep_one_of_each(df)
+    assert kept.columns == df.columns and sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect()) == [(False, 0), (False, 0), (True, 1), (True, 3), (True, 4), (True, 5)]
+    dotted = df.withColumnRenamed("doc_id", "doc.id").withColumnRenamed("text", "the.text")
+    assert minhash.keep_one_of_each(dotted, "doc.id", "the.text").count() == 6
+    labels = spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, quality int")
+    assert quality.keep_accepted(df, labels).columns == df.columns
+
+
+def test_quality_posteriors_equal_the_closed_form(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, "Some good words, in a line of text." if rng.random() < (0.9 if i % 4 else 0.3) else "BAD!! JUNK!! | | | ##", f"s{min(int(rng.geometric(0.3)), 6)}") for i in range(300)]
+    df = spark.createDataFrame([(i, t, s, "en" if i % 3 else "de", "x", "y") for i, t, s in rows], SCHEMA)
+    labels = spark.createDataFrame([(i, int(t.startswith("Some"))) for i, t, _ in rows[:120]], "doc_id long, quality int")
+    got = {r["doc"]: r for r in quality.score_quality(df, labels).collect()}
+    of = [(s, "en" if i % 3 else "de") for i, _, s in rows]
+    p = np.array([got[i]["p_document"] for i in range(300)])
+    inside = lambda x: np.clip(x, quality.CLOSE, 1 - quality.CLOSE)
+    strength = lambda m, v: min(max(m * (1 - m) / max(v, 1e-9) - 1, 1.0), 1000.0)
+    hosts, paths = sorted({h for h, _ in of}), sorted(set(of))
+    hn, hs = {h: sum(o[0] == h for o in of) for h in hosts}, {h: sum(x for x, o in zip(p, of, strict=True) if o[0] == h) for h in hosts}
+    pn, ps = {q: of.count(q) for q in paths}, {q: sum(x for x, o in zip(p, of, strict=True) if o == q) for q in paths}
+    mean = inside(p.mean())
+    noise = (p * p).mean() - mean * mean
+    world = strength(mean, max(sum(hs[h] ** 2 / hn[h] for h in hosts) / 300 - mean * mean - noise * len(hosts) / 300, 0.0))
+    spread = sum((ps[q] / pn[q] - hs[q[0]] / hn[q[0]]) ** 2 * pn[q] for q in paths) / 300
+    below = strength(mean, max(spread - mean * (1 - mean) * len(paths) / 300 * 0.1, 0.0))
+    logit = lambda x: np.log(x / (1 - x))
+    for i, (h, q) in enumerate((o[0], o) for o in of):
+        host = (mean * world + hs[h] - p[i]) / (world + hn[h] - 1)
+        path = inside((host * below + ps[q] - p[i]) / (below + pn[q] - 1))
+        z = logit(p[i]) + logit(path) - logit(mean)
+        assert (got[i]["p_host"], got[i]["p_path"], got[i]["p_quality"]) == (pytest.approx(host), pytest.approx(path), pytest.approx(1 / (1 + np.exp(-z))))
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    good = lambda i: "Told at length: " + " ".join(f"word{(i * 37 + 11 * k * k) % 9973}" for k in range(30)) + "."
+    rows = [(i, good(i), f"s{i % 7}", "en") for i in range(60)] + [(60, None, None, None), (61, "", "s1", "en"), (None, good(99), "s1", None), (62, "long words " * 20_000, "s2", "en")]
+    rows += [(63, good(3), "s3", "en")] * 2
+    frame = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, source string, lang string, _th string, removed string, leak string")
+    for name, keep in (("full", True), ("empty", False)):
+        folder = f"{tmp_path}/{name}"
+        (frame if keep else frame.limit(0)).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, int(i % 9 > 0), 0) for i in range(40)] if keep else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, good(5)), (None, None)] if keep else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        docs_ = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, make in corpus_pipeline.STAGES[:-1]:
+            docs_ = make(spark, docs_, folder)
+            assert docs_.columns == frame.columns, stage
+            docs_.write.parquet(f"{folder}/{stage}")
+            docs_ = spark.read.parquet(f"{folder}/{stage}")
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs_, folder)
+        kept = {r.doc_id for r in docs_.collect()}
+        assert {r.doc_id for r in packed.collect()} == kept and (5 not in kept) and (len(kept) > 30) == keep
