@@ -145,7 +145,7 @@ def consolidate_words(c, variants: Mapping[str, str], pattern: str = WORD) -> Co
 
     Membership is a hash lookup; only a token that is a variant searches the
     map.  A table that grows with the data goes through
-    ``operators.lookup.replace_tokens``.
+    ``operators.lookup.consolidate_by_table``.
     """
     if not variants:
         return join_tokens(tokenize(c, pattern=pattern))

@@ -51,6 +51,18 @@ def replace_tokens(df: DataFrame, keys: list[str], tokens: str, table: DataFrame
     return _with_empty(regroup(hits, keys, F.coalesce("_to", "_w"), tokens), df, keys, tokens, tokens)
 
 
+def consolidate_by_table(df: DataFrame, keys: list[str], text: str, variants: DataFrame, variant: str = "variant", canonical: str = "canonical") -> DataFrame:
+    """Variants of words to their canonical form by a table of any size: (keys, text).
+
+    The form of ``text.consolidate_words`` for tables that do not fit into a
+    plan.  A variant listed twice takes its smallest form; ``keys`` identify a
+    row, a null text has no words.
+    """
+    tokens = df.select(*keys, F.coalesce(tokenize(text), F.array().cast("array<string>")).alias("_tokens"))
+    table = variants.filter(F.col(variant).isNotNull()).groupBy(variant).agg(F.min(canonical).alias(canonical))
+    return replace_tokens(tokens, keys, "_tokens", table, variant, canonical).select(*keys, F.array_join("_tokens", " ").alias(text))
+
+
 def lemmatize(df: DataFrame, keys: list[str], text: str, lemmas: DataFrame, tag: str = "n") -> DataFrame:
     """Lemma of every token by a (word, tag, lemma) table, noun unless told otherwise."""
     tokens = df.select(*keys, tokenize(text).alias("_tokens"))

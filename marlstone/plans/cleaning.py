@@ -136,6 +136,24 @@ def tagged(spark, sf_dir):
         f"transform(ws, w -> named_struct('word', w, 'tag', {_TAG.format(w='w')}))").alias("tagged"))
 
 
+# Every word of the corpus whose end -ed or -ing leaves another word of it is a variant of that.
+_VARIANT_TABLE = f"""words AS (SELECT DISTINCT unnest({S.tokens('text')}) AS word FROM documents),
+variants AS (SELECT a.word, min(b.word) AS canonical FROM words b, (VALUES ('ed'), ('ing')) AS e(ending) JOIN words a ON a.word = b.word || e.ending GROUP BY a.word)"""
+
+
+@query("consolidate_by_table", f"""
+WITH {_VARIANT_TABLE}, t AS (SELECT doc_id, {S.tokens('text')} AS ws FROM documents),
+p AS (SELECT doc_id, i, ws[i] AS word FROM t, unnest(range(1, len(ws) + 1)) AS r(i)),
+j AS (SELECT doc_id, i, coalesce(canonical, p.word) AS w FROM p LEFT JOIN variants USING (word))
+SELECT d.doc_id, coalesce(string_agg(w, ' ' ORDER BY i), '') AS consolidated
+FROM documents d LEFT JOIN j USING (doc_id) GROUP BY d.doc_id""")
+def consolidate_by_table(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(t.tokenize("text")).alias("word")).distinct()
+    longer = words.select(F.col("word").alias("canonical"), F.explode(F.array(*[F.concat("word", F.lit(e)) for e in ("ed", "ing")])).alias("word"))
+    variants = longer.join(words, "word", "left_semi").withColumnRenamed("word", "variant")
+    return lookup.consolidate_by_table(docs(spark, sf_dir, "text"), ["doc_id"], "text", variants).withColumnRenamed("text", "consolidated")
+
+
 # Nouns lose an s, verbs an ed, where the shorter word is one of the corpus.
 _TAGGED_LEMMAS = f"""words AS (SELECT DISTINCT unnest({S.tokens('text')}) AS word FROM documents),
 lemmas AS (SELECT a.word, e.tag, b.word AS lemma FROM words b, (VALUES ('n', 's'), ('v', 'ed')) AS e(tag, ending) JOIN words a ON a.word = b.word || e.ending)"""

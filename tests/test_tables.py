@@ -205,3 +205,21 @@ def test_terms_are_not_worked_out_in_the_scan(spark, tmp_path):
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "regexp_extract_all" in line]
     assert {(r.term, r["count"]) for r in counts.collect()} == {("bb", 2), ("cc", 1), ("bb bb", 1), ("bb cc", 1)}
+
+
+def test_a_hundred_thousand_variants(spark):
+    """A table far too long for a plan gives what a plain dictionary gives."""
+    variants = spark.range(100_000).select(F.concat(F.lit("v"), "id").alias("variant"), F.concat(F.lit("c"), (F.col("id") / 10).cast("int")).alias("canonical"))
+    variants = variants.unionByName(spark.createDataFrame([("v5", "b"), (None, "x")], "variant string, canonical string"))
+    df = spark.createDataFrame([(1, "V5 v99999 other v5"), (2, ""), (3, None), (4, "v12 " * 3000)], "id int, text string")
+    got = {r.id: r.text for r in lookup.consolidate_by_table(df, ["id"], "text", variants).collect()}
+    assert got == {1: "b c9999 other b", 2: "", 3: "", 4: " ".join(["c1"] * 3000)}
+
+
+def test_lemmas_in_place_and_default_tag(spark):
+    lemmas = spark.createDataFrame([("cats", "n", "cat"), ("ran", "v", "run")], "word string, tag string, lemma string")
+    df = spark.createDataFrame([(1, "Cats ran", "x"), (2, None, "y"), (3, "", "z")], "id int, text string, other string")
+    got = {r.id: (r.text, r.other) for r in lookup.lemmatize_in_place(df, "id", "text", lemmas).collect()}
+    assert got == {1: ("cat ran", "x"), 2: (None, "y"), 3: ("", "z")}
+    tagged = spark.sql("SELECT 1 AS id, array(named_struct('word', 'ran', 'tag', 'v'), named_struct('word', 'cats', 'tag', CAST(NULL AS STRING))) AS a")
+    assert lookup.lemmatize_tagged(tagged, ["id"], "a", lemmas, "n").first().a == ["run", "cat"]
