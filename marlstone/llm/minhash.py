@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -22,11 +24,14 @@ ROWS = 4
 FIRST_PIVOTS = 16
 # Counters of shingle frequencies that go to the driver and all tasks, whatever the input: collisions blur the order, not the result.
 COUNTERS = 1 << 18
+# Words of 64 bits in the parity bitmap of a set.
+PARITY = tuple(f"b{i}" for i in range(8))
 
 # Odd multipliers (fixed values): two for each of the two permutations of the 32-bit numbers, one for word positions.
 _SIGMA = (np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 _PI = (np.uint32(0x7FEB352D), np.uint32(0x846CA68B))
 _STEP = 0x9E3779B97F4A7C15
+_PARITY = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -71,6 +76,17 @@ def band_columns(coordinates: int = COORDINATES, rows: int = ROWS) -> np.ndarray
     return np.concatenate([straight, np.arange(coordinates).reshape(rows, -1).T])
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """A bitmap of the set, one bit for each cell that holds an odd number of its members.
+
+    Every bit in which two bitmaps differ needs a member that only one of the sets has, so the number of
+    such bits is never above the size of the symmetric difference.
+    """
+    cells = len(PARITY) * 64
+    at = ((shingles ^ (shingles >> np.uint64(32))) * _PARITY >> np.uint64(64 - cells.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=cells).astype(np.uint8) & 1).view(np.int64)
+
+
 def _sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(doc, th, n, key, bands): size and 128-bit digest of the shingle set, and the keys of its bands."""
     columns = band_columns()
@@ -128,12 +144,13 @@ def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _prefix_buckets(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(band, s, n, at): the buckets of several components dealt anew, by the rarest shingles of their members.
+    """(band, s, n, at, parity): the buckets of several components dealt anew, by the rarest shingles of their members.
 
     Of two sets as similar as asked, the rarest n - ceil(n * percent / 100) + 1 shingles of each share
     one, in whatever order all sets have in common.  Here that is the order of the frequency among these
     members, so texts that share a common passage only, as frequent as it may be, come apart.  ``n`` is the
-    size of the set and ``at`` the place of the shingle in its order.
+    size of the set and ``at`` the place of the shingle in its order; the words of the set's parity bitmap
+    are columns of their own.
     """
     parted = _placed(members, roots).groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("a") != F.col("b")).select("band")
     parted_sets = write_cut(sets.join(members.join(parted, "band", "left_semi").select("s").distinct(), "s", "left_semi").select("s", "hashes"), "open-sets")
@@ -156,23 +173,24 @@ def _prefix_buckets(members: DataFrame, roots: DataFrame, sets: DataFrame, perce
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                columns = [[np.empty(0, np.int64)] for _ in range(4)]
+                columns = [[np.empty(0, np.int64)] for _ in range(4 + len(PARITY))]
                 for s, hashes in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     h = np.frombuffer(hashes, np.uint64)
                     first = np.lexsort((h, shared.value[(h % np.uint64(COUNTERS)).astype(np.int64)]))[:len(h) + (-len(h) * percent) // 100 + 1]
-                    for column, values in zip(columns, (h[first].view(np.int64), np.full(len(first), s), np.full(len(first), len(h)), np.arange(len(first))), strict=True):
+                    per_set = [np.full(len(first), x) for x in (s, len(h), *parity(h))]
+                    for column, values in zip(columns, (h[first].view(np.int64), np.arange(len(first)), *per_set), strict=True):
                         column.append(values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["band", "s", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["band", "at", "s", "n", *PARITY])
 
-    keyed = write_cut(parted_sets.mapInArrow(rarest, "band long, s long, n long, at long"), "rarest-shingles")
+    keyed = write_cut(parted_sets.mapInArrow(rarest, ", ".join(f"{c} long" for c in ("band", "at", "s", "n", *PARITY))), "rarest-shingles")
     several = keyed.groupBy("band").agg(F.min("s").alias("a"), F.max("s").alias("b")).where(F.col("a") != F.col("b")).select("band")
     return keyed.join(several, "band", "left_semi")
 
 
 def _across(members: DataFrame, roots: DataFrame, done: DataFrame, pivots: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pivots and pairs still to be tried: in buckets of several components, pivots outside the largest one with all members of other
-    components, where size and place allow for enough in common if this is the first shingle they share; and the members of these
-    buckets, the only ones that later rounds need."""
+    components, where size and place allow for enough in common if this is the first shingle they share, and the parity bitmaps for a
+    symmetric difference that is small enough; and the members of these buckets, the only ones that later rounds need."""
     placed = _placed(members, roots)
     parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
     largest = parts.groupBy("band").agg(F.max(F.struct("size", "root")).alias("top"), F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1)
@@ -180,9 +198,11 @@ def _across(members: DataFrame, roots: DataFrame, done: DataFrame, pivots: int,
     rest = open_rows.where(F.col("root") != F.col("top")).join(done, ["band", "s"], "left_anti")
     order = Window.partitionBy("band").orderBy(F.xxhash64("s"), "s")
     chosen = write_cut(rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots)
-                       .select("band", F.col("s").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"), F.col("at").alias("p_at")), "pivots")
+                       .select("band", F.col("s").alias("p"), F.col("root").alias("p_root"), *[F.col(c).alias(f"p_{c}") for c in ("n", "at", *PARITY)]), "pivots")
     enough = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("p_n") - F.col("p_at")) >= percent * (F.col("n") + F.col("p_n"))
-    pairs = (open_rows.join(chosen, "band").where((F.col("root") != F.col("p_root")) & enough)
+    apart = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"p_{c}"))) for c in PARITY])
+    near = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("p_n"))
+    pairs = (open_rows.join(chosen, "band").where((F.col("root") != F.col("p_root")) & enough & near)
              .select(F.greatest("s", "p").alias("u"), F.least("s", "p").alias("v")).distinct())
     return chosen, pairs, open_rows.select(members.columns)
 
@@ -197,6 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     always share one.  There, members outside a bucket's largest component, in rounds of 16 times as
     many each, are compared with all members of other components until none is left: no two similar
     members of a bucket that are not yet connected stay untried, while connected ones are never paired.
+    Size, place and a parity bitmap rule pairs out by bounds that no similar pair breaks.
     Every link is confirmed on the full sets.  A pair at the threshold shares no bucket with probability
     of about 9e-5.
 
