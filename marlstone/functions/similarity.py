@@ -95,56 +95,141 @@ def _transposition_distance(a: str, b: str) -> int:
     return int(previous[-1])
 
 
-def _jaro_winkler(a: str, b: str, boost_above: float = 0.7) -> float:
-    """Published formula; the common-prefix boost applies above 0.7 only."""
-    if not a and not b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    window = max(max(len(a), len(b)) // 2 - 1, 0)
-    places: dict[str, list[int]] = {}
-    for j, ch in enumerate(b):
-        places.setdefault(ch, []).append(j)
-    cursor = dict.fromkeys(places, 0)
-    taken_a, taken_b = [], []
-    for i, ch in enumerate(a):
-        spots = places.get(ch)
-        if spots is None:
+# Table cells of the pairs that are compared together; a pair with more is compared by rows of its own table.
+CELLS = 1 << 21
+
+
+def _letters(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts in a row, where each text starts, and its length."""
+    size = texts.str.len().to_numpy(np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    return codes, np.cumsum(size) - size, size
+
+
+def _spread(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ``size`` items of each pair: the pair of every item, and its place there."""
+    pair = np.repeat(np.arange(len(size)), size)
+    return pair, np.arange(len(pair)) - (np.cumsum(size) - size)[pair]
+
+
+def _equal_run(a: np.ndarray, start_a: np.ndarray, b: np.ndarray, start_b: np.ndarray, size: np.ndarray, step: int) -> np.ndarray:
+    """How many letters of each pair are equal before the first other one, up to ``size``, going on by ``step``."""
+    pair, at = _spread(size)
+    other = np.flatnonzero(a[start_a[pair] + step * at] != b[start_b[pair] + step * at])
+    pairs, first = np.unique(pair[other], return_index=True)
+    run = size.copy()
+    run[pairs] = at[other[first]]
+    return run
+
+
+def _distance_tables(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Distances of pairs of padded rows, a row of all their tables at a time."""
+    n, m = a.shape[1], b.shape[1]
+    pairs, columns = np.arange(len(a)), np.arange(m + 1, dtype=np.int32)
+    table = np.empty((n + 1, len(a), m + 1), np.int32)
+    table[0] = columns
+    seen = np.zeros((len(a), m), np.int32)                       # last row whose letter is that of the column
+    for i in range(1, n + 1):
+        equal = b == a[:, i - 1, None]
+        row = table[i]
+        row[:, 0] = i
+        np.minimum(table[i - 1, :, 1:] + 1, table[i - 1, :, :-1] + ~equal, out=row[:, 1:])
+        # last column before j that holds this row's letter
+        before = np.zeros((len(a), m), np.int32)
+        np.maximum.accumulate(np.where(equal, columns[1:], 0)[:, :-1], axis=1, out=before[:, 1:])
+        p, j = np.nonzero((before > 0) & (seen > 0))
+        k, l = seen[p, j], before[p, j]
+        row[p, j + 1] = np.minimum(row[p, j + 1], table[k - 1, p, l - 1] + (i - k) + (j - l))
+        row -= columns
+        np.minimum.accumulate(row, axis=1, out=row)
+        row += columns
+        seen[equal] = i
+    return table[size_a, pairs, size_b]
+
+
+def _transposition_distances(x: pd.Series, y: pd.Series) -> np.ndarray:
+    """Distances of all pairs: equal ends cut off, pairs of like size compared together."""
+    a, start_a, size_a = _letters(x)
+    b, start_b, size_b = _letters(y)
+    head = _equal_run(a, start_a, b, start_b, np.minimum(size_a, size_b), 1)
+    tail = _equal_run(a, start_a + size_a - 1, b, start_b + size_b - 1, np.minimum(size_a, size_b) - head, -1)
+    start_a, size_a, start_b, size_b = start_a + head, size_a - head - tail, start_b + head, size_b - head - tail
+    out = size_a + size_b
+    left = np.flatnonzero((size_a > 0) & (size_b > 0))
+    left = left[np.lexsort((size_b[left], size_a[left]))]
+    while len(left):
+        # Sizes of the first k pairs padded to the largest among them.
+        cells = (np.maximum.accumulate(size_a[left]) + 1) * (np.maximum.accumulate(size_b[left]) + 1) * np.arange(1, len(left) + 1)
+        now, left = np.split(left, [max(1, int(np.searchsorted(cells, CELLS, "right")))])
+        if cells[0] > CELLS:
+            i = now[0]
+            out[i] = _transposition_distance(x.iloc[i][head[i]:head[i] + size_a[i]], y.iloc[i][head[i]:head[i] + size_b[i]])
             continue
-        p = cursor[ch]
-        while p < len(spots) and spots[p] < i - window:
-            p += 1
-        if p < len(spots) and spots[p] <= i + window:
-            taken_a.append(ch)
-            taken_b.append(spots[p])
-            p += 1
-        cursor[ch] = p
-    m = len(taken_a)
-    if m == 0:
-        return 0.0
-    taken_b.sort()
-    half = sum(x != b[j] for x, j in zip(taken_a, taken_b)) // 2
-    score = (m / len(a) + m / len(b) + (m - half) / m) / 3
-    if score > boost_above:
-        prefix = 0
-        for x, y in zip(a[:4], b[:4]):
-            if x != y:
-                break
-            prefix += 1
-        score += prefix * 0.1 * (1 - score)
-    return score
+        padded = []
+        for codes, start, size, filler in ((a, start_a[now], size_a[now], -1), (b, start_b[now], size_b[now], -2)):
+            rows = np.full((len(now), size.max()), filler, np.int64)
+            pair, at = _spread(size)
+            rows[pair, at] = codes[start[pair] + at]
+            padded += [rows, size]
+        out[now] = _distance_tables(*padded)
+    return out
+
+
+def _jaro_winklers(x: pd.Series, y: pd.Series, boost_above: float = 0.7) -> np.ndarray:
+    """Published formula; the common-prefix boost applies above 0.7 only.
+
+    A letter matches the first free equal one within the window, so every letter of a pair is a matter of its own: the
+    places of all letters of all pairs are sorted, and the first, second, ... occurrences are matched together.
+    """
+    a, start_a, size_a = _letters(x)
+    b, start_b, size_b = _letters(y)
+    pair_a, at_a = _spread(size_a)
+    pair_b, at_b = _spread(size_b)
+    window = np.maximum(np.maximum(size_a, size_b) // 2 - 1, 0)
+    order = np.argsort(pair_b << 21 | b, kind="stable")
+    keys, first, count = np.unique((pair_b << 21 | b)[order], return_index=True, return_counts=True)
+    length = max(int(size_b.max(initial=0)), int(size_a.max(initial=0))) + 1
+    places = np.repeat(np.arange(len(keys)), count) * length + at_b[order]
+    cursor, end = first.copy(), first + count
+    # Letters of ``a`` that ``b`` has too, by how often the letter stood before them.
+    mine = pair_a << 21 | a
+    order_a = np.argsort(mine, kind="stable")
+    _, begin, times = np.unique(mine[order_a], return_index=True, return_counts=True)
+    rank = np.arange(len(mine)) - np.repeat(begin, times)
+    group = np.searchsorted(keys, mine[order_a])
+    known = np.append(keys, -1)[group] == mine[order_a]
+    rank, group, letter = rank[known], group[known], order_a[known]
+    by_rank = np.argsort(rank, kind="stable")
+    matched_a, matched_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for turn in np.split(by_rank, np.cumsum(np.bincount(rank))[:-1]) if len(rank) else ():
+        g, i = group[turn], letter[turn]
+        reach = window[pair_a[i]]
+        at = np.maximum(cursor[g], np.searchsorted(places, g * length + np.maximum(at_a[i] - reach, 0)))
+        near = at < end[g]
+        near[near] = places[at[near]] - g[near] * length <= at_a[i[near]] + reach[near]
+        cursor[g] = at + near
+        matched_a.append(i[near])
+        matched_b.append(order[at[near]])
+    taken_a, taken_b = np.sort(np.concatenate(matched_a)), np.sort(np.concatenate(matched_b))
+    m = np.bincount(pair_a[taken_a], minlength=len(x))
+    half = np.bincount(pair_a[taken_a], a[taken_a] != b[taken_b], minlength=len(x)).astype(np.int64) // 2
+    some = np.maximum(m, 1)
+    score = np.where(m > 0, (m / np.maximum(size_a, 1) + m / np.maximum(size_b, 1) + (m - half) / some) / 3, 0.0)
+    prefix = _equal_run(a, start_a, b, start_b, np.minimum(np.minimum(size_a, size_b), 4), 1)
+    score = np.where(score > boost_above, score + prefix * 0.1 * (1 - score), score)
+    return np.where((size_a == 0) & (size_b == 0), 1.0, score)
 
 
 def transposition_distance(a, b) -> Column:
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_transposition_distance(p or "", q or "") for p, q in zip(x, y)], dtype="int32")
+        return pd.Series(_transposition_distances(x.fillna(""), y.fillna("")), dtype="int32")
 
     return F.pandas_udf(score, "int")(_col(a), _col(b))
 
 
 def jaro_winkler(a, b) -> Column:
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_jaro_winkler(p or "", q or "") for p, q in zip(x, y)], dtype="float64")
+        return pd.Series(_jaro_winklers(x.fillna(""), y.fillna("")), dtype="float64")
 
     return F.pandas_udf(score, "double")(_col(a), _col(b))
 

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,39 @@ def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(v.cosine("a", "b")).collect()] == [pytest.approx(0.96), 0.0]
     assert [r[0] for r in df.select(v.l2_normalize("a")).collect()] == [[0.6, 0.8], [0.0, 0.0]]
+
+
+def test_edit_distances_of_many_pairs_at_once(monkeypatch):
+    """Equal ends, letters outside the first plane, empty texts, and pairs too large for a common table."""
+    rng = random.Random(8)
+    rows = []
+    for alphabet, size in (("ab", 5), ("abc é😀", 25), ("abcdefgh ", 60)):
+        for _ in range(120):
+            a = "".join(rng.choice(alphabet) for _ in range(rng.randrange(size)))
+            cut, edit = rng.randrange(len(a) + 1), "".join(rng.choice(alphabet) for _ in range(rng.randrange(4)))
+            rows.append((a, a[:cut] + edit + a[cut + rng.randrange(3):]) if rng.random() < 0.5 else (a, a[::-1]))
+    x, y = (pd.Series(c) for c in zip(*rows))
+    want = [_distance(a, b) for a, b in rows]
+    assert sim._transposition_distances(x, y).tolist() == want
+    monkeypatch.setattr(sim, "CELLS", 900)
+    assert sim._transposition_distances(x, y).tolist() == want
+    assert sim._jaro_winklers(x, y).tolist() == pytest.approx([_jaro_winkler(a, b) for a, b in rows], abs=1e-12)
+
+
+def _jaro_winkler(a, b):
+    """The published formula, letter by letter."""
+    if not a or not b:
+        return float(a == b)
+    window, free, mine = max(max(len(a), len(b)) // 2 - 1, 0), set(range(len(b))), []
+    for i, ch in enumerate(a):
+        spot = next((j for j in range(max(0, i - window), min(len(b), i + window + 1)) if j in free and b[j] == ch), None)
+        if spot is not None:
+            free.remove(spot)
+            mine.append(ch)
+    if not mine:
+        return 0.0
+    theirs = [ch for j, ch in enumerate(b) if j not in free]
+    m, half = len(mine), sum(p != q for p, q in zip(mine, theirs)) // 2
+    score = (m / len(a) + m / len(b) + (m - half) / m) / 3
+    prefix = next((k for k in range(min(4, len(a), len(b))) if a[k] != b[k]), min(4, len(a), len(b)))
+    return score + prefix * 0.1 * (1 - score) if score > 0.7 else score
