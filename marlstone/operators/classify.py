@@ -10,15 +10,19 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import write_cut
+from .matrix import partition_sums
 from .metrics import macro_f1
+from .onevsrest import newton
 
 
 DEEPEST = 30
@@ -135,20 +139,45 @@ class PlattCalibration:
 
     def __init__(self, parameters: dict[int, tuple[float, float]]):
         self.parameters = parameters
+        self.gradient = None            # norms where a fit ended, as shares of those at its start
 
     @classmethod
-    def fit(cls, scored: DataFrame, classes: Sequence[int], label: str = "label", name: str = "scores") -> PlattCalibration:
-        long = scored.select(label, F.explode(name).alias("x")).select(label, "x.class", "x.score").persist()
-        parameters = {}
-        try:
-            for c in classes:
-                rows = long.filter(F.col("class") == c).select(
-                    array_to_vector(F.array("score")).alias("features"), (F.col(label) == c).cast("double").alias("label"))
-                model = LogisticRegression(maxIter=100, regParam=0.0, family="binomial").fit(rows)
-                parameters[c] = (float(model.coefficients[0]), float(model.intercept))
-        finally:
-            long.unpersist()
-        return cls(parameters)
+    def fit(cls, scored: DataFrame, classes: Sequence[int], label: str = "label", name: str = "scores", tolerance: float = 1e-8,
+            max_rounds: int = 100) -> PlattCalibration:
+        """All classes in the same passes.  The targets are Platt's, (p + 1) / (p + 2) and 1 / (n + 2) for p rows of the class and n
+        others, so separable scores have a finite fit.  A row without a class's score does not count for that class."""
+        of = F.map_from_entries(F.transform(name, lambda x: F.struct(x["class"], x["score"])))
+        rows = write_cut(scored.where(F.col(label).isNotNull()).select(
+            F.transform(F.array(*[F.try_element_at(of, F.lit(c)) for c in classes]), lambda x: F.coalesce(x, F.lit(float("nan")))).alias("x"),
+            F.array(F.col(label).cast("double")).alias("y")), "calibration")
+        names, k = np.array(classes, float), len(classes)
+
+        def count(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            there = ~np.isnan(x)
+            return np.concatenate([(there & (y == names)).sum(axis=0), there.sum(axis=0)]).astype(float)
+
+        counts = partition_sums(rows, "x", ["y"], count)
+        if not len(counts):
+            return cls({c: (0.0, 0.0) for c in classes})
+        own, every = np.split(counts, 2)
+        high, low = (own + 1) / (own + 2), 1 / (every - own + 2)
+
+        def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            def fn(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                there = ~np.isnan(x)
+                x = np.where(there, x, 0.0)
+                z = x * w[:, 0] + w[:, 1]
+                target, p = np.where(y == names, high, low), 0.5 * (1 + np.tanh(z / 2))
+                terms = [np.logaddexp(0, z) - target * z, (p - target) * x, p - target, p * (1 - p) * x * x, p * (1 - p) * x, p * (1 - p)]
+                return np.concatenate([(t * there).sum(axis=0) for t in terms])
+
+            value, gx, g1, hxx, hx, h1 = np.split(partition_sums(rows, "x", ["y"], fn), 6)
+            return value, np.column_stack([gx, g1]), np.stack([np.column_stack([hxx, hx]), np.column_stack([hx, h1])], axis=1)
+
+        w, gradient, _ = newton(sums, np.zeros((k, 2)), tolerance, max_rounds)
+        found = cls({c: (float(a), float(b)) for c, (a, b) in zip(classes, w)})
+        found.gradient = gradient
+        return found
 
     def apply(self, scored: DataFrame, name: str = "scores", probs: str = "probs") -> DataFrame:
         slope = F.create_map(*[F.lit(v) for c, (a, _) in self.parameters.items() for v in (c, a)])

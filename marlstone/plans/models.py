@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import classify as cl
 from ..operators import embeddings as emb
-from ..operators import metrics, mixture, openset, reduction, sampling
+from ..operators import metrics, mixture, onevsrest, openset, reduction, sampling
 from ..session import write_cut
 from .catalog import query, table
 from .classification import UNSEEN, embeddings
@@ -121,23 +121,59 @@ def score_submission(spark, sf_dir):
 # -- open-set classifiers -----------------------------------------------------------
 
 
-def margins(spark, sf_dir, estimator=None):
+def margins(spark, sf_dir, loss="squared_hinge"):
     """One-vs-rest models on the seen training rows: (validation, test) raw scores."""
-    train, valid, test = parts(spark, sf_dir)
-    models = cl.OneVsRestScores.fit(estimator or cl.linear_svm(), train, CLASSES)
+    _, valid, test = parts(spark, sf_dir)
+    models = fitted_margins(spark, sf_dir, loss)
     keep = ("vec_id", "label")
     return models.scores(openset.seen_only(valid, "label", UNSEEN), keep), models.scores(test, keep)
 
 
+def fitted_margins(spark, sf_dir, loss):
+    train, _, _ = parts(spark, sf_dir)
+    return onevsrest.fit_one_vs_rest(train, CLASSES, loss)
+
+
+# A fit has ended where its gradient is nil next to that at zero weights.
+_FITS = f"""
+WITH seen AS (SELECT label FROM embeddings WHERE label NOT IN {UNSEEN}
+  AND ('0x' || substr(md5(vec_id::VARCHAR || ':10'), 1, 8))::BIGINT / 4294967296.0 < 0.8
+  AND ('0x' || substr(md5(vec_id::VARCHAR || ':11'), 1, 8))::BIGINT / 4294967296.0 < 0.8)
+SELECT loss, class, 0.0::DOUBLE AS gradient, count(label) AS n, count(*) FILTER (label = class) AS positives
+FROM (VALUES ('logistic'), ('squared_hinge')) AS l(loss), (SELECT unnest({list(CLASSES)}) AS class), seen GROUP BY 1, 2"""
+
+
+@query("one_vs_rest_fits", _FITS)
+def one_vs_rest_fits(spark, sf_dir):
+    """Rows each class was fitted on, and the gradient where its fit ended as a share of the first one."""
+    rows = []
+    for loss in onevsrest.LOSSES:
+        m = fitted_margins(spark, sf_dir, loss)
+        rows += [(loss, c, abs(round(float(g), 6)), m.n, int(p)) for c, g, p in zip(m.classes, m.gradient, m.positives)]
+    return spark.createDataFrame(rows, "loss string, class int, gradient double, n long, positives long")
+
+
+# The slope of a logistic line has the sign of the covariance of margin and target.
+@query("platt_fits", f"SELECT unnest({list(CLASSES)}) AS class, 0.0::DOUBLE AS gradient, TRUE AS same_sign")
+def platt_fits(spark, sf_dir):
+    """Where the calibration of each class ended, and its slope beside the covariance of margins and labels."""
+    valid, _ = margins(spark, sf_dir)
+    fit = cl.PlattCalibration.fit(valid, CLASSES)
+    ends = spark.createDataFrame([(c, abs(round(float(g), 6)), fit.parameters[c][0]) for c, g in zip(CLASSES, fit.gradient)],
+                                 "class int, gradient double, slope double")
+    rows = valid.select("label", F.explode("scores").alias("x"))
+    together = rows.groupBy(F.col("x.class").alias("class")).agg(
+        F.covar_pop("x.score", (F.col("label") == F.col("x.class")).cast("double")).alias("covariance"))
+    return ends.join(together, "class").select("class", "gradient", (F.signum("slope") == F.signum("covariance")).alias("same_sign"))
+
+
 def _long(df):
     return df.select("vec_id", "label", F.explode("probs").alias("x")).select("vec_id", "label", "x.*")
 
 
 @query("one_vs_rest")
 def one_vs_rest(spark, sf_dir):
-    from pyspark.ml.classification import LogisticRegression
-
-    _, test = margins(spark, sf_dir, LogisticRegression(regParam=0.01, maxIter=100, tol=cl.TOLERANCE))
+    _, test = margins(spark, sf_dir, "logistic")
     return _long(cl.sigmoid_probabilities(test))
 
 

@@ -10,7 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from marlstone.operators import classify as cl
-from marlstone.operators import metrics, mixture, reduction
+from marlstone.operators import metrics, mixture, onevsrest, reduction
 
 
 @pytest.fixture(scope="module")
@@ -132,3 +132,39 @@ def test_searches_try_all_settings(spark, name, settings):
         pytest.skip("no test tables here")
     rows = contract.queries()[name](spark, "/root/testdata/sf0.001").collect()
     assert len({r["setting"] for r in rows}) == settings
+
+
+@pytest.mark.parametrize("loss", onevsrest.LOSSES)
+def test_one_vs_rest_in_shared_scans(blobs, spark, loss):
+    df, x, label = blobs
+    odd = spark.createDataFrame([(900, None, [1.0, 2.0, 3.0]), (901, 1, None), (902, 1, [float("nan"), 0.0, 0.0]), (903, 1, [None, 0.0, 0.0])],
+                                "id int, label int, vec array<double>")
+    m = onevsrest.fit_one_vs_rest(df.unionByName(odd), [0, 1, 2, 7], loss, c=0.5)
+    assert m.n == 240 and m.positives.tolist() == [*np.bincount(label), 0] and m.rounds < 60
+    full = np.column_stack([x, np.ones(240)])
+    for j, c in enumerate([0, 1, 2]):
+        sign = np.where(label == c, 1, -1)
+        margin = sign * (full @ m.weights[j])
+        slope = -1 / (1 + np.exp(margin)) if loss == "logistic" else -2 * np.maximum(0, 1 - margin)
+        gradient = 0.5 * ((slope * sign)[:, None] * full).sum(axis=0) + m.weights[j] * [1, 1, 1, 0]
+        assert np.abs(gradient).max() < 1e-4
+    assert m.gradient[:3].max() < 1e-7
+    got = {r.id: [s.score for s in r.scores] for r in m.scores(df, ["id"]).collect()}
+    ids = [r.id for r in df.select("id").collect()]
+    assert np.array([got[i] for i in sorted(ids)])[:, :3] == pytest.approx((full @ m.weights.T)[:, :3])
+    assert np.mean(np.argmax([got[i] for i in sorted(ids)], axis=1) == label) > 0.95
+    assert onevsrest.fit_one_vs_rest(df.limit(0), [0, 1], loss).weights.shape == (2, 1)
+    with pytest.raises(ValueError):
+        onevsrest.fit_one_vs_rest(df, [0], "other")
+
+
+def test_calibration_of_separable_scores_is_finite(spark):
+    rows = [(i, float(i % 2), [(0, float(i % 2) * 4 - 2), (1, 2 - float(i % 2) * 4)] if i < 30 else [(0, 1.0)]) for i in range(31)]
+    df = spark.createDataFrame(rows, "id int, label double, scores array<struct<class: int, score: double>>")
+    fit = cl.PlattCalibration.fit(df, [0, 1])
+    assert fit.gradient.max() < 1e-7
+    a, b = fit.parameters[1]
+    # All rows of a side have one score, so the fit meets both targets.
+    for score, target in ((2.0, 1 / 17), (-2.0, 16 / 17)):
+        assert 1 / (1 + math.exp(-(a * score + b))) == pytest.approx(target if a < 0 else 1 - target, abs=1e-6)
+    assert cl.PlattCalibration.fit(df.limit(0), [0, 1]).parameters == {0: (0.0, 0.0), 1: (0.0, 0.0)}
