@@ -13,10 +13,13 @@ from ..session import write_cut
 from .catalog import query, table
 from .classification import UNSEEN, embeddings
 from .question_pairs import pair_matrix
+from .sql import cleaned, tokens
 
 SIZE = 64
 CLASSES = tuple(c for c in range(10) if c not in UNSEEN)
 PERCENTILE = 90
+# Share from which the occurrences of a word are thinned out before word vectors are trained.
+SAMPLE = 0.001
 
 
 def split_embeddings(spark, sf_dir):
@@ -39,8 +42,25 @@ def word_vectors(spark, sf_dir):
 
 
 def fitted_words(spark, sf_dir):
+    return emb.fit_word_vectors(thinned(spark, sf_dir), "tokens", size=100, min_count=20, window=10, iterations=5)
+
+
+def thinned(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", t.tokenize(t.clean_text("text")).alias("tokens"))
-    return emb.fit_word_vectors(docs, "tokens", size=100, min_count=20, window=10, iterations=5)
+    return emb.thin_frequent(docs, "doc_id", "tokens", SAMPLE)
+
+
+@query("thin_frequent_words", f"""
+WITH t AS (SELECT doc_id, {tokens(cleaned("text"))} AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM t),
+f AS (SELECT word, count(*) / (SELECT count(*) FROM u)::DOUBLE AS f FROM u GROUP BY word),
+p AS (SELECT word, (sqrt(f / {SAMPLE}) + 1) * ({SAMPLE} / f) AS keep FROM f),
+k AS (SELECT doc_id, i, word FROM u JOIN p USING (word) WHERE keep >= 1
+  OR ('0x' || substr(md5(doc_id::VARCHAR || ':' || i::VARCHAR || ':1'), 1, 8))::BIGINT / 4294967296.0 < keep)
+SELECT t.doc_id, coalesce(string_agg(word, ' ' ORDER BY i), '') AS tokens FROM t LEFT JOIN k USING (doc_id) GROUP BY t.doc_id""")
+def thin_frequent_words(spark, sf_dir):
+    """What word vectors are trained on: documents with frequent words thinned out."""
+    return thinned(spark, sf_dir).select("doc_id", F.coalesce(F.concat_ws(" ", "tokens"), F.lit("")).alias("tokens"))
 
 
 @query("doc_vectors")

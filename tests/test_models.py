@@ -10,6 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from marlstone.operators import classify as cl
+from marlstone.operators import embeddings as emb
 from marlstone.operators import metrics, mixture, onevsrest, reduction
 
 
@@ -168,3 +169,18 @@ def test_calibration_of_separable_scores_is_finite(spark):
     for score, target in ((2.0, 1 / 17), (-2.0, 16 / 17)):
         assert 1 / (1 + math.exp(-(a * score + b))) == pytest.approx(target if a < 0 else 1 - target, abs=1e-6)
     assert cl.PlattCalibration.fit(df.limit(0), [0, 1]).parameters == {0: (0.0, 0.0), 1: (0.0, 0.0)}
+
+
+def test_thinning_of_frequent_words(spark):
+    rows = [(i, ["the"] * 60 + [f"w{i}", "rare"]) for i in range(200)] + [(900, []), (901, None), (None, ["w1", None])]
+    df = spark.createDataFrame(rows, "doc long, tokens array<string>")
+    got = {r.doc: r.tokens for r in emb.thin_frequent(df, "doc", "tokens", 0.01).collect()}
+    n = 200 * 62 + 2 - 1
+    f = 200 * 60 / n
+    keep = ((f / 0.01) ** 0.5 + 1) * 0.01 / f
+    assert sum(t.count("the") for t in got.values() if t) == pytest.approx(keep * 12000, rel=0.1)
+    assert all(got[i][-2:] == [f"w{i}", "rare"] for i in range(200))               # 200 in 12401 are too few to go
+    assert got[900] == [] and got[901] is None and got[None] == ["w1", None]
+    again = {r.doc: r.tokens for r in emb.thin_frequent(df.repartition(5), "doc", "tokens", 0.01).collect()}
+    assert again == got and emb.thin_frequent(df.limit(0), "doc", "tokens").count() == 0
+    assert {r.doc: r.tokens for r in emb.thin_frequent(df, "doc", "tokens", 1.0).collect()} == dict(rows)
