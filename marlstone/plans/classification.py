@@ -22,10 +22,10 @@ def embeddings(spark, sf_dir):
     return table(spark, sf_dir, "embeddings")
 
 
-def scored(spark, sf_dir, scaled: bool = True):
+def scored(spark, sf_dir, scaled: bool = True, unseen=UNSEEN):
     """vec_id, label, probs over the seen classes (rounded, so ties are ties)."""
     emb = embeddings(spark, sf_dir)
-    centroids = openset.class_centroids(openset.seen_only(emb, "label", UNSEEN), "label", "embedding")
+    centroids = openset.class_centroids(openset.seen_only(emb, "label", unseen), "label", "embedding")
     probs = _rounded(openset.centroid_scores(emb, "vec_id", "label", "embedding", centroids, SHARPNESS))
     # Ranges, thresholds and decisions each read the scores: write them once.
     probs = write_cut(probs, "class-scores")
@@ -36,9 +36,9 @@ def _rounded(df):
     return df.withColumn("probs", F.transform("probs", lambda x: F.struct(x["class"].alias("class"), F.round(x["p"], 9).alias("p"))))
 
 
-def predicted(spark, sf_dir, rule="argmax"):
-    out = openset.open_set_predict(scored(spark, sf_dir), PERCENTILE, rule)
-    return out.select("vec_id", openset.relabel_unseen("label", UNSEEN).alias("label"), "prediction")
+def predicted(spark, sf_dir, rule="argmax", unseen=UNSEEN):
+    out = openset.open_set_predict(scored(spark, sf_dir, unseen=unseen), PERCENTILE, rule)
+    return out.select("vec_id", openset.relabel_unseen("label", unseen).alias("label"), "prediction")
 
 
 _U = "(0, 3)"
@@ -109,6 +109,22 @@ def sweep(spark, sf_dir):
     return openset.threshold_sweep(labelled, "label")
 
 
+# Settings with one, two and three classes that are never seen.
+SETTINGS = ("(0)", "(0, 3)", "(0, 3, 7)")
+
+
+@query("open_set_settings", " UNION ALL ".join(
+    f"SELECT * FROM (WITH {_PRED.replace(_U, u)} SELECT {n} AS unseen, label, prediction, count(*) AS n FROM pred GROUP BY 2, 3)" for n, u in enumerate(SETTINGS, 1)))
+def open_set_settings(spark, sf_dir):
+    """Decisions by true class in each setting."""
+    out = None
+    for n, classes in enumerate(((0,), (0, 3), (0, 3, 7)), 1):
+        part = predicted(spark, sf_dir, unseen=classes).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+        part = part.select(F.lit(n).alias("unseen"), "label", "prediction", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("threshold_sweep", f"""
 WITH {_SWEEP} SELECT threshold, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
   round(ratio, 6) AS ratio, CASE WHEN f1 IS NOT NULL AND ratio < 1.1 THEN 1 ELSE 0 END AS eligible FROM f""")

@@ -305,6 +305,18 @@ def recluster_unseen(spark, sf_dir):
     return out
 
 
+@query("recluster_scores")
+def recluster_scores(spark, sf_dir):
+    """How well the new clusters of each covariance type agree with the true classes."""
+    rows = write_cut(recluster_unseen(spark, sf_dir), "reclustered")
+    out = None
+    for covariance in mixture.COVARIANCES:
+        part = metrics.cluster_agreement(rows.filter(F.col("covariance") == covariance), "label", "cluster")
+        part = part.select(F.lit(covariance).alias("covariance"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("silhouette")
 def silhouette(spark, sf_dir):
     train, _, _ = latent(spark, sf_dir)
