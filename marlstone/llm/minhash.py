@@ -190,21 +190,24 @@ def _prefix_buckets(members: DataFrame, roots: DataFrame, sets: DataFrame, perce
 def _across(members: DataFrame, roots: DataFrame, done: DataFrame, pivots: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pivots and pairs still to be tried: in buckets of several components, pivots outside the largest one with all members of other
     components, where size and place allow for enough in common if this is the first shingle they share, and the parity bitmaps for a
-    symmetric difference that is small enough; and the members of these buckets, the only ones that later rounds need."""
+    symmetric difference that is small enough; and the members of the buckets that have more such members than pivots.  In the others
+    every member outside the largest component has been a pivot, so no two members are left that are neither tried nor connected."""
     placed = _placed(members, roots)
     parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
     largest = parts.groupBy("band").agg(F.max(F.struct("size", "root")).alias("top"), F.count(F.lit(1)).alias("parts")).where(F.col("parts") > 1)
     open_rows = write_cut(placed.join(largest.select("band", F.col("top.root").alias("top")), "band"), "open-buckets")
     rest = open_rows.where(F.col("root") != F.col("top")).join(done, ["band", "s"], "left_anti")
     order = Window.partitionBy("band").orderBy(F.xxhash64("s"), "s")
-    chosen = write_cut(rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots)
-                       .select("band", F.col("s").alias("p"), F.col("root").alias("p_root"), *[F.col(c).alias(f"p_{c}") for c in ("n", "at", *PARITY)]), "pivots")
+    ranked = write_cut(rest.withColumn("k", F.row_number().over(order)).where(F.col("k") <= pivots + 1), "pivots")
+    chosen = (ranked.where(F.col("k") <= pivots)
+                       .select("band", F.col("s").alias("p"), F.col("root").alias("p_root"), *[F.col(c).alias(f"p_{c}") for c in ("n", "at", *PARITY)]))
     enough = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("p_n") - F.col("p_at")) >= percent * (F.col("n") + F.col("p_n"))
     apart = reduce(add, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"p_{c}"))) for c in PARITY])
     near = (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("p_n"))
     pairs = (open_rows.join(chosen, "band").where((F.col("root") != F.col("p_root")) & enough & near)
              .select(F.greatest("s", "p").alias("u"), F.least("s", "p").alias("v")).distinct())
-    return chosen, pairs, open_rows.select(members.columns)
+    unfinished = ranked.where(F.col("k") > pivots).select("band")
+    return chosen, pairs, write_cut(open_rows.join(unfinished, "band", "left_semi").select(members.columns), "unfinished-buckets")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -238,10 +241,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(_linked(_star(members), sets, percent))
     members = write_cut(_prefix_buckets(members, roots, sets, percent), "prefix-buckets")
     done, pivots = members.select("band", "s").limit(0), FIRST_PIVOTS
-    while True:
+    while not members.isEmpty():
         chosen, pairs, members = _across(members, roots, done, pivots, percent)
-        if chosen.isEmpty():
-            break
         found = write_cut(_linked(pairs, sets, percent), "pivot-links")
         if not found.isEmpty():
             roots = connected_components(roots.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(found))
