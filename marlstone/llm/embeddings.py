@@ -18,20 +18,48 @@ MIN_COSINE = 0.93
 # One pivot for about so many distinct vectors of a label, and so many pivots of all labels at most.
 CELL_ROWS = 8192
 MAX_PIVOTS = 4096
+# Rows whose distances to all pivots a task holds at a time.
+ASSIGN_ROWS = 1024
 # Rows of a cell that one task compares with the cell's other such blocks.
 BLOCK_ROWS = 8192
 # Room for rounding in a bound that only decides where a vector is sent.
 SLACK = 1e-6
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Every row times the power of two that brings its largest component below one, so that no square over- or underflows as a whole."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def _unit(vectors: pa.ListArray) -> np.ndarray:
     width = len(vectors.flatten()) // max(len(vectors), 1)
-    x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), width).astype(np.float64)
+    x = _scaled(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), width).astype(np.float64))
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
-    """Every row with the id of its class of equal vectors, and (rep, label, v, weight) of the classes that may link.
+def _reached(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, home) of the own cell of every row and of those a partner within ``reach`` may live in.
+
+    With d(x, p) the distance to the own, nearest pivot p, a partner y of x that lives with q has
+    d(y, q) <= d(y, p) <= d(x, p) + reach, hence d(x, q) <= d(x, p) + 2 reach.  Being nearer to q than to p,
+    y lies beyond the plane halfway between them, which x is (d(x, q)^2 - d(x, p)^2) / 2 d(p, q) away from.
+    """
+    found = []
+    for at in range(0, len(x), ASSIGN_ROWS):
+        part = x[at:at + ASSIGN_ROWS]
+        square = np.maximum(2 - 2 * part @ centres.T, 0)
+        nearest = square.argmin(axis=1)
+        least = square[np.arange(len(part)), nearest][:, None]
+        between = np.sqrt(np.maximum(2 - 2 * centres[nearest] @ centres.T, 0))
+        near = (np.sqrt(square) <= np.sqrt(least) + 2 * reach + SLACK) & (square - least <= 2 * between * reach + SLACK)
+        near[np.arange(len(part)), nearest] = True
+        row, cell = np.nonzero(near)
+        found.append((row + at, cell, nearest[row] == cell))
+    return tuple(np.concatenate(column) for column in zip(*found, strict=True))
+
+
+def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, c, weight) of every row with its class of equal vectors, (id) of the rows that link with nothing, and (rep, label, v, weight) of the classes.
 
     Vectors of one label and equal components are one class named after its smallest id.
     """
@@ -42,8 +70,9 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col
     classes = write_cut(rows.where(F.col("k").isNotNull()).groupBy("k").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
                         .select(F.monotonically_increasing_id().alias("c"), "rep", F.col("k.label").alias("label"), F.col("k.v").alias("v"), F.size("k.v").alias("width"), "weight"),
                         "vector-classes")
-    member = rows.alias("r").join(classes.alias("c"), (F.col("r.k.label") == F.col("c.label")) & (F.col("r.k.v") == F.col("c.v")), "left").select("r.id", "c.c", "c.weight")
-    return member, classes
+    usable_rows = rows.where(F.col("k").isNotNull()).alias("r")
+    member = usable_rows.join(classes.alias("c"), (F.col("r.k.label") == F.col("c.label")) & (F.col("r.k.v") == F.col("c.v"))).select("r.id", "c.c", "c.weight")
+    return member, rows.where(F.col("k").isNull()).select("id"), classes
 
 
 def choose_pivots(classes: DataFrame, cell_rows: int, max_pivots: int) -> dict[tuple, np.ndarray]:
@@ -61,11 +90,7 @@ def choose_pivots(classes: DataFrame, cell_rows: int, max_pivots: int) -> dict[t
 
 
 def _assign(classes: DataFrame, pivots: dict, reach: float) -> DataFrame:
-    """(label, width, cell, home, c, v, weight): every vector in its own cell, and copied to the cells its partners may live in.
-
-    With d(x, p) the distance to the own, nearest pivot p, a partner y of x within ``reach`` that lives
-    with q has d(y, q) <= d(y, p) <= d(x, p) + reach, hence d(x, q) <= d(x, p) + 2 reach.
-    """
+    """(label, width, cell, home, c, v, weight): every vector in its own cell, and copied to the cells its partners may live in."""
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,11 +103,7 @@ def _assign(classes: DataFrame, pivots: dict, reach: float) -> DataFrame:
                 if centres is None:
                     where, cell, home = np.arange(len(rows)), np.zeros(len(rows), np.int32), np.ones(len(rows), bool)
                 else:
-                    x = _unit(part.column(3))
-                    d = np.sqrt(np.maximum(2 - 2 * x @ centres.T, 0))
-                    nearest = d.argmin(axis=1)
-                    where, cell = np.nonzero(d <= d[np.arange(len(x)), nearest][:, None] + 2 * reach + SLACK)
-                    home = nearest[where] == cell
+                    where, cell, home = _reached(_unit(part.column(3)), centres, reach)
                 part = part.take(pa.array(where))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell, pa.int32()), pa.array(home)],
                                                  names=["label", "width", "c", "v", "weight", "cell", "home"])
@@ -98,7 +119,7 @@ def _compare(pdf: pd.DataFrame, min_cosine: float) -> pd.DataFrame:
     empty = pd.DataFrame({"c": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64")})
     if not len(home) or not len(other):
         return empty
-    a, b = (np.array(p["v"].tolist(), np.float64) for p in (home, other))
+    a, b = (_scaled(np.array(p["v"].tolist(), np.float64)) for p in (home, other))
     na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
     ca, cb, weight = home["c"].to_numpy(), other["c"].to_numpy(), other["weight"].to_numpy()
     root = {int(c): int(c) for c in (*ca, *cb)}
@@ -129,7 +150,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """One row per vector: id, n_links (other vectors of its label with that cosine or more), component (smallest id reachable).
 
     Exact.  On the unit sphere a cosine is a distance, so each vector lives in the cell of its nearest pivot
-    and is copied where the triangle inequality lets a partner live; every cell is compared by itself, its
+    and is copied where the triangle inequality and the planes between pivots let a partner live; every cell is compared by itself, its
     own vectors with all in it.  A cell is cut into blocks of about ``block_rows``, which meet pair by pair
     in tasks of their own, so no cell is held whole.  Equal vectors are compared once and counted with
     their number.  Each comparison hands on counts and a spanning forest, never its pairs.
@@ -139,7 +160,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     one id count as several vectors; a null id stays null and keeps its links.  An empty table has no rows.
     Labels are integers.
     """
-    member, classes = distinct_vectors(vectors, id_col, vector_col, label_col)
+    member, alone, classes = distinct_vectors(vectors, id_col, vector_col, label_col)
     reach = float(np.sqrt(max(0.0, 2 - 2 * min_cosine)))
     placed = write_cut(_assign(classes, choose_pivots(classes, cell_rows, max_pivots), reach), "cells")
     sizes = placed.groupBy("label", "width", "cell").agg(F.count(F.lit(1)).alias("size"))
@@ -157,6 +178,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     named = named.join(smallest, "component").select(F.col("node").alias("c"), "smallest")
     known = (classes.select("c", "rep").join(links, "c", "left").join(named, "c", "left")
              .select("c", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("smallest", "rep").alias("smallest")))
-    m = member.alias("m").join(known.alias("k"), F.col("m.c") == F.col("k.c"), "left")
-    return m.select("m.id", F.coalesce(F.col("k.n") + F.col("m.weight") - 1, F.lit(0)).alias("n_links"),
-                    F.coalesce("k.smallest", "m.id").alias("component"))
+    # Rows that link with nothing stay out of the join, where they would all share the null key.
+    linked = member.alias("m").join(known.alias("k"), F.col("m.c") == F.col("k.c")).select(
+        "m.id", (F.col("k.n") + F.col("m.weight") - 1).alias("n_links"), F.col("k.smallest").alias("component"))
+    return linked.unionAll(alone.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
