@@ -1,8 +1,8 @@
 """Token look-ups against tables.
 
-Each is an equi join on the token.  No side is forced to broadcast: Spark does
-so below its own size limit, and above it AQE splits the hot tokens' partitions.
-Tokens travel with their position and are put back per row key.
+Replacements go by blocks of rows (``blocks``): a block gets the entries its
+tokens need, the tokens stay in their row.  The others are an equi join on the
+token; tokens travel with their position and are put back per row key.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import UNKNOWN, canonical_digits, tokenize
+from .blocks import look_up
 
 
 def positions(df: DataFrame, keys: list[str], tokens: str, word: str = "word") -> DataFrame:
@@ -29,12 +30,6 @@ def regroup(df: DataFrame, keys: list[str], value: Column | str, name: str) -> D
     return df.groupBy(*keys).agg(items.getField("v").alias(name))
 
 
-def _with_empty(result: DataFrame, df: DataFrame, keys: list[str], tokens: str, name: str) -> DataFrame:
-    """Rows without tokens have no exploded row; they keep an empty array."""
-    empty = df.filter(F.size(tokens) <= 0).select(*keys, F.array().cast(result.schema[name].dataType).alias(name))
-    return result.unionByName(empty)
-
-
 def remove_words(df: DataFrame, keys: list[str], tokens: str, stopwords: DataFrame, word: str = "word") -> DataFrame:
     """Drop tokens found in a stop-word table of any size (case-insensitive)."""
     rows = positions(df, keys, tokens, "_t").withColumn("_w", F.lower("_t"))
@@ -46,9 +41,7 @@ def remove_words(df: DataFrame, keys: list[str], tokens: str, stopwords: DataFra
 
 def replace_tokens(df: DataFrame, keys: list[str], tokens: str, table: DataFrame, source: str, target: str) -> DataFrame:
     """Replace each token found in ``table[source]`` by ``table[target]``."""
-    rows = positions(df, keys, tokens, "_w")
-    hits = rows.join(table.select(F.col(source).alias("_w"), F.col(target).alias("_to")), "_w", "left")
-    return _with_empty(regroup(hits, keys, F.coalesce("_to", "_w"), tokens), df, keys, tokens, tokens)
+    return look_up(df, keys, tokens, table, source, F.coalesce(target, source), tokens, keep=True, empty=True)
 
 
 def consolidate_by_table(df: DataFrame, keys: list[str], text: str, variants: DataFrame, variant: str = "variant", canonical: str = "canonical") -> DataFrame:
