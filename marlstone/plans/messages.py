@@ -26,6 +26,10 @@ _MESSAGE = {
 }
 
 
+# Bytes of files in a batch of a stream.
+BATCH = 1 << 29
+
+
 def as_messages(documents):
     """Documents as JSON ``value`` records (batch or stream)."""
     return rec.publish(documents.selectExpr(*[f"{e} AS {n}" for n, e in _MESSAGE.items()]))
@@ -36,9 +40,9 @@ def messages(spark, sf_dir):
 
 
 def document_stream(spark, sf_dir):
-    """The documents table as a file stream, one file at a time."""
+    """The documents table as a file stream.  A batch is of a size that gives every task work, whatever the number of files."""
     schema = table(spark, sf_dir, "documents").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/[d]ocuments.parquet")
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH).parquet(f"{sf_dir}/[d]ocuments.parquet")
 
 
 _EXTRACT = """SELECT doc_id AS id, coalesce(text, 'Data Error') AS text,
