@@ -121,3 +121,25 @@ def test_short_passage_in_very_many_texts(spark):
     for i, gone in enumerate(brute([(t or "").encode() for t in texts], 84)):
         edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
         assert got[i] == list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+def test_gram_with_many_contexts_leaves_no_strings_to_try(spark, monkeypatch):
+    """A gram in many texts that fits a bucket is settled there; strings at each open offset would be up to 53 rows a context."""
+    rng = np.random.default_rng(12)
+    noise = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 5, n))
+    passages = [noise(90) for _ in range(8)]
+    texts = [noise(int(rng.integers(0, 60))) + passages[i % 8][int(rng.integers(0, 8)):90 - int(rng.integers(0, 8))] + noise(int(rng.integers(0, 60))) for i in range(480)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    write, made = suffixes.write_cut, {}
+
+    def counted(rows, name):
+        made[name] = write(rows, name)
+        return made[name]
+
+    monkeypatch.setattr(suffixes, "write_cut", counted)
+    got = {r["doc"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffixes.remove_repeats(df, length=84, bucket_bytes=9000).collect()}
+    assert made["suffix-order"].where("kind = 2").count() > 3 and made["gram-bytes"].agg({"bytes": "max"}).first()[0] <= 9000
+    assert made["open-strings"].count() == 0
+    for i, gone in enumerate(brute([t.encode() for t in texts], 84)):
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
+        assert got[i] == list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
