@@ -125,6 +125,14 @@ def test_forest_in_parts_adds_the_votes(spark):
     assert got == {i: int(sum(v[i] for v in votes).argmax()) for i in range(60)}
 
 
+def test_forest_in_parts_has_the_trees_of_plain_fits(spark):
+    rows = spark.createDataFrame([(float((i * 7 % 11) > 5), Vectors.dense([float(i % 5), float(i * 3 % 7), float(i * 5 % 13)])) for i in range(90)], ["label", "features"])
+    forest = cl.fit_forest(10, rows, batch=4, bootstrap=False, seed=3)
+    plain = [cl.random_forest(n, seed=3 + at).setBootstrap(False).fit(rows) for at, n in ((0, 4), (4, 4), (8, 2))]
+    assert [[t.toDebugString.split("\n", 1)[1] for t in m.trees] for m in forest] == [[t.toDebugString.split("\n", 1)[1] for t in m.trees] for m in plain]
+    assert all(m.getCacheNodeIds() for m in forest)        # else each level sends all trees to all tasks
+
+
 @pytest.mark.parametrize("name,settings", [("grid_search", 21), ("random_search", 18)])
 def test_searches_try_all_settings(spark, name, settings):
     import __spark_entry__ as contract
