@@ -23,6 +23,8 @@ DEPTH = 3
 # Pieces of one length that are numbered by one task at most.
 CELL_ROWS = 10_000
 CACHE_CHUNKS = 300_000
+# Chunks with their ids that packing keeps, some 180 bytes each, in every Python worker.
+KEPT_CHUNKS = 1_000_000
 CACHED_CHARS = 100
 
 _PIECES = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32())), ("length", pa.int32()),
@@ -43,14 +45,14 @@ def byte_characters() -> dict[str, int]:
 
 
 class _Chunks(dict):
-    """Ids of chunks that follow a space, found when first asked for."""
+    """Ids of chunks that follow a space, found when first asked for; none that is empty or has white space at an end is kept."""
 
     def __init__(self, encode: Callable[[str], list[int]]):
         self.encode = encode
 
     def __missing__(self, chunk: str) -> bytes:
         ids = array.array("I", self.encode(" " + chunk)).tobytes()
-        if len(chunk) <= CACHED_CHARS:
+        if chunk and len(chunk) <= CACHED_CHARS and chunk == chunk.strip():
             self[chunk] = ids
         return ids
 
@@ -103,18 +105,35 @@ class ByteBpe:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """The same for several texts: chunks not seen yet are encoded together, joined by spaces, and cut by their bytes."""
-        chunks = [_SAFE_SPACE.split(t) if _OPEN_SPACE.search(t) else t.split(" ") for t in (t or "" for t in texts)]
-        kept = self.kept
-        if len(kept) > CACHE_CHUNKS:
+        kept, found = self.kept, []
+        if len(kept) > KEPT_CHUNKS:
             kept.clear()
+        new: set[str] = set()
+        for text in texts:
+            own = (text or "").split(" ")
+            ids = list(map(kept.get, own))
+            missing = [k for k, i in enumerate(ids) if i is None or k == 0]
+            # A space beside white space or an end of the text leaves a chunk there that is never kept.
+            if [k for k in missing if not own[k] or own[k] != own[k].strip()] and _OPEN_SPACE.search(text or ""):
+                own = _SAFE_SPACE.split(text)
+                ids = list(map(kept.get, own))
+                missing = [k for k, i in enumerate(ids) if i is None or k == 0]
+            new.update(own[k] for k in missing[1:])
+            found.append((own, ids, missing))
         # A space is sure to start a piece between two other characters; long chunks are not kept.
-        new = [c for c in {c for own in chunks for c in own[1:] if c not in kept} if len(c) <= CACHED_CHARS and not c[-1].isspace()]
-        if new:
-            ids = np.array(self.encode(" " + " ".join(new)), np.uint32)
-            cut = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(c.encode()) + 1 for c in new]), "right").tolist()
+        chunks = [c for c in new if c and len(c) <= CACHED_CHARS and c == c.strip()]
+        if chunks:
+            ids = np.array(self.encode(" " + " ".join(chunks)), np.uint32)
+            cut = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(c.encode()) + 1 for c in chunks]), "right").tolist()
             data = ids.tobytes()
-            kept.update((c, data[4 * a:4 * b]) for c, a, b in zip(new, [0, *cut], cut, strict=False))
-        return [array.array("I", self.encode(own[0])).tobytes() + b"".join(map(kept.__getitem__, own[1:])) for own in chunks]
+            kept.update((c, data[4 * a:4 * b]) for c, a, b in zip(chunks, [0, *cut], cut, strict=False))
+        out = []
+        for own, ids, missing in found:
+            for k in missing[1:]:
+                ids[k] = kept[own[k]]
+            ids[0] = array.array("I", self.encode(own[0])).tobytes()
+            out.append(b"".join(ids))
+        return out
 
 
 _loaded: dict[str, ByteBpe] = {}

@@ -73,3 +73,32 @@ def test_least_squares_prefers_full_windows():
     histogram[[3, 7, 4, 6]] = 100, 100, 50, 50
     rows, counts, left = packing.packing_plan(histogram, 10)
     assert left.sum() <= 3 and (rows[:, :].sum(axis=1) == 10).all()
+
+
+def test_each_chunk_is_looked_up_once_and_white_space_stays(monkeypatch):
+    slow, fast, looked = plain(), packing.ByteBpe(PATH), []
+
+    class Counted(packing._Chunks):
+        def get(self, chunk):
+            looked.append(chunk)
+            return super().get(chunk)
+
+        def __contains__(self, chunk):
+            looked.append(chunk)
+            return super().__contains__(chunk)
+
+        def __getitem__(self, chunk):
+            looked.append(chunk)
+            return super().__getitem__(chunk)
+
+    fast.kept = Counted(fast.encode)
+    texts = TEXTS + ["ends in a line\n", "a \n b", "line\n then", "then\n", " then", "then ", "a  b", "a \x1f b", "a\xa0 b", "\xa0a b", "b \xa0", "\nfirst line", "w" * 300 + " " + "v" * 300]
+    want = [slow.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(3):
+        assert [np.frombuffer(x, np.uint32).tolist() for x in fast.encode_all(texts)] == want
+    assert [np.frombuffer(x, np.uint32).tolist() for t in reversed(texts) for x in fast.encode_all([t])] == want[::-1]
+    words = "many plain words in a text that was seen before"
+    fast.encode_all([words])
+    looked.clear()
+    fast.encode_all([words])
+    assert len(looked) <= len(words.split(" "))
