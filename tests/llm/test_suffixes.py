@@ -143,3 +143,15 @@ def test_gram_with_many_contexts_leaves_no_strings_to_try(spark, monkeypatch):
     for i, gone in enumerate(brute([t.encode() for t in texts], 84)):
         edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
         assert got[i] == list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+def test_passages_before_zero_bytes(spark):
+    """Texts that go on with more or fewer zero bytes differ in what they share, though padded suffixes look alike."""
+    rng = np.random.default_rng(21)
+    passages = ["".join(chr(97 + c) for c in rng.integers(0, 9, rng.integers(40, 60))) for _ in range(60)]
+    texts = [p + "\0" * int(z) for p in passages for z in rng.permutation(10)[:4]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r["doc"]: [(s["start"], s["end"]) for s in r["spans"]] for r in suffixes.remove_repeats(df, length=40).collect()}
+    for i, gone in enumerate(brute([t.encode() for t in texts], 40)):
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
+        assert got[i] == list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)), i
