@@ -61,6 +61,32 @@ def test_rows_that_share_their_keys_give_one_row(spark, way):
     assert out.count() == 3 and got[2] == ["P1", "P2", "R", "z"] and got[3] == ["P1", "P2"] and sorted(got[None]) == ["R", "q"]
 
 
+def test_mean_vectors_of_rows_that_stay_where_they_are(spark, way):
+    rows = [(i, [f"w{(i * j) % 7}" for j in range(i % 6)]) for i in range(50)]
+    docs = spark.createDataFrame(rows, "k long, tokens array<string>").repartition(3)
+    vectors = {f"w{i}": [i / 3, -float(i)] for i in range(5)}
+    table = spark.createDataFrame(list(vectors.items()), "word string, vec array<float>")
+    sums = blocks.vector_sums(docs, "k", "tokens", table, 2)
+    assert ("_block" in _plan(sums)) == (way == "blocks")
+    means = vectorize.mean_word_vector(docs, "k", "tokens", table, 2)
+    for r in means.collect():
+        mine = [vectors[w] for w in rows[r["k"]][1] if w in vectors]
+        assert r["vec"] == pytest.approx([sum(c) / len(mine) for c in zip(*mine)] if mine else [0.0, 0.0], abs=1e-6)
+
+
+def test_blocks_take_files_that_follow_one_another(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "HELD", 0)
+    docs = spark.createDataFrame([(i, [f"w{i // 50}"] * 10) for i in range(400)], "k long, tokens array<string>").repartitionByRange(8, "k")
+    table = spark.createDataFrame([(f"w{i}", [float(i)]) for i in range(8)], "word string, vec array<double>")
+    monkeypatch.setattr(blocks, "BLOCK", 1000 // 32)
+    wanted = []
+    kind = type(docs)
+    real = kind.repartitionById
+    monkeypatch.setattr(kind, "repartitionById", lambda df, n, c: wanted.append(df.filter("NOT _row").count()) or real(df, n, c))
+    assert blocks.vector_sums(docs, "k", "tokens", table, 1).count() == 400
+    assert wanted[0] <= 16           # eight words, each in one block or two; a row dealt by its hash alone would want up to 40
+
+
 def test_shuffle_files_go_with_their_query(spark):
     before, setting = _shuffle_files(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
     write_cut(spark.range(5000).groupBy((F.col("id") % 91).alias("k")).count(), "counts")
