@@ -117,9 +117,10 @@ _LEXICON = f"""lexicon AS (SELECT word, round(8 * (avg(quality) - 0.5), 1) AS va
 
 
 def lexicon(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tokenize("text"))).alias("word"))
+    # Texts meet their labels, not words: only labelled ones are tokenised, and a text is sent once.
+    labelled = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id")
     valence = F.round(8 * (F.avg("quality") - 0.5), 1)
-    rated = words.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("word").agg(valence.alias("valence"), F.count(F.lit(1)).alias("n"))
+    rated = labelled.select("quality", F.explode(F.array_distinct(tokenize("text"))).alias("word")).groupBy("word").agg(valence.alias("valence"), F.count(F.lit(1)).alias("n"))
     # A few thousand words from a pass over all texts: kept, not derived again.
     return write_cut(rated.filter("n >= 3 AND valence <> 0").select("word", "valence"), "lexicon")
 

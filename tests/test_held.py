@@ -87,6 +87,34 @@ def test_blocks_take_files_that_follow_one_another(spark, monkeypatch):
     assert wanted[0] <= 16           # eight words, each in one block or two; a row dealt by its hash alone would want up to 40
 
 
+def test_scores_in_place_are_those_of_the_join(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SLICE", 20)
+    rng = random.Random(5)
+    words = ["good", "bad", "plain", "odd"] + [sorted(s)[0] for s in (NEGATORS, STRENGTHENERS, WEAKENERS)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(12))) for _ in range(200)] + ["GOOD", " ", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    lex = spark.createDataFrame([("good", 2.0), ("bad", -0.2), ("odd", None), (None, 1.0)], "word string, valence double")
+    out = sentiment.score_sentiment(df, "k", "t", lex)
+    assert "Exchange" not in _plan(out) and "Join" not in _plan(out)
+    want = {r["k"]: r["sentiment_score"] for r in sentiment._joined_scores(df, "k", "t", lex.select(F.col("word").alias("w"), F.col("valence").alias("v"))).collect()}
+    assert {r["k"]: r["sentiment_score"] for r in out.collect()} == pytest.approx(want, abs=1e-4) and len(set(want.values())) > 20
+    twice = sentiment.score_sentiment(df.limit(5).unionByName(df.limit(5)), "k", "t", lex)
+    assert twice.count() == 10
+    both = sentiment.score_sentiment(df.filter("k < 9"), "k", "t", lex.unionByName(lex)).collect()
+    assert {r["k"] for r in both} == set(range(9))
+    none = sentiment.score_sentiment(spark.createDataFrame([(None, "good"), (None, "bad")], "k long, t string"), "k", "t", lex)
+    assert [r["sentiment_score"] for r in none.collect()] == [0.0, 0.0]
+
+
+def test_texts_meet_their_labels_before_they_are_cut_into_words(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, "fine word" if i < 5 else "other") for i in range(9)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in range(4)] + [(8, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    plans = []
+    monkeypatch.setattr(messages, "write_cut", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    assert {tuple(r) for r in messages.lexicon(spark, str(tmp_path)).collect()} == {("fine", 4.0), ("word", 4.0)}
+    assert 0 < plans[0].index("Generate explode") < plans[0].index("Join Inner")
+
+
 def test_shuffle_files_go_with_their_query(spark):
     before, setting = _shuffle_files(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
     write_cut(spark.range(5000).groupBy((F.col("id") % 91).alias("k")).count(), "counts")
