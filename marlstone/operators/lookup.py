@@ -7,11 +7,13 @@ token; tokens travel with their position and are put back per row key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import UNKNOWN, canonical_digits, tokenize
-from .blocks import look_up
+from .blocks import apart, held, look_up, looked_up, values_of
 
 
 def positions(df: DataFrame, keys: list[str], tokens: str, word: str = "word") -> DataFrame:
@@ -67,11 +69,20 @@ def lemmatize(df: DataFrame, keys: list[str], text: str, lemmas: DataFrame, tag:
 def lemmatize_in_place(df: DataFrame, key: str, text: str, lemmas: DataFrame, tag: str = "n") -> DataFrame:
     """``df`` with the words of one column replaced by their lemmas; ``key`` identifies a row.
 
-    The lemma step of a cleaning chain: only key and text go through the
-    look-up.  A null text stays null.
+    The lemma step of a cleaning chain: by a table that every worker holds the
+    rows stay where they are, else key and text go through the look-up.  A null
+    text stays null, one with a null key becomes null; rows that share their key get the words of all.
     """
-    out = lemmatize(df.filter(F.col(text).isNotNull()).select(key, text), [key], text, lemmas, tag)
-    return df.drop(text).join(out, key, "left").select(*df.columns)
+    known, table = held(values_of(lemmas.filter(F.col("tag") == tag), "word", F.coalesce("lemma", "word")))
+    once, again = apart(df, [key]) if known is not None else (None, df)
+    out = []
+    if once is not None:
+        words = looked_up(tokenize(text), known, table.schema["v"].dataType, keep=True)
+        out.append(once.withColumn(text, F.when(F.col(key).isNotNull(), F.array_join(words, " "))))
+    if again is not None:
+        joined = lemmatize(again.filter(F.col(text).isNotNull()).select(key, text), [key], text, lemmas, tag)
+        out.append(again.drop(text).join(joined, key, "left").select(*df.columns))
+    return reduce(DataFrame.unionByName, out)
 
 
 def lemmatize_tagged(df: DataFrame, keys: list[str], tagged: str, lemmas: DataFrame, default_tag: str | None = None) -> DataFrame:

@@ -87,6 +87,19 @@ def test_blocks_take_files_that_follow_one_another(spark, monkeypatch):
     assert wanted[0] <= 16           # eight words, each in one block or two; a row dealt by its hash alone would want up to 40
 
 
+def test_lemmas_in_place(spark, way):
+    rows = [(1, "Cats run", "x"), (2, None, "y"), (3, "", "z"), (None, "cats", "n"), (5, "cats", "a"), (5, "dogs", "b")]
+    df = spark.createDataFrame(rows, "k long, text string, other string")
+    lemmas = spark.createDataFrame([("cats", "n", "cat"), ("run", "v", "ran"), ("dogs", "n", "dog")], "word string, tag string, lemma string")
+    out = lookup.lemmatize_in_place(df, "k", "text", lemmas)
+    assert out.columns == df.columns
+    assert {r["other"]: r["text"] for r in out.filter("k <> 5 OR k IS NULL").collect()} == {"x": "cat run", "y": None, "z": "", "n": None}
+    shared = out.filter("k = 5").collect()
+    assert len(shared) == 2 and len({r["text"] for r in shared}) == 1 and sorted(shared[0]["text"].split()) == ["cat", "dog"]
+    alone = lookup.lemmatize_in_place(df.filter("k < 5"), "k", "text", lemmas)
+    assert ("Exchange" in _plan(alone)) == (way == "blocks")
+
+
 def test_scores_in_place_are_those_of_the_join(spark, monkeypatch):
     monkeypatch.setattr(blocks, "SLICE", 20)
     rng = random.Random(5)
