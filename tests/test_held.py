@@ -133,3 +133,15 @@ def test_shuffle_files_go_with_their_query(spark):
     write_cut(spark.range(5000).groupBy((F.col("id") % 91).alias("k")).count(), "counts")
     assert _gone(spark, before)
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+
+
+def test_the_file_job_sends_no_message(spark, tmp_path, monkeypatch):
+    batch = spark.createDataFrame([(1, "Cats are good"), (2, None), (3, "bad\ncats")], "id long, text string").select(F.to_json(F.struct("id", "text")).alias("value"))
+    lex = spark.createDataFrame([("good", 2.0), ("bad", -1.0)], "word string, valence double")
+    lemmas = spark.createDataFrame([("cats", "n", "cat")], "word string, tag string, lemma string")
+    plans, real = [], en.write_csv
+    monkeypatch.setattr(en, "write_csv", lambda df, path: (plans.append(_plan(df)), real(df, path))[1])
+    en.message_file_job(en.parse(batch), "id", lex, lemmas, f"{tmp_path}/out")
+    assert "Exchange" not in plans[0] and "Join" not in plans[0]
+    rows = spark.read.option("header", True).csv(f"{tmp_path}/out").collect()
+    assert {r["id"]: (r["text_clean"], r["sentiment"]) for r in rows} == {"1": ("cat are good", "positive"), "3": ("bad cat", "negative")}
