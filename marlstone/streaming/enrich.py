@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..functions.text import clean_text, strip_entities, whitespace_tokens
 from ..operators import dedup, lookup, sentiment
+from ..session import freed_shuffles
 from ..sources.records import MISSING_TEXT, extract_message, extract_message_file, parse, write_csv
 from . import versions
 
@@ -107,24 +108,23 @@ def enrichment_sink(tables: str, key: str, lexicon: DataFrame, run: str | None =
         name = run or spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         if not name:
             raise ValueError("the stream has no id; name the run")
-        # Scoring reads the cleaned rows twice, the sinks read the scored rows twice.
-        cleaned = clean_messages(parse(batch), key, lemmas).persist()
-        enriched = sentiment.score_sentiment(cleaned, key, "text_clean", lexicon).persist()
+        # The sinks read the scored rows twice.
+        enriched = enrich(parse(batch), key, lexicon, lemmas).persist()
         try:
-            hashed = F.sha2("text", 256)
-            new = enriched.withColumns({"created_at": F.current_timestamp(), "text_key": F.unhex(hashed), "bucket": bucket_of(hashed)})
-            stored = versions.stored(spark, f"{tables}/messages")
-            if stored is not None:
-                opened = [r[0] for r in new.select("bucket").distinct().collect()]          # BUCKETS at most
-                rows = dedup.insert_if_absent(new, stored.filter(F.col("bucket").isin(opened)), ["text_key"], [key], "text")
-            else:
-                rows = dedup.first_wins(new.filter(F.col("text") != MISSING_TEXT), ["text_key"], [key])
-            # One file for a bucket and batch.
-            rows.repartition("bucket").write.partitionBy("bucket").mode("append").parquet(f"{tables}/messages")
-            add_word_counts(tables, name, batch_id, message_words(enriched, key), key)
+            with freed_shuffles(spark):
+                hashed = F.sha2("text", 256)
+                new = enriched.withColumns({"created_at": F.current_timestamp(), "text_key": F.unhex(hashed), "bucket": bucket_of(hashed)})
+                stored = versions.stored(spark, f"{tables}/messages")
+                if stored is not None:
+                    opened = [r[0] for r in new.select("bucket").distinct().collect()]          # BUCKETS at most
+                    rows = dedup.insert_if_absent(new, stored.filter(F.col("bucket").isin(opened)), ["text_key"], [key], "text")
+                else:
+                    rows = dedup.first_wins(new.filter(F.col("text") != MISSING_TEXT), ["text_key"], [key])
+                # One file for a bucket and batch.
+                rows.repartition("bucket").write.partitionBy("bucket").mode("append").parquet(f"{tables}/messages")
+                add_word_counts(tables, name, batch_id, message_words(enriched, key), key)
         finally:
             enriched.unpersist()
-            cleaned.unpersist()
 
     return write
 

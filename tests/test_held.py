@@ -135,6 +135,18 @@ def test_shuffle_files_go_with_their_query(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
 
 
+def test_shuffle_files_of_the_messages_of_a_batch_go_with_it(spark, tmp_path, monkeypatch):
+    lex = spark.createDataFrame([("good", 2.0)], "word string, valence double")
+    batch = spark.createDataFrame([(i, f"good text number {i % 7}") for i in range(40)], "id long, text string").select(F.to_json(F.struct("id", "text")).alias("value"))
+    seen = []
+    real = en.enrich
+    monkeypatch.setattr(en, "enrich", lambda *args: (real(*args), before.update(_shuffle_files(spark)))[0])
+    monkeypatch.setattr(en, "add_word_counts", lambda *_: seen.append(_gone(spark, before)))
+    before = set()
+    en.enrichment_sink(f"{tmp_path}/t", "id", lex, run="r")(batch, 0)
+    assert spark.read.parquet(f"{tmp_path}/t/messages").count() == 7 and seen == [True]
+
+
 def test_the_file_job_sends_no_message(spark, tmp_path, monkeypatch):
     batch = spark.createDataFrame([(1, "Cats are good"), (2, None), (3, "bad\ncats")], "id long, text string").select(F.to_json(F.struct("id", "text")).alias("value"))
     lex = spark.createDataFrame([("good", 2.0), ("bad", -1.0)], "word string, valence double")
